@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pixelweir.llm import quality_classifier, quality_rules
+from pixelweir.llm import near_dedup, quality_classifier, quality_rules
 
 QUERIES = {
     "op4_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
+    "op8_near_dedup": near_dedup.query,
 }
 
 ORACLE_SQL = {
