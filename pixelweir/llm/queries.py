@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pixelweir.llm import near_dedup, quality_classifier, quality_rules
+from pixelweir.llm import near_dedup, quality_classifier, quality_rules, source_mixing
 
 QUERIES = {
     "op4_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_source_mixing": source_mixing.query,
     "op8_near_dedup": near_dedup.query,
 }
 
 ORACLE_SQL = {
     "op6_quality_rules": quality_rules.SQL,
+    "op7_source_mixing": source_mixing.SQL,
 }
