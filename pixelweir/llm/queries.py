@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pixelweir.llm import bpe, near_dedup, quality_classifier, quality_rules, source_mixing
+from pixelweir.llm import bpe, language_id, near_dedup, quality_classifier, quality_rules, source_mixing
 
 QUERIES = {
+    "op1_language_id": language_id.query,
     "op2_bpe": bpe.query,
     "op4_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
