@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pixelweir.llm import bpe, language_id, near_dedup, quality_classifier, quality_rules, source_mixing
+from pixelweir.llm import bpe, language_id, license_scan, near_dedup, quality_classifier, quality_rules, source_mixing
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_bpe": bpe.query,
+    "op3_license_scan": license_scan.query,
     "op4_quality_classifier": quality_classifier.query,
     "op6_quality_rules": quality_rules.query,
     "op7_source_mixing": source_mixing.query,
