@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelweir.llm import bpe, language_id, license_scan, near_dedup, quality_classifier, quality_rules, source_mixing
+from pixelweir.llm import bpe, language_id, license_scan, near_dedup, quality_classifier, quality_rules, sharding, source_mixing
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.query,
     "op7_source_mixing": source_mixing.query,
     "op8_near_dedup": near_dedup.query,
+    "op9_sharding": sharding.query,
 }
 
 ORACLE_SQL = {
