@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelweir.llm import bpe, language_id, license_scan, near_dedup, ogg, quality_classifier, quality_rules, sharding, source_mixing
+from pixelweir.llm import bpe, language_id, license_scan, lm_scoring, near_dedup, ogg, quality_classifier, quality_rules, sharding, source_mixing
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_bpe": bpe.query,
     "op3_license_scan": license_scan.query,
     "op4_quality_classifier": quality_classifier.query,
+    "op5_lm_scoring": lm_scoring.query,
     "op6_quality_rules": quality_rules.query,
     "op7_source_mixing": source_mixing.query,
     "op8_near_dedup": near_dedup.query,
