@@ -1,4 +1,72 @@
-"""Queries of the virtual-detector workload on the given tables."""
+"""Queries that encode the given tables as detector messages, and decode or stream those."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelweir.jobs import image_queries
+from pixelweir.jobs.image_queries import SMALL, _GATED, _SUMS, hits, small_weights
+from pixelweir.operators import decode, image
+from pixelweir.sources import encode, messages
+from pixelweir.streaming import image_stream
+
+BLOCK = 96  # bytes: two full blocks and a short one for an 8 x 8 frame of four-byte pixels
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq and raw: every order's hits as one compressed frame."""
+    frames = encode.dense_frames(hits(spark, sf_dir), SMALL).select((F.col("image_id") + 1).alias("seq"), "image_id", "frame")
+    return encode.encode_frames(frames, SMALL, block_size=BLOCK)
+
+
+def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, counts and a digest of each frame after encoding and decoding."""
+    found = decode.frames(decode.envelopes(encoded(spark, sf_dir)))
+    place = F.aggregate(F.transform("frame", lambda v, p: v.cast("long") * (p + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return found.select("image_id", F.size("frame").cast("long").alias("pixels"), F.aggregate("frame", F.lit(0.0), lambda a, v: a + v).cast("long").alias("counts"), place.alias("placed"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def decoded_virtual_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image sums from compressed messages, decoded and summed in one pass."""
+    sums = decode.decoded_sums(decode.envelopes(encoded(spark, sf_dir)), image.weight_array(small_weights(spark, sf_dir)), SMALL)
+    return sums.where("error IS NULL AND s <> 0").select("image_id", "s")
+
+
+def framing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, and the plain bytes that they stand for, of each frame's container."""
+    found = decode.framing(decode.envelopes(encoded(spark, sf_dir)))
+    return found.groupBy("image_id").agg(F.count("block_no").alias("blocks"), F.sum("uncomp_size").alias("plain_bytes"), F.min("data_offset").cast("long").alias("first_offset"), F.count("error").alias("errors"))
+
+
+def stream_virtual_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole image from a stream of message files, read to its end in micro-batches."""
+    frames = hits(spark, sf_dir)
+    config = image_queries.scan_for(frames)
+    folder = image_stream.work_folder(spark, "image-stream")
+    images = encoded(spark, sf_dir)
+    encode.with_bounds(images, config.with_(detector=SMALL.detector), config.positions + 1).repartition(16, "seq").write.parquet(f"{folder}/messages")
+    ws = image.weight_array(small_weights(spark, sf_dir))
+    image_stream.run_sums(messages.message_stream(spark, f"{folder}/messages"), ws, config, f"{folder}/sums", f"{folder}/checkpoint")
+    return image_stream.snapshot(spark, f"{folder}/sums", config)
+
+
+def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the start gate lets through, decided message by message with state."""
+    folder = image_stream.work_folder(spark, "gate-stream")
+    events = spark.readStream.schema("event_id long, user_id long, event_type string").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "end").otherwise("image")
+    image_stream.run_gate(events.select(F.col("user_id").alias("series"), F.col("event_id").alias("seq"), kind.alias("type")), f"{folder}/passed", f"{folder}/checkpoint")
+    return spark.read.schema("series long, seq long").parquet(f"{folder}/passed")
+
+
+QUERIES = {f.__name__: f for f in (decode_roundtrip, decoded_virtual_image, framing_blocks, stream_virtual_image, stream_gate)}
+
+ORACLE_SQL = {
+    "decode_roundtrip": """SELECT l_orderkey AS image_id, CAST(64 AS BIGINT) AS pixels, CAST(sum(l_quantity) AS BIGINT) AS counts,
+  CAST(sum(l_quantity * ((l_partkey % 8) * 8 + l_suppkey % 8 + 1)) AS BIGINT) AS placed, '' AS error FROM lineitem GROUP BY 1""",
+    "decoded_virtual_image": f"WITH {_SUMS} SELECT image_id, s FROM sums WHERE s <> 0",
+    "framing_blocks": "SELECT l_orderkey AS image_id, CAST(3 AS BIGINT) AS blocks, CAST(256 AS BIGINT) AS plain_bytes, CAST(16 AS BIGINT) AS first_offset, CAST(0 AS BIGINT) AS errors FROM lineitem GROUP BY 1",
+    "stream_virtual_image": image_queries.ORACLE_SQL["virtual_image_grid"],
+    "stream_gate": f"WITH {_GATED} SELECT series, seq FROM gated",
+}
