@@ -9,6 +9,13 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: Arrow types of simple columns; columns of other types must come as Arrow arrays.
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+#: Rows that a task turns into Python values at a time.
+SLICE = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +39,14 @@ def per_row(df: DataFrame, columns: list[str], made: str, work: Callable[[dict[s
     Texts come as bytes (null as empty), other columns as Python values. Rows stay in their task; nothing is shuffled.
     """
     kept = df.select(*columns)
-    added = [x.strip().split(" ")[0] for x in made.split(",")]
+    added = {f.name: ARROW.get(f.dataType.simpleString()) for f in StructType.fromDDL(made)}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             given = {c: text_bytes(batch.column(c)) if pa.types.is_string(batch.column(c).type) or pa.types.is_large_string(batch.column(c).type) else batch.column(c).to_pylist() for c in columns}
             got = work(given)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(got[c] if isinstance(got[c], pa.Array) else pa.array(got[c]) for c in added)], names=[*columns, *added])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(got[c] if isinstance(got[c], pa.Array) else pa.array(got[c], kind) for c, kind in added.items())], names=[*columns, *added])
 
     return kept.mapInArrow(run, schema)
 

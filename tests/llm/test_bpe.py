@@ -1,0 +1,85 @@
+"""BPE against the library that defines the result."""
+
+import hashlib
+import random
+import unicodedata
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pixelweir.llm import bpe
+from tests.llm.fixtures import documents, empty, holds_up, rows, wide
+
+
+@pytest.fixture(scope="module")
+def both():
+    tokenizers = pytest.importorskip("tokenizers")
+    return bpe.encoder(bpe.default_file()), tokenizers.Tokenizer.from_file(bpe.default_file())
+
+
+def equal(both, text):
+    own, library = both
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert own.ids(text) == ids, text
+    n, joined, decoded = own.encode(text)
+    assert n == len(ids)
+    assert joined == " ".join(map(str, ids))
+    assert decoded == own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+@given(text=st.text(max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_any_text(both, text):
+    if any(unicodedata.category(c) == "Cn" for c in text):
+        return  # unassigned characters: the Unicode versions of the two may differ
+    equal(both, text)
+
+
+def test_words_put_together_from_tokens(both):
+    random.seed(5)
+    parts = [t.removesuffix("</w>") for t in list(both[0].vocab)[600::29]]
+    for _ in range(1500):
+        equal(both, "".join(random.choice(parts) for _ in range(random.randint(1, 5))))
+
+
+@pytest.mark.parametrize("text", ["", " ", "\x00\x1c\x85​", "<|endoftext|>", "a<|endoftext|><|startoftext|>b", "<|EndOfText|>", "ΑΣ ΑΣΑ", "it's WE'LL i'd", "é é", "İ ǅ ﬁ ß", "漢字かな 😀👍🏽", "x" * 5000, "ab" * 3000, "1234567890", "\n\t a \r\n b"])
+def test_given_texts(both, text):
+    equal(both, text)
+
+
+def test_pairs_fit_just_when_merging_keeps_them(both):
+    own = both[0]
+    random.seed(3)
+    ids = list(own.vocab.values())
+    for _ in range(4000):
+        a, b = random.choice(ids), random.choice(ids[:4000])
+        x, y = own.tokens[a], own.tokens[b]
+        if not x.endswith(bpe.END) and own.stands(a) and own.stands(b):
+            assert own.compatible(a, b) == (own.merged(own.symbols(x) + own.symbols(y)) == [x, y])
+
+
+def test_caches_may_be_small(both, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
+    monkeypatch.setattr(bpe, "CACHED_PAIRS", 3)
+    equal((bpe.WordBpe(bpe.default_file()), both[1]), "one two three four five six seven one two three reading writing")
+
+
+def test_digests(spark, both):
+    library = both[1]
+    expected = []
+    for doc_id, text, *_ in rows():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        expected.append((str(doc_id), len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)))))
+    got = holds_up(spark, bpe.digests)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(expected)
+
+
+def test_columns_of_ids_and_back(spark, both):
+    encoded = bpe.encode(wide(spark), name="tokens_")
+    assert encoded.columns == [*wide(spark).columns, "tokens_"]
+    for r in bpe.decode(encoded, ids="tokens_", name="back_").select("text", "tokens_", "back_").collect():
+        assert r["tokens_"] == both[1].encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["back_"] == both[1].decode(r["tokens_"], skip_special_tokens=False)
+    assert bpe.encode(empty(spark)).collect() == []
+    assert documents(spark).count() == len(rows())
