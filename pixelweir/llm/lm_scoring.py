@@ -103,10 +103,11 @@ class Block:
         )
 
 
-def _cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Where the sorted keys of each shard begin; shards are equal ranges of the key space."""
-    edges = np.array([(s << bits) // shards for s in range(shards)], np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def _cuts(keys: np.ndarray, bits: int, shards: int) -> dict[int, slice]:
+    """Where the sorted keys of each shard stand, for shards that have any; shards are equal ranges of the key space."""
+    shard = keys // np.uint64(-(-(1 << bits) // shards))
+    starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return {int(shard[a]): slice(a, b) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)}
 
 
 def _documents_of(table: pa.Table) -> pa.Table:
@@ -155,14 +156,13 @@ def requests(docs: DataFrame, n: int) -> DataFrame:
             kind = rest[chosen]
             train, deleted = block.counts((kind != HELD_OUT) & (kind >= 0) & (part == 0)), block.counts((kind == DELETED) & (part == 0))
             cuts = _cuts(block.words, 63, n), _cuts(block.pairs, 56, n)
-            for shard in range(n):
+            for shard in sorted(cuts[0].keys() | cuts[1].keys()):
                 data = []
                 for keys, cut, k in ((block.words, cuts[0], 0), (block.pairs, cuts[1], 1)):
-                    at = slice(cut[shard], cut[shard + 1])
+                    at = cut.get(shard, slice(0, 0))
                     data += [np.diff(keys[at], prepend=np.uint64(0)), train[k][at], deleted[k][at]]
                 sizes = len(data[0]), len(data[3])
-                if sum(sizes):
-                    out.append((number, shard, part, *sizes, _planes(*data)))
+                out.append((number, shard, part, *sizes, _planes(*data)))
         return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate([pa.int32()] * 5 + [pa.binary()])], names=[x.split(" ")[0] for x in REQUEST.split(", ")])
 
     return blocks(docs, n).groupBy("block").applyInArrow(run, REQUEST)
