@@ -4,10 +4,10 @@ Many universal hash minima over a document's word shingles are cut into bands; d
 bucket. Candidates are compared by signature and then on their full shingle sets, and links become components by
 alternating large-star and small-star.
 
-No bucket is expanded into pairs. Documents with equal sets become one node first. In each round a bucket compares a few
-hubs, taken from its components, with its members of other components, and a hub that has met them all leaves the bucket.
-The rounds end when every bucket holds one component only, so a link is lost only if no band brings its two ends together
-(about 8 in a million at a similarity of exactly 0.8, far fewer above).
+No bucket is expanded into pairs. Documents with equal sets become one node first. Each node is then compared with one other, the
+smallest that any of its buckets holds; that links most groups. Buckets whose nodes still belong to several components are
+searched for links between these, in blocks, and give a spanning forest. So a link is lost only if no band brings its two ends
+together (about 8 in a million at a similarity of exactly 0.8, far fewer above).
 
 A node is a 64-bit hash of a shingle set. Sets are compared by 48-bit fingerprints of their shingles.
 
@@ -31,7 +31,8 @@ from pixelweir.llm.components import connected_components
 
 BANDS, ROWS = 50, 7
 SIGNATURE = 128
-HUBS = 8
+#: Shingles that one task compares with as many others.
+BLOCK = 1 << 20
 #: Candidates whose signatures agree less are over five standard deviations below the similarity asked for.
 SLACK = 0.2
 #: Ids up to this number (8 bytes each) are sent to every executor; more are joined by a shuffle.
@@ -133,12 +134,13 @@ def unpack(data: bytes) -> np.ndarray:
 
 def _sets(texts: list[bytes], width: int) -> dict[str, list]:
     hashes = WordHashes()
-    out: dict[str, list] = {"node": [], "signature": [], "shingles": []}
+    out: dict[str, list] = {"node": [], "signature": [], "shingles": [], "n": []}
     for text in texts:
         x = shingle_set(text, width, hashes)
         out["node"].append(int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).view(np.int64)) if len(x) else None)
         out["signature"].append(minima(x, SIGNATURE).astype(np.uint8).tobytes())
         out["shingles"].append(pack(x))
+        out["n"].append(len(x))
     return out
 
 
@@ -182,6 +184,53 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "su", "xu", "sv", "xv").mapInArrow(run, "u long, v long")
 
 
+def bucket_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join the components within each bucket: a spanning forest of them, never all pairs.
+
+    A bucket of more than BLOCK shingles is cut into blocks, and each two of its blocks meet in one task, so no task holds a whole
+    hot bucket. Within a task an index of the shingles gives one node's common shingles with all others at once.
+    """
+    placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
+    sized = placed.join(sets.select("node", "n"), "node")
+    mixed = sized.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks")).where("lo <> hi").select("bucket", "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cut = placed.join(mixed, "bucket").withColumn("own", own)
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = met.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "part")
+    full = tasks.join(sets.select("node", "shingles"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, part, packed = (table.column(c).to_pylist() for c in ("node", "part", "shingles"))
+        found = forest(part, [unpack(x) for x in packed], percent)
+        return pa.table({"u": pa.array([node[i] for i, _ in found], pa.int64()), "v": pa.array([node[j] for _, j in found], pa.int64())})
+
+    return full.groupBy("bucket", "a", "b").applyInArrow(run, "u long, v long").distinct()
+
+
+def forest(parts: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Linked pairs (i, j) that join the parts as far as links between them do; at most one fewer than there are parts."""
+    names, part = np.unique(np.array(parts), return_inverse=True)
+    if len(names) < 2:
+        return []
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    holders, starts = owner[order], np.append(np.searchsorted(shingle[order], np.arange(shingle.max() + 1)), len(order))
+    begins = np.cumsum(sizes) - sizes
+    largest, out = np.argmax(np.bincount(part)), []
+    for i in np.flatnonzero(part != largest):
+        own = shingle[begins[i] : begins[i] + sizes[i]]
+        lengths = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        common = np.bincount(holders[at], minlength=len(sets))
+        for j in np.flatnonzero(100 * common >= percent * (sizes[i] + sizes - common)):
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                out.append((int(i), int(j)))
+    return out
+
+
 def roots(sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """node and root for every node that is linked with another."""
     members = candidate_buckets(sketched)
@@ -191,34 +240,19 @@ def roots(sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     nodes = members.select("node").distinct()
     chosen = sketched.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     texts = only_ids(docs.select("doc_id", "text"), checkpointed(chosen))
-    made = per_row(texts, ["text"], "node long, signature binary, shingles binary", lambda x: _sets(x["text"], width)).drop("text").where("node IS NOT NULL")
-    sets = written(made.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles")), "sets")
+    made = per_row(texts, ["text"], "node long, signature binary, shingles binary, n long", lambda x: _sets(x["text"], width)).drop("text").where("node IS NOT NULL")
+    sets = written(made.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"), F.max("n").alias("n")), "sets")
 
-    # first each node meets one node only: the smallest that any of its buckets holds
+    # first each node meets one other only: the smallest that any of its buckets holds
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"))
     first = members.join(hubs, "bucket").where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub"))
     links = checkpointed(verified(first.select(F.col("hub").alias("u"), F.col("node").alias("v")), sets, percent))
     labels = checkpointed(connected_components(links))
-    while True:
-        placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
-        parts = checkpointed(placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min("node").alias("lo")))
-        mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("k")).where("k > 1")
-        small = parts.join(mixed, "bucket").where("part <> top.part")
-        chosen = small.groupBy("bucket", F.pmod(F.xxhash64("part"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("lo", "part")).alias("hub"))
-        hubs = checkpointed(chosen.select("bucket", F.col("hub.lo").alias("hub"), F.col("hub.part").alias("hub_part")))
-        if hubs.isEmpty():
-            return labels
-        met = placed.join(hubs, "bucket").where("part <> hub_part").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-        links = checkpointed(verified(met, sets, percent))
-        # a hub that has met the others leaves the bucket, and so do buckets of one component
-        open_buckets = members.join(hubs.select("bucket").distinct(), "bucket", "left_semi")
-        members = checkpointed(open_buckets.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"))
-        if not links.isEmpty():
-            part = lambda end: F.coalesce(F.col(f"{end}_root"), F.col(end)).alias(end)
-            named = links.join(labels.select(F.col("node").alias("u"), F.col("root").alias("u_root")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("root").alias("v_root")), "v", "left")
-            joined = connected_components(named.select(part("u"), part("v"))).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
-            known = labels.union(named.select(F.col("u").alias("node"), part("u"))).union(named.select(F.col("v").alias("node"), part("v"))).distinct()
-            labels = checkpointed(known.join(joined, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")))
+    # then buckets that still hold several components look for links between these
+    more = checkpointed(bucket_links(members, labels, sets, percent))
+    if more.isEmpty():
+        return labels
+    return checkpointed(connected_components(links.union(more)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -250,3 +284,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4, percent=80)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reach AS (SELECT doc_id AS root, doc_id AS node FROM w UNION SELECT root, y FROM reach JOIN links ON node = x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY 1) c ON c.node = w.doc_id
+"""

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_quality_rules": quality_rules.SQL,
     "op7_source_mixing": source_mixing.SQL,
+    "op8_near_dedup": near_dedup.SQL,
 }
