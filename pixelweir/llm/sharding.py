@@ -115,10 +115,10 @@ def pack_into(sizes: list[int], shards: int) -> list[int]:
 def _items(rows: DataFrame, shards: int) -> DataFrame:
     """group_, item_ and bytes_ of each group: its own item if it is large, else a bundle."""
     groups = rows.groupBy("group_").agg(F.sum("size").alias("bytes_"))
-    total = groups.agg(F.coalesce(F.sum("bytes_"), F.lit(0)).alias("total_"))
-    large = F.col("bytes_") * (FINE * shards) > F.col("total_")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    large = F.col("bytes_") * (FINE * shards) > total
     bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("group_"), F.lit(BUNDLES)).cast("string"))
-    return groups.join(F.broadcast(total)).select("group_", "bytes_", F.when(large, F.col("group_")).otherwise(bundle).alias("item_"))
+    return groups.select("group_", "bytes_", F.when(large, F.col("group_")).otherwise(bundle).alias("item_"))
 
 
 def packed(rows: DataFrame, shards: int | None = SHARDS, capacity: int | None = None) -> DataFrame:

@@ -27,16 +27,21 @@ RESOLUTION = 512
 BLOCK_DOCS = 64
 
 
-def tempered_shares(docs: DataFrame, source: Column, resolution: int = RESOLUTION) -> DataFrame:
-    """name and share of each source: in proportion to the square root of its documents, in about 1 / resolution, 1 at least."""
-    counts = docs.groupBy(source.alias("name")).agg(F.floor(F.sqrt(F.count("*"))).alias("root"))
-    total = counts.agg(F.sum("root").alias("total"))
-    return counts.join(F.broadcast(total)).select("name", F.greatest(F.lit(1).cast("long"), F.expr(f"root * {resolution} DIV total")).alias("share"))
+def tempered_weights(docs: DataFrame, source: Column) -> DataFrame:
+    """name and weight of each source: the whole part of the square root of its documents."""
+    return docs.groupBy(source.alias("name")).agg(F.floor(F.sqrt(F.count("*"))).alias("share"))
 
 
-def one_period(shares: DataFrame) -> DataFrame:
-    """name, share, total, k (block in the period) and slot, for each slot of one period."""
+def one_period(shares: DataFrame, resolution: int | None = None) -> DataFrame:
+    """name, share, total, k (block in the period) and slot, for each slot of one period.
+
+    With a resolution, shares are first scaled to about that sum, each to 1 at least. One row holds all shares; the period is worked
+    out in it, step by step, with array functions.
+    """
     named = shares.agg(F.sort_array(F.collect_list(F.struct("name", "share"))).alias("given")).where("size(given) > 0")
+    if resolution:
+        named = named.selectExpr("given", "aggregate(given, 0L, (a, x) -> a + x.share) AS sum")
+        named = named.selectExpr(f"transform(given, x -> struct(x.name AS name, greatest(1L, x.share * {resolution} DIV sum) AS share)) AS given")
     ready = named.selectExpr("given", "transform(given, x -> x.share) AS share", "aggregate(given, 0L, (a, x) -> a + x.share) AS total", "size(given) AS n")
     # of the sources with a released block at slot t, the one whose deadline comes first
     pick = "array_min(transform(sequence(0, n - 1), i -> IF(acc.done[i] < share[i] AND acc.done[i] * total < (t + 1) * share[i], struct(((acc.done[i] + 1) * total + share[i] - 1) DIV share[i] AS deadline, i AS i), NULL))).i"
@@ -68,8 +73,10 @@ def ranked(docs: DataFrame, source: Column, doc_id: Column, rank: str) -> DataFr
 def placed(docs: DataFrame, shares: DataFrame | None = None, block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION) -> DataFrame:
     """docs with the columns rank_, block_no_, release_slot_, deadline_slot_, slot_ and in_block_ of each document added."""
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    shares = tempered_shares(docs, source, resolution) if shares is None else shares.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("name"), F.col("share").cast("long").alias("share"))
-    period = one_period(shares)
+    if shares is None:
+        period = one_period(tempered_weights(docs, source), resolution)
+    else:
+        period = one_period(shares.select(source.alias("name"), F.col("share").cast("long").alias("share")))
     per_source = period.select("name", "share", "total").distinct().withColumnsRenamed({"name": "share_name"})
     rows = ranked(docs, source, F.col("doc_id"), "rank_").withColumnRenamed(fresh_name(docs, "source_name"), "mix_name")
     blocks = rows.join(F.broadcast(per_source), F.col("mix_name") == F.col("share_name"))
