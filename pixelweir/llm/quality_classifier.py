@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import checkpointed, documents, fresh_name, per_row, remainder, text_bytes
+from pixelweir.llm.common import checkpointed, documents, fresh_name, per_row, remainder
 
 THRESHOLD = 0.3
 UPPER = bytes(range(65, 91))
@@ -123,9 +123,17 @@ def clean_labels(labels: DataFrame, column: str = "quality") -> DataFrame:
 
 
 def fit(featured: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Ranking:
-    """A ranking from the labelled rows of `featured` (doc_id, features) outside the held-out fifth."""
-    training = featured.where(remainder("doc_id", 5) != 0).join(clean_labels(labels), "doc_id")
-    rows = training.select("features", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "features").limit(max_rows).collect()
+    """A ranking from the labelled rows of `featured` (doc_id, features) outside the held-out fifth.
+
+    If there are more labels than max_rows, only ids whose hash is below that share are joined; so no task sorts more rows than
+    the bound (and a little for chance).
+    """
+    marked = clean_labels(labels).where(remainder("doc_id", 5) != 0).withColumn("h", F.xxhash64("doc_id"))
+    share = max_rows / max(1, marked.count())
+    if share < 1:
+        marked = marked.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    training = featured.join(marked, "doc_id").select("features", "label", "h")
+    rows = training.orderBy("h", "features").limit(max_rows).collect()
     x = np.array([r["features"] for r in rows], np.float64).reshape(len(rows), len(FEATURES))
     return fit_pairs(x, np.array([r["label"] for r in rows]))
 
@@ -156,14 +164,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000)
 
 def keep_predicted(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """The documents predicted to be of quality, with the columns they came with."""
-    model = fit(with_features(docs.join(clean_labels(labels).select("doc_id"), "doc_id", "left_semi")), labels, max_rows)
+    model = fit(with_features(docs), labels, max_rows)  # features twice, so that no text is shuffled
 
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd
 
-        data = text_bytes(pa.Array.from_pandas(texts, type=pa.string()))
-        return pd.Series(model.score(np.array([features(x) for x in data]).reshape(len(data), len(FEATURES))))
+        return pd.Series(model.score(np.array([features((x or "").encode()) for x in texts]).reshape(len(texts), len(FEATURES))))
 
     name = fresh_name(docs, "score")
     return docs.withColumn(name, score(F.col("text"))).where(F.col(name) >= THRESHOLD).select(*docs.columns)

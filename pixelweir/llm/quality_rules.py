@@ -10,6 +10,8 @@ give repeated rows; an empty table gives an empty ledger; other columns of the i
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +80,7 @@ def dup_lines(text: bytes) -> tuple[int, int]:
     return len(lines) - len(set(lines)), len(lines)
 
 
-def measure(texts: list[bytes]) -> dict[str, list[int]]:
+def measure(texts: Iterable[bytes]) -> dict[str, list[int]]:
     """The measurements of each text."""
     out: dict[str, list[int]] = {x.strip().split(" ")[0]: [] for x in MEASURES.split(",")}
     for text in texts:
@@ -134,7 +136,7 @@ def keep_passing(docs: DataFrame, policy: str) -> DataFrame:
     def measured(texts):
         import pandas as pd
 
-        return pd.DataFrame(measure([b"" if x is None else x.encode() for x in texts]), columns=names)
+        return pd.DataFrame(measure(b"" if x is None else x.encode() for x in texts), columns=names)
 
     held = fresh_name(docs, "measured")
     rows = docs.withColumn(held, measured(F.col("text")))
