@@ -2,7 +2,7 @@
 
 For every prefix of a word there is exactly one last token of its encoding. A token that ends at the prefix (found by an
 automaton over all tokens, which reports every token that is a suffix of the text read so far) is that last token if the two
-tokens around its start are compatible: merging their concatenation gives back exactly the two. Following the last
+tokens around its start are compatible: merging their concatenation gives back exactly the two, which shows at the seam alone. Following the last
 tokens backwards gives the ids of the word, in time linear in its length, whatever the order of merges.
 
 The tokenizer file states the rules around the words: added tokens, normaliser, splitting pattern, end-of-word suffix. Those
@@ -22,8 +22,11 @@ import json
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
+from typing import Iterator
 
 import ahocorasick
+import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +36,11 @@ from pixelweir.llm.common import documents, per_row
 END = "</w>"
 #: Stands for the end-of-word suffix inside the automaton; no character of the byte alphabet.
 MARK = "\x01"
-CACHED_WORDS = 150_000
+#: Words kept since the last change of generation; as many older ones may be held.
+CACHED_WORDS = 100_000
+CACHED_PAIRS = 200_000
+#: Number of ids, ids and tokens as text, ids as bytes.
+Word = tuple[int, str, str, bytes]
 SPACES = regex.compile(r"\s+")
 #: Lower case letters of Unicode 16 and 17, which the tokenizers library knows and Python 3.13 does not.
 NEWER_CASE = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {0x10D50 + k: 0x10D70 + k for k in range(22)} | {0x16EA0 + k: 0x16EBB + k for k in range(25)}
@@ -69,14 +76,17 @@ class WordBpe:
         self.split_newer = regex.compile(self.split.pattern.replace("[\\p{L}]", f"(?:(?![{newer}])\\p{{L}})").replace("[\\p{N}]", f"(?:(?![{newer}])\\p{{N}})").replace("[^\\s\\p{L}\\p{N}]", f"(?:[{newer}]|[^\\s\\p{{L}}\\p{{N}}])"))
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bytes = {b: c for b, c in enumerate(byte_alphabet())}
+        self.halves = {x + y: (x, y, k) for (x, y), k in self.ranks.items()}
+        self.spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.automaton = ahocorasick.Automaton()
         for token, i in self.vocab.items():
             key = token[: -len(END)] + MARK if token.endswith(END) and len(token) > len(END) else token
             self.automaton.add_word(key, (i, len(key), token))
         self.automaton.make_automaton()
         self.whole: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, Word] = {}
+        self.older: dict[str, Word] = {}
 
     def symbols(self, token: str) -> list[str]:
         """The symbols that merging starts from: characters, the last with the suffix if the token ends a word."""
@@ -100,13 +110,34 @@ class WordBpe:
             known = self.whole[i] = self.merged(self.symbols(self.tokens[i])) == [self.tokens[i]]
         return known
 
+    def spine(self, i: int, side: int) -> list[tuple[str, int]]:
+        """The symbols that stand at a token's left (0) or right (1) edge while it is merged, each with the rank that ends it."""
+        if (known := self.spines[side].get(i)) is None:
+            known, token, end = [], self.tokens[i], 1 << 60
+            while token is not None:
+                known.append((token, end))
+                halves = self.halves.get(token)
+                token, end = (halves[side], halves[2]) if halves else (None, end)
+            self.spines[side][i] = known
+        return known
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether b may follow a: merging both texts together gives back the two."""
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 2_000_000:
+        """Whether b may follow a: no pair of symbols that meet at the seam is merged while both are there.
+
+        A pair's rank is above the ranks of its symbols. Of two merges of one rank the left one is done first, so the seam gives
+        way to a merge within a and goes before one within b.
+        """
+        if (known := self.pairs.get(a << 32 | b)) is None:
+            if len(self.pairs) > CACHED_PAIRS:
                 self.pairs.clear()
-            x, y = self.tokens[a], self.tokens[b]
-            known = self.pairs[a, b] = self.merged(self.symbols(x) + self.symbols(y)) == [x, y]
+            rank = self.ranks.get
+            known = True
+            for x, x_end in self.spine(a, 1):
+                for y, y_end in self.spine(b, 0):
+                    r = rank((x, y))
+                    if r is not None and r < x_end and r <= y_end:
+                        known = False
+            self.pairs[a << 32 | b] = known
         return known
 
     def word_ids(self, word: str) -> list[int]:
@@ -114,30 +145,34 @@ class WordBpe:
         text = word + MARK
         n = len(text)
         last: list[tuple[int, int] | None] = [None] * n  # by the end of the prefix: token and where it starts
-        final = None
-        for end, (i, size, token) in self.automaton.iter(text):
-            start = end + 1 - size
-            closing = end == n - 1
-            if (final if closing else last[end]) is not None or (start and last[start - 1] is None) or not self.stands(i):
+        pairs, whole = self.pairs.get, self.whole.get
+        for end, (i, size, _) in self.automaton.iter(text):
+            if last[end] is not None or not (whole(i) or self.stands(i)):
                 continue
-            if start == 0 or self.compatible(last[start - 1][0], i):
-                if closing:
-                    final = (i, start)
-                else:
-                    last[end] = (i, start)
-        out, step = [], final
+            start = end + 1 - size
+            if start:
+                before = last[start - 1]
+                if before is None:
+                    continue
+                fits = pairs(before[0] << 32 | i)
+                if not (self.compatible(before[0], i) if fits is None else fits):
+                    continue
+            last[end] = (i, start)
+        out, step = [], last[n - 1]
         while step is not None:
             out.append(step[0])
             step = last[step[1] - 1] if step[1] else None
         return out[::-1]
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """For a word of normalised text: number of ids, the ids and the tokens joined by spaces."""
+    def word(self, word: str) -> Word:
+        """For a word of normalised text: number of ids, the ids and the tokens joined by spaces, and the ids as 32-bit numbers."""
         if (known := self.words.get(word)) is None:
-            if len(self.words) > CACHED_WORDS:
-                self.words.clear()
-            ids = self.word_ids("".join(map(self.bytes.__getitem__, word.encode())))
-            known = self.words[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)))
+            if len(self.words) > CACHED_WORDS:  # words seen again meanwhile move over, the others go
+                self.words, self.older = {}, self.words
+            if (known := self.older.get(word)) is None:
+                ids = self.word_ids("".join(map(self.bytes.__getitem__, word.encode())))
+                known = (len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)), np.array(ids, np.int32).tobytes())
+            self.words[word] = known
         return known
 
     def normalised(self, text: str) -> str:
@@ -146,21 +181,34 @@ class WordBpe:
         text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
         return (text.translate(NEWER_CASE) if max(text) > "ᰀ" else text).replace("Σ", "σ").lower()  # character by character: no final sigma
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids and the decoded text (tokens), the last two joined by spaces."""
+    def found(self, text: str) -> list[Word]:
+        """What word() gives for the words and added tokens of a text, in order."""
         parts = self.split_added.split(text) if self.split_added is not None and "<|" in text else [text]
-        found: list[tuple[int, str, str]] = []
+        out: list[Word] = []
         for part in parts:
             if part in self.added:
-                found.append((1, str(self.added[part]), part))
+                out.append((1, str(self.added[part]), part, np.array([self.added[part]], np.int32).tobytes()))
             elif part:
                 plain = self.normalised(part)
                 split = self.split if plain.isascii() or self.newer.isdisjoint(plain) else self.split_newer
-                found += map(self.word, split.findall(plain))
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+                out += map(self.word, split.findall(plain))
+        return out
+
+    def encode(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids and the decoded text (tokens), the last two joined by spaces."""
+        found = self.found(text)
+        return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+
+    def id_array(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([x[3] for x in self.found(text)]), np.int32)
+
+    def forget(self) -> None:
+        """Drops the words and pairs seen so far."""
+        for cache in (self.words, self.older, self.pairs, *self.spines):
+            cache.clear()
 
     def ids(self, text: str) -> list[int]:
-        return [int(x) for x in self.encode(text)[1].split()]
+        return self.id_array(text).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text that the tokenizer's decode gives for ids, special tokens included."""
@@ -189,11 +237,11 @@ def encode(docs: DataFrame, file: str | None = None, text: str = "text", name: s
     file = file or default_file()
 
     @F.pandas_udf("array<int>")
-    def ids(texts):
-        import pandas as pd
-
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = encoder(file)
-        return pd.Series([tokenizer.ids(x or "") for x in texts])
+        for texts in batches:
+            yield pd.Series([tokenizer.id_array(x or "") for x in texts], dtype=object)
+        tokenizer.forget()  # the process stays for other work
 
     return docs.withColumn(name, ids(F.col(text)))
 
@@ -204,8 +252,6 @@ def decode(rows: DataFrame, file: str | None = None, ids: str = "input_ids", nam
 
     @F.pandas_udf("string")
     def texts(column):
-        import pandas as pd
-
         tokenizer = encoder(file)
         return pd.Series([tokenizer.decode(x if x is not None else []) for x in column])
 
