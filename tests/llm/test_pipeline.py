@@ -1,9 +1,12 @@
 """The pipeline stage by stage against plain versions of each."""
 
+import hashlib
+import math
+
 import pytest
 
 from pixelweir.llm import bpe, quality_classifier, quality_rules
-from tests.llm.fixtures import documents, empty, wide
+from tests.llm.fixtures import SCHEMA, documents, empty, wide
 from tests.llm.test_near_dedup import plain_near_duplicates
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -53,3 +56,37 @@ def test_awkward_documents(spark, sf_dir):
                 assert found.columns == given.columns
                 docs = found
             found.count()
+
+
+def plain_schedule(rows, block_docs=64, resolution=512):
+    """doc_id to (slot, in_block), one slot at a time: of the sources with a released block, the one whose deadline comes first."""
+    names = sorted({s for _, s in rows})
+    queues = {s: sorted((i for i, x in rows if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for s in names}
+    roots = {s: math.isqrt(len(q)) for s, q in queues.items()}
+    share = {s: max(1, r * resolution // sum(roots.values())) for s, r in roots.items()}
+    total, done, out, slot = sum(share.values()), dict.fromkeys(names, 0), {}, 0
+    while len(out) < len(rows):
+        _, s = min((-(-(done[s] + 1) * total // share[s]), s) for s in names if done[s] * total < (slot + 1) * share[s])
+        for k, i in enumerate(queues[s][done[s] * block_docs : (done[s] + 1) * block_docs]):
+            out[i] = (slot, k)
+        done[s] += 1
+        slot += 1
+    return out
+
+
+def test_places_of_the_mixture_reach_the_result(spark, sf_dir):
+    sources = ["a"] * 700 + ["b"] * 150 + ["c"] * 40
+    rows = [(i, f"text number {i}", "en", s, 10) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    found = corpus_pipeline.tokens(spark, corpus_pipeline.mixture(spark, docs, sf_dir).repartition(5), sf_dir).collect()
+    assert {r["doc_id"]: (r["slot"], r["in_block"]) for r in found} == plain_schedule([(i, s) for i, _, _, s, _ in rows])
+    tokenizer = bpe.encoder(bpe.default_file())
+    assert {r["doc_id"]: r["input_ids"] for r in found} == {i: tokenizer.ids(t) for i, t, *_ in rows}
+
+
+def test_run_has_the_schedule_of_the_deduplicated_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, sf_dir)
+    found = corpus_pipeline.run(spark, sf_dir).select("doc_id", "slot", "in_block").collect()
+    assert {r["doc_id"]: (r["slot"], r["in_block"]) for r in found} == plain_schedule([(r["doc_id"], r["source"]) for r in docs.select("doc_id", "source").collect()])
