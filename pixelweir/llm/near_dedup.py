@@ -113,9 +113,9 @@ def _sketch(texts: list[bytes], width: int) -> dict[str, list]:
     return {"n_shingles": [len(x) for x in sets], "node": node, "bands": pa.array(bands, pa.list_(pa.int64()))}
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node and bands of every document."""
-    return per_row(docs, ["doc_id", "text"], "n_shingles long, node long, bands array<bigint>", lambda x: _sketch(x["text"], width)).drop("text")
+def sketches(docs: DataFrame, width: int, columns: list[str]) -> DataFrame:
+    """The given columns, n_shingles, node and bands of every document."""
+    return per_row(docs, [*columns, "text"], "n_shingles long, node long, bands array<bigint>", lambda x: _sketch(x["text"], width)).drop("text")
 
 
 def pack(shingles: np.ndarray) -> bytes:
@@ -255,13 +255,17 @@ def roots(sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return checkpointed(connected_components(links.union(more)))
 
 
+def in_components(docs: DataFrame, width: int, percent: int, columns: list[str]) -> DataFrame:
+    """The given columns, n_shingles and root of every document; root is null for one without shingles or doc_id."""
+    sketched = written(sketches(docs, width, columns), "sketches")
+    labels = roots(sketched.where("doc_id IS NOT NULL"), docs, width, percent)
+    rows = sketched.select(*columns, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    return rows.join(labels, "node", "left").select(*columns, "n_shingles", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; links need a similarity of percent / 100 or more."""
-    sketched = written(sketches(docs, width), "sketches")
-    counted = sketched.where("doc_id IS NOT NULL")
-    labels = roots(counted, docs, width, percent)
-    rows = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    placed = rows.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    placed = in_components(docs, width, percent, ["doc_id"])
     lowest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("lowest"))
     out = placed.join(lowest, "root", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -270,16 +274,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that another of their group stands for; the columns stay.
 
-    Rows that repeat a doc_id and a text stand for each other too: one of them stays.
+    Rows are told apart by doc_id and text (its 64-bit hash): the least row of a group stays, whatever other texts its doc_id or
+    theirs has. Rows that repeat a doc_id and a text stand for each other too: one of them stays.
     """
-    found = checkpointed(near_duplicates(docs, width, percent))
-    kept = only_ids(docs, found.where("NOT kept").select("doc_id").distinct(), "left_anti")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if again.isEmpty():
-        return kept
     mark = fresh_name(docs, "text_mark")
-    repeated = only_ids(kept, again).withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
-    return only_ids(kept, again, "left_anti").unionByName(repeated.select(*docs.columns))
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    placed = in_components(marked, width, percent, ["doc_id", mark])
+    lowest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", mark)).alias("lowest"))
+    stays = F.col("lowest").isNull() | (F.struct("doc_id", mark) == F.col("lowest"))
+    found = checkpointed(placed.join(lowest, "root", "left").select("doc_id", mark, stays.alias("kept")))
+    again = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    if again.isEmpty():
+        return only_ids(docs, gone, "left_anti")
+    # an id on one row goes by the id alone; rows that share an id go by their text as well
+    single = only_ids(docs, gone.union(again).distinct(), "left_anti")
+    chosen = only_ids(found.where("kept"), again).select("doc_id", mark).distinct()
+    repeated = only_ids(marked, again).dropDuplicates(["doc_id", mark]).join(chosen, ["doc_id", mark], "left_semi")
+    return single.unionByName(repeated.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from pixelweir.llm import near_dedup
 from pixelweir.llm.components import connected_components
-from tests.llm.fixtures import documents, empty, holds_up, rows, same, wide
+from tests.llm.fixtures import documents, empty, holds_up, prose, rows, same, wide
 
 
 def plain_components(n, edges):
@@ -107,6 +107,20 @@ def test_one_of_each_group_stays(spark):
     assert near_dedup.keep_one(empty(spark)).collect() == []
 
 
+def test_rows_that_share_an_id_are_decided_one_by_one(spark, monkeypatch):
+    words = prose(21, 200).split()
+    near = " ".join([*words[:100], "changed", *words[101:]])
+    twin = prose(22, 200)
+    given = [(3, prose(23, 100)), (5, prose(24, 100)), (5, prose(23, 100)), (1, " ".join(words)), (1, near), (2, near), (7, twin), (7, twin), (8, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    for limit in (near_dedup.BROADCAST_IDS, 0):
+        monkeypatch.setattr(near_dedup, "BROADCAST_IDS", limit)
+        got = [tuple(r) for r in near_dedup.keep_one(docs).collect()]
+        first = [r for r in got if r[0] in (1, 2)]
+        assert len(first) == 1 and first[0] in given[3:5]
+        assert Counter(r for r in got if r[0] > 2) == Counter([given[0], given[1], given[6], given[8], given[9]])
+
+
 def test_large_sets_of_ids_are_joined(spark, monkeypatch):
     expected = near_dedup.keep_one(documents(spark)).collect()
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
