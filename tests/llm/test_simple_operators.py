@@ -95,6 +95,26 @@ def test_licence_texts_need_their_key_phrases(spark):
     assert [(r["label"], r["coverage"]) for r in found] == [("mit", 1.0)]
 
 
+#: From the public licences, unmodified.
+BSD3 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+{}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+{}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+
+
+def test_unmodified_licence_texts(spark):
+    texts = {1: BSD3.format("1. ", "2. ", "3. "), 2: BSD3.format("* ", "* ", "* "), 3: GPL.format(3), 4: GPL.format(2), 5: ISC}
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: "bsd-3", 2: "bsd-3", 3: "gpl-3", 4: "gpl-2", 5: "isc"}
+
+
 def test_document_frequencies(spark):
     total, holds = license_scan.document_frequencies(documents(spark))
     assert total == len(rows())
