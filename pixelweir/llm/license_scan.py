@@ -3,8 +3,8 @@
 Templates are word sequences. The index lists, for each of their words, the templates and positions it stands at. How
 rare a word is comes from all documents: one pass counts the documents that hold each licence word. A phrase's anchor is its
 rarest word, so each place of a phrase shows up at an occurrence of its anchor; a text template is
-found from its rarest words together, by the relative positions (place in the file minus place in the template) on which most of
-them agree.
+found from its rarest words together, at each relative position (place in the file minus place in the template) on which, or near
+which, half of them agree.
 Every candidate is then verified: a phrase word by word, a text template by its coverage and its mandatory key phrases.
 
 Defined results: a null or empty text has no words, no labels and score 0; rows are never merged; an empty table gives an empty
@@ -109,7 +109,7 @@ class PositionalIndex:
         words = words_of(text)
         if self.anchors.isdisjoint(words):
             return len(words), []
-        votes: Counter[tuple[int, int]] = Counter()
+        votes: dict[tuple[int, int], list[int]] = defaultdict(list)
         phrases = []
         for at, word in enumerate(words):
             if word in self.anchors:
@@ -117,19 +117,46 @@ class PositionalIndex:
                     if word in self.of[t]:
                         template = self.templates[t]
                         if not template.whole:
-                            votes[t, at - inside] += 1
+                            votes[t, at - inside].append(inside)
                         elif stands_at(template.words, words, at - inside):
                             phrases.append((t, at - inside))
         out = [(t, at, at + len(self.templates[t].words), 1.0) for t, at in sorted(set(phrases))]
-        best: dict[int, tuple[int, int]] = {}
-        for (t, shift), n in sorted(votes.items()):
-            if n > best.get(t, (0, 0))[0]:
-                best[t] = (n, shift)
-        for t, (n, shift) in best.items():
-            if n >= max(2, len(self.of[t]) // 2):
-                out += self.verified(t, shift, words)
+        by_template: dict[int, dict[int, list[int]]] = defaultdict(dict)
+        for (t, shift), inside in sorted(votes.items()):
+            by_template[t][shift] = inside
+        for t, shifts in by_template.items():
+            out += self.places(t, shifts, words)
         return len(words), out
 
+    def places(self, t: int, shifts: dict[int, list[int]], words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """All verified places of a text template, from the anchors (positions in it) that vote for each shift, in rising order.
+
+        Shifts within a quarter of the template's size vote together, for the one that has most of them, as words may be added or missing in between. Of
+        verified places nearer than half its size the one with most votes counts.
+        """
+        size = len(self.templates[t].words)
+        order, least = list(shifts), max(2, len(self.of[t]) // 2)
+        together: Counter[int] = Counter()
+        candidates: dict[int, int] = {}
+        end = 0
+        for start, low in enumerate(order):
+            while end < len(order) and order[end] <= low + size // 4:
+                together.update(shifts[order[end]])
+                end += 1
+            if len(together) >= least:
+                best = max(order[start:end], key=lambda s: len(shifts[s]))
+                candidates[best] = max(candidates.get(best, 0), len(together))
+            for inside in shifts[low]:
+                together[inside] -= 1
+                if not together[inside]:
+                    del together[inside]
+        found: dict[int, tuple[int, int, int, float]] = {}
+        for shift in sorted(candidates, key=lambda s: (-len(shifts[s]), -candidates[s], s)):
+            if not any(s in found for s in range(shift - size // 2 + 1, shift + size // 2)):
+                for place in self.verified(t, shift, words):
+                    found[shift] = place
+        return [found[s] for s in sorted(found)]
+
     def verified(self, t: int, shift: int, words: list[bytes]) -> list[tuple[int, int, int, float]]:
         """A text template at a relative position, if enough of it and all its key phrases are there; words may be added or missing."""
         template = self.templates[t]

@@ -109,10 +109,21 @@ GPL = "This program is free software; you can redistribute it and/or modify it u
 ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 
 
-def test_unmodified_licence_texts(spark):
-    texts = {1: BSD3.format("1. ", "2. ", "3. "), 2: BSD3.format("* ", "* ", "* "), 3: GPL.format(3), 4: GPL.format(2), 5: ISC}
+def test_unmodified_licence_texts_and_texts_with_words_between(spark):
+    isc = ISC.lower().replace(",", "").split()
+    spread = " ".join(w + (" added" if k in (3, 7, 10, 21, 25, 29) else "") for k, w in enumerate(isc))
+    texts = {1: BSD3.format("1. ", "2. ", "3. "), 2: BSD3.format("* ", "* ", "* "), 3: GPL.format(3), 4: GPL.format(2), 5: ISC, 6: prose(4, 80) + " " + spread + " " + prose(5, 80)}
     got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got == {1: "bsd-3", 2: "bsd-3", 3: "gpl-3", 4: "gpl-2", 5: "isc"}
+    assert got == {1: "bsd-3", 2: "bsd-3", 3: "gpl-3", 4: "gpl-2", 5: "isc", 6: "isc"}
+
+
+def test_every_place_of_a_licence_text(spark):
+    changed = ISC.replace("hereby granted", "not given")
+    texts = {1: f"{GPL.format(2)} {prose(1, 100)} {GPL.format(3)}", 2: f"{changed} {prose(2, 100)} {ISC} {prose(3, 100)} {ISC} {ISC}"}
+    found = license_scan.matches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    n = len(license_scan.words_of(ISC.encode()))
+    assert sorted((r["label"], r["first_word"]) for r in found if r["doc_id"] == 1) == [("gpl-2", 0), ("gpl-3", len(license_scan.words_of(GPL.format(2).encode())) + 100)]
+    assert sorted((r["label"], r["first_word"]) for r in found if r["doc_id"] == 2) == [("isc", n + 100), ("isc", 2 * n + 200), ("isc", 3 * n + 200)]
 
 
 def test_document_frequencies(spark):
