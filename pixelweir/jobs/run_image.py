@@ -61,10 +61,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         sums, _ = stored_sums(messages.message_table(spark, args.messages), table, config, args.verify_all)
         sums.write.mode("overwrite").parquet(f"{args.out}/sums/batch=0")
     elapsed = time.perf_counter() - began
-    image_stream.snapshot(spark, f"{args.out}/sums", config).write.mode("overwrite").parquet(f"{args.out}/image")
+    sums = image_stream.passed_sums(spark, f"{args.out}/sums") if args.stream else spark.read.schema(image_stream.SUMS).parquet(f"{args.out}/sums")
+    image_stream.image_of(sums, config).write.mode("overwrite").parquet(f"{args.out}/image")
     if args.npy:
         np.save(args.npy, as_array(spark.read.parquet(f"{args.out}/image"), config))
-    return report(spark.read.schema(image_stream.SUMS).parquet(f"{args.out}/sums"), config, elapsed)
+    return report(sums, config, elapsed)
 
 
 def arguments(given: list[str] | None = None) -> argparse.Namespace:

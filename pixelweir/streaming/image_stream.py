@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pixelweir.functions.config import ScanConfig
-from pixelweir.operators import decode, image
+from pixelweir.operators import decode, image, series
 
 SUMS = "seq long, image_id long, s double, error string"
+#: Beside the sums, the table has a row for each start, image and end message; only these have a series and a type.
+TABLE = f"{SUMS}, series long, type string"
 
 
 def gate(bounds: DataFrame, config: ScanConfig) -> DataFrame:
@@ -25,7 +27,7 @@ def gate(bounds: DataFrame, config: ScanConfig) -> DataFrame:
 
 
 def run_sums(raw: DataFrame, weights: list[float], config: ScanConfig, table: str, checkpoint: str, verify_all: bool = False) -> None:
-    """Reads what a stream of (seq, raw) has, to its end, and adds one row for each frame to the Parquet table.
+    """Reads what a stream of (seq, raw) has, to its end, and adds each frame's sum and each message's series and type to the Parquet table.
 
     Each micro-batch writes a folder named by its number, overwriting what an interrupted try left there, so a replay after a lost
     driver or executor changes nothing. A start message that does not fit stops the run before its frames are written.
@@ -36,19 +38,33 @@ def run_sums(raw: DataFrame, weights: list[float], config: ScanConfig, table: st
         bad = gate(found, config).select("reason").take(1)
         if bad:
             raise ValueError(f"series start: {bad[0]['reason']}")
-        decode.decoded_sums(found, weights, config, verify_all).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        kinds = found.where("type IN ('start', 'image', 'end')").select("seq", F.coalesce("series", F.lit(0).cast("long")).alias("series"), "type")
+        rows = decode.decoded_sums(found, weights, config, verify_all).unionByName(kinds, allowMissingColumns=True)
+        rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     query = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def snapshot(spark: SparkSession, table: str, config: ScanConfig) -> DataFrame:
-    """The image of all frames written so far; of an id sent twice the later frame counts."""
-    sums = spark.read.schema(f"{SUMS}, batch int").parquet(table).where("error IS NULL")
+def passed_sums(spark: SparkSession, table: str) -> DataFrame:
+    """The sums written so far of frames between their series' start and its end, whatever batches these came in."""
+    rows = spark.read.schema(TABLE).parquet(table)
+    inside = series.gated(rows.where("type IS NOT NULL").select("series", "seq", "type"))
+    return rows.where("type IS NULL").drop("series", "type").join(inside.select("seq"), "seq", "left_semi")
+
+
+def image_of(sums: DataFrame, config: ScanConfig) -> DataFrame:
+    """The image of the frames without error; of an id sent twice the later frame counts."""
+    sums = sums.where("error IS NULL")
     sums = sums.join(image.out_of_range(sums.select("image_id").distinct(), config), "image_id", "left_anti")
     return image.grid(image.last_wins(sums).select("image_id", "s"), sums, config)
 
 
+def snapshot(spark: SparkSession, table: str, config: ScanConfig) -> DataFrame:
+    """The image of all frames written so far that pass the gate."""
+    return image_of(passed_sums(spark, table), config)
+
+
 def stream_gate(messages: DataFrame) -> DataFrame:
     """series and seq of the image messages of a stream (series, seq, type) between a series' start and its end.
 

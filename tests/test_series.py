@@ -117,6 +117,18 @@ def test_stream_image_any_split(spark, tmp_path):
     assert results[0] == results[1] == [(k // 3, k % 3, float(((np.arange(1, 65) + k) * w).sum()), True) for k in range(6)]
 
 
+def test_stream_image_skips_frames_outside_the_gate(spark, tmp_path):
+    ws = image.weight_array(weights.weight_map(weights.pixel_grid(spark, CONFIG), CONFIG))
+    sent(spark, f"{tmp_path}/in")
+    stray = spark.createDataFrame([(-5, 1), (20, 0), (21, 7)], "seq long, image_id long").withColumn("frame", F.array_repeat(F.lit(9).cast("long"), 64))
+    encode.encode_frames(stray, CONFIG, "<u2", block_size=48).write.mode("append").parquet(f"{tmp_path}/in")
+    image_stream.run_sums(messages.message_stream(spark, f"{tmp_path}/in", 1), ws, CONFIG, f"{tmp_path}/sums", f"{tmp_path}/checkpoint")
+    got = sorted(map(tuple, image_stream.snapshot(spark, f"{tmp_path}/sums", CONFIG).collect()))
+    w = np.array(ws)
+    assert got == [(k // 3, k % 3, float(((np.arange(1, 65) + k) * w).sum()), True) for k in range(6)]
+    assert image_stream.passed_sums(spark, f"{tmp_path}/sums").count() == 6
+
+
 def test_stream_stops_on_a_start_that_does_not_fit(spark, tmp_path):
     sent(spark, f"{tmp_path}/in")
     other = CONFIG.with_(detector=(4, 4))
