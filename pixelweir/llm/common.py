@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,12 +11,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-
+from pyspark.sql.window import Window
 
 #: Arrow types of simple columns; columns of other types must come as Arrow arrays.
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 #: Rows that a task turns into Python values at a time.
 SLICE = 1000
+#: Rows of one range of numbered(): at first this many, beyond MANY ranges up to the second figure.
+RANGE_ROWS, MOST_RANGE_ROWS, MANY = 20_000, 1_000_000, 1000
+#: A key with more than this share of all rows is hot; there are at most as many such keys.
+HOT_KEYS = 4096
+#: Rows of a few numbers that may be sent to every executor.
+BROADCAST_ROWS = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +59,12 @@ def per_row(df: DataFrame, columns: list[str], made: str, work: Callable[[dict[s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets a temporary one."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -81,3 +90,33 @@ def fresh_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str, rows: int | None = None) -> DataFrame:
+    """df with `name`: each row's number, from 0, in the given order (of equal rows any may come first).
+
+    Ranges of the order are cut by Spark so that they hold about equally many rows, however the values lie; each is sorted by one
+    task, and starts at the number of rows before it. The ranges are written to the shared folder first, so that their numbers stay.
+    """
+    rows = df.count() if rows is None else rows
+    ranges = max(1, min(MANY, math.ceil(rows / RANGE_ROWS)), math.ceil(rows / MOST_RANGE_ROWS))
+    part, at = fresh_name(df, "range_part"), fresh_name(df, "range_at")
+    cut = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = written(cut.withColumn(part, F.spark_partition_id()).withColumn(at, number), "ranges")
+    counts = held.groupBy(F.col(part).alias("part_key")).agg(F.count("*").alias("part_rows"))
+    before = F.sum("part_rows").over(Window.orderBy("part_key").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("part_key", F.coalesce(before, F.lit(0)).alias("part_start"))
+    found = held.join(F.broadcast(starts), F.col(part) == F.col("part_key"))
+    return found.withColumn(name, F.col(at) + F.col("part_start")).select(*df.columns, name)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key and says in `count` how many rows of left have it (of `rows` in all).
+
+    Keys of more than one row in HOT_KEYS are joined by broadcast (there are at most HOT_KEYS of them), so that no task gets all the
+    rows of one; the others by a shuffle on the key. Rows with a null key have no partner.
+    """
+    hot = F.col(count) * HOT_KEYS > rows
+    few, rest = F.broadcast(right.where(hot).drop(count)), right.where(~hot).drop(count)
+    return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(rest, key, how))

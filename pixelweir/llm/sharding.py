@@ -3,14 +3,17 @@
 Rows that belong together (here: equal texts) form a group that no shard boundary cuts. Groups are packed by falling size,
 each into the shard with the least remaining capacity that still holds it, found in a balanced tree.
 
-The packing itself sees a bounded number of items whatever the input: a group larger than 1 / FINE of a shard is an item of
-its own (at most FINE * shards of them), and all other groups are bundled by hash into BUNDLES items. Sizes, groups and
-bundles are summed by Spark; only the items' sizes reach the driver, and only their shards go back.
+Groups of one size are interchangeable, so the packing works on runs of them: the driver gets one row for each distinct size with
+the number of its groups, and the tightest shard takes as many of a run as it holds before the next is looked for, just as it would
+one by one. Distinct sizes are at most the root of twice all bytes. Groups are numbered by falling size on the executors; the
+plan is a list of ranges of these numbers with their shards.
 
 For a given number of shards the capacity is the smallest, within a thousandth, that the packing fills with that many.
 
-Defined results: a null text has no bytes and counts as an empty one in its group; rows are never merged; a group larger than
-the fair share gets a shard to itself; an empty table gives an empty result; other columns are not read.
+Defined results: a null text has no bytes and counts as an empty one in its group; groups of equal size go in the order of their
+names; rows are never merged; a group larger than the capacity (or the fair share) gets a shard to itself; texts are read only
+to their length and digests, so a very long one is a large group and no more; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,13 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweir.llm.common import checkpointed, documents
+from pixelweir.llm import common
+from pixelweir.llm.common import documents, hot_join, written
 
-FINE = 256
-BUNDLES = 4096
 SHARDS = 8
-#: Rows of a shard are numbered in ranges of about this many.
-RANGE_ROWS = 20_000
+#: Numbers of groups that are looked up in the plan together.
+SLICE = 1024
 
 
 class _Node:
@@ -81,78 +83,90 @@ class CapacityTree:
         return first.key
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item; an item larger than the capacity gets a bin of its own. Items of equal size go in the order given."""
-    tree, bins, out = CapacityTree(), 0, [0] * len(sizes)
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        found = tree.take(sizes[k])
-        if found is None:
-            found, bins = (capacity, bins), bins + 1
-        out[k] = found[1]
-        tree.add(max(0, found[0] - sizes[k]), found[1])
+#: Numbers of groups from the first up to (not with) the second, and their bin.
+Piece = tuple[int, int, int]
+
+
+def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[Piece] | None:
+    """The bins of groups numbered by falling size, given as runs of (size, number of groups); None if there would be more than `most` bins.
+
+    A group larger than the capacity gets a bin of its own.
+    """
+    tree, bins, at, out = CapacityTree(), 0, 0, []
+    for size, count in runs:
+        end = at + count
+        while at < end:
+            found = tree.take(size)
+            if found is None:
+                if bins == most:
+                    return None
+                found, bins = (capacity, bins), bins + 1
+            remaining, number = found
+            n = min(end - at, max(1, remaining // size) if size else end - at)
+            if out and out[-1][2] == number:
+                out[-1] = (out[-1][0], at + n, number)
+            else:
+                out.append((at, at + n, number))
+            tree.add(max(0, remaining - n * size), number)
+            at += n
     return out
 
 
-def pack_into(sizes: list[int], shards: int) -> list[int]:
+def pack_into(runs: list[tuple[int, int]], shards: int) -> list[Piece]:
     """A packing of least capacity, within a thousandth, that needs no more than the given number of bins."""
-    if not sizes:
+    if not runs:
         return []
-    low = max(1, math.ceil(sum(sizes) / shards))
-    found, high = best_fit_decreasing(sizes, low), low
-    while max(found) >= shards:
-        high = high + max(1, high // 64)
-        found = best_fit_decreasing(sizes, high)
+    low = high = max(1, math.ceil(sum(size * count for size, count in runs) / shards))
+    while (found := best_fit_decreasing(runs, high, shards)) is None:
+        high += max(1, high // 64)
     while high - low > max(1, low // 1000):
         middle = (low + high) // 2
-        tried = best_fit_decreasing(sizes, middle)
-        if max(tried) < shards:
-            high, found = middle, tried
-        else:
+        tried = best_fit_decreasing(runs, middle, shards)
+        if tried is None:
             low = middle
+        else:
+            high, found = middle, tried
     return found
 
 
-def _items(rows: DataFrame, shards: int) -> DataFrame:
-    """group_, item_ and bytes_ of each group: its own item if it is large, else a bundle."""
-    groups = rows.groupBy("group_").agg(F.sum("size").alias("bytes_"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    large = F.col("bytes_") * (FINE * shards) > total
-    bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("group_"), F.lit(BUNDLES)).cast("string"))
-    return groups.select("group_", "bytes_", F.when(large, F.col("group_")).otherwise(bundle).alias("item_"))
+def _placed(groups: DataFrame, pieces: list[Piece], n_groups: int) -> DataFrame:
+    """Numbered groups with the shard of the piece that their number lies in; both are cut into slices of numbers and joined by these."""
+    plan = groups.sparkSession.createDataFrame(pieces, "from_ long, to_ long, shard int")
+    sliced = plan.withColumn("slice_", F.explode(F.sequence(F.expr(f"from_ DIV {SLICE}"), F.expr(f"(to_ - 1) DIV {SLICE}"))))
+    if len(pieces) + n_groups // SLICE <= common.BROADCAST_ROWS:
+        sliced = F.broadcast(sliced)
+    return groups.withColumn("slice_", F.expr(f"number_ DIV {SLICE}")).join(sliced, "slice_").where("from_ <= number_ AND number_ < to_").select("group_", "n_", "shard")
 
 
 def packed(rows: DataFrame, shards: int | None = SHARDS, capacity: int | None = None) -> DataFrame:
-    """rows (with size and group_) with a column shard: `shards` of equal capacity, or as few as hold `capacity` each."""
-    items = checkpointed(_items(rows, shards or 64))
-    sizes = items.groupBy("item_").agg(F.sum("bytes_").alias("bytes_")).orderBy("item_").collect()
-    weights = [r["bytes_"] for r in sizes]
-    placed = best_fit_decreasing(weights, capacity) if capacity else pack_into(weights, shards)
-    plan = rows.sparkSession.createDataFrame([(r["item_"], s) for r, s in zip(sizes, placed, strict=True)], "item_ string, shard int")
-    where = items.join(F.broadcast(plan), "item_").select("group_", "shard")
-    return rows.join(where, "group_")
+    """rows (with size and group_) with a column shard: `shards` of equal capacity, or as few as hold `capacity` each.
+
+    rows are read several times, so they should be stored.
+    """
+    groups = rows.groupBy("group_").agg(F.sum("size").alias("bytes_"), F.count("*").alias("n_"))
+    held = written(common.numbered(written(groups, "groups"), [F.col("bytes_").desc(), F.col("group_")], "number_"), "numbers")
+    sizes = held.groupBy("bytes_").agg(F.count("*").alias("groups_"), F.sum("n_").alias("rows_")).toArrow().sort_by([("bytes_", "descending")])
+    runs = list(zip(sizes.column("bytes_").to_pylist(), sizes.column("groups_").to_pylist(), strict=True))
+    pieces = best_fit_decreasing(runs, capacity) if capacity else pack_into(runs, shards)
+    where = _placed(held, pieces, held.count())
+    return hot_join(rows, where, "group_", "n_", sum(sizes.column("rows_").to_pylist()))
 
 
 def numbered(rows: DataFrame, by: list[Column], slot: str = "slot") -> DataFrame:
-    """rows with a number within their shard, gapless from 0.
-
-    A shard is cut into hash ranges of its rows; a range's first number is the count of the ranges before it, so no task
-    orders a whole shard.
-    """
-    ranges = max(1, math.ceil(rows.count() / RANGE_ROWS))
-    ranged = rows.withColumn("range_", F.pmod(F.xxhash64(*by), F.lit(ranges)))
-    counts = ranged.groupBy("shard", "range_").agg(F.count("*").alias("n_"))
-    before = F.sum("n_").over(Window.partitionBy("shard").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("shard", "range_", F.coalesce(before, F.lit(0)).alias("start_"))
-    within = F.row_number().over(Window.partitionBy("shard", "range_").orderBy(*by))
-    return ranged.withColumn(slot, within).join(starts, ["shard", "range_"]).withColumn(slot, (F.col(slot) - 1 + F.col("start_")).cast("long")).drop("range_", "start_")
+    """rows with a number within their shard, gapless from 0; no task orders a whole shard."""
+    held = common.numbered(rows, [F.col("shard"), *by], "number_")
+    counts = rows.groupBy("shard").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("shard", F.coalesce(before, F.lit(0)).alias("start_"))
+    starts = F.broadcast(starts) if counts.count() <= common.BROADCAST_ROWS else starts
+    return held.join(starts, "shard").withColumn(slot, (F.col("number_") - F.col("start_")).cast("long")).drop("number_", "start_")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, by the law `bytes`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.md5(text.cast("binary")).alias("group_"))
-    rows = checkpointed(rows)
-    placed = numbered(packed(rows, shards), [F.col("doc_id"), F.col("group_")])
+    placed = numbered(written(packed(written(rows, "rows"), shards), "placed"), [F.col("doc_id"), F.col("group_")])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweir.llm import language_id, license_scan, ogg, quality_classifier, quality_rules, sharding, source_mixing
+from pixelweir.llm import common, language_id, license_scan, ogg, quality_classifier, quality_rules, sharding, source_mixing
 from pixelweir.llm import queries as llm
 from tests.conftest import rows_of
 from tests.llm.fixtures import documents, empty, holds_up, prose, rows, same, wide
@@ -254,32 +254,87 @@ def test_copies_stay_together_and_sizes_are_near(spark, sf_dir):
 
 
 def plain_best_fit(sizes, capacity):
-    bins, out = [], [0] * len(sizes)
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        fits = [(left, b) for b, left in enumerate(bins) if left >= sizes[k]]
+    """The bin of each item, one at a time, by falling size."""
+    bins, out = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(left, b) for b, left in enumerate(bins) if left >= size]
         if fits:
             b = min(fits)[1]
         else:
             b = len(bins)
             bins.append(capacity)
-        bins[b] = max(0, bins[b] - sizes[k])
-        out[k] = b
+        bins[b] = max(0, bins[b] - size)
+        out.append(b)
     return out
 
 
+def runs_of(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def one_by_one(pieces):
+    return [b for start, stop, b in pieces for _ in range(start, stop)]
+
+
 @pytest.mark.parametrize("seed", range(20))
-def test_tree_packs_like_a_plain_search(seed):
+def test_runs_pack_like_a_plain_search_of_single_groups(seed):
     rng = np.random.default_rng(seed)
-    sizes = rng.integers(0, 100, rng.integers(0, 200)).tolist()
-    assert sharding.best_fit_decreasing(sizes, 90) == plain_best_fit(sizes, 90)
+    sizes = rng.integers(0, (100, 12)[seed % 2], rng.integers(0, 400)).tolist()
+    for capacity in (90, 25, 7):
+        assert one_by_one(sharding.best_fit_decreasing(runs_of(sizes), capacity)) == plain_best_fit(sizes, capacity)
     if sizes:
-        assert max(sharding.pack_into(sizes, 5)) < 5
+        assert max(one_by_one(sharding.pack_into(runs_of(sizes), 5))) < 5
+    assert sharding.best_fit_decreasing([(10, 3)], 10, 2) is None
+
+
+def used(spark, groups, capacity):
+    given = spark.createDataFrame(groups, "group_ string, size long")
+    return sorted(r["n"] for r in sharding.packed(given, shards=None, capacity=capacity).groupBy("shard").agg(F.sum("size").alias("n")).collect())
 
 
 def test_fixed_capacity(spark):
-    given = spark.createDataFrame([(f"g{k}", 30) for k in range(10)] + [("big", 500)], "group_ string, size long")
-    used = sharding.packed(given, shards=None, capacity=90).groupBy("shard").agg(F.sum("size").alias("n")).collect()
-    assert sorted(r["n"] for r in used) == [30, 90, 90, 90, 500]
+    assert used(spark, [(f"g{k}", 30) for k in range(10)] + [("big", 500)], 90) == [30, 90, 90, 90, 500]
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_fixed_capacity_of_many_small_groups(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    assert used(spark, [(f"g{k}", 10) for k in range(20_000)], 25) == [20] * 10_000
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 60, 3000).tolist()
+    plain = Counter()
+    for size, b in zip(sorted(sizes, reverse=True), plain_best_fit(sizes, 100), strict=True):
+        plain[b] += size
+    assert used(spark, [(f"g{k}", n) for k, n in enumerate(sizes)], 100) == sorted(plain.values())
+
+
+def test_sharding_query_equals_a_plain_version(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    copies = Counter(t for _, t in docs)
+    name = {t: hashlib.md5(t.encode()).hexdigest() for t in copies}
+    order = sorted(copies, key=lambda t: (-copies[t] * (len(t.encode()) + 1), name[t]))
+    sizes = [copies[t] * (len(t.encode()) + 1) for t in order]
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.query(spark, sf_dir).collect()}
+    loads = Counter()
+    for t, size in zip(order, sizes, strict=True):
+        loads[got[next(i for i, x in docs if x == t)][0]] += size
+    # the bins are those of the one-by-one packing at a capacity between the largest load and a thousandth above it
+    shard_of = dict(zip(order, next(p for c in range(max(loads.values()), max(loads.values()) * 1002 // 1000 + 2) if max(p := plain_best_fit(sizes, c)) < 8 and all(got[i][0] == p[order.index(t)] for i, t in docs[:20])), strict=True))
+    assert {i: s for i, (s, _) in got.items()} == {i: shard_of[t] for i, t in docs}
+    for shard in range(8):
+        rows_ = sorted((i, name[t]) for i, t in docs if shard_of[t] == shard)
+        assert [got[i][1] for i, _ in rows_] == list(range(len(rows_)))
+
+
+def test_one_text_copied_very_often(spark, monkeypatch):
+    monkeypatch.setattr(common, "RANGE_ROWS", 50)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("copied")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    got = sharding.shard_documents(docs, 4).toPandas()
+    assert len(got) == 600
+    assert got[got.doc_id % 2 == 0]["shard"].nunique() == 1
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+        assert part.sort_values("slot").doc_id.is_monotonic_increasing
 
 
 # media
