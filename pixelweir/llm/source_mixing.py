@@ -2,87 +2,110 @@
 
 Every source's documents form blocks. A source with a share of q out of Q slots must run its block k in the window from its
 release, floor(k * Q / q), to its deadline, ceil((k + 1) * Q / q). Earliest deadline first among the released blocks meets
-every deadline, so at any slot each source has had its share to within less than one block. Shares are whole numbers, so the schedule repeats
-after Q slots: only one period is worked out (Q rows, at most the resolution plus the number of sources), and every block
-of every source takes its slot from the period by arithmetic.
+every deadline, so at any slot each source has had its share to within less than one block.
+
+The target weights are whole numbers and are taken as they are: Q is their sum (without a common factor), and the schedule repeats
+after Q slots. One period is worked out from the weights alone, on the driver with two heaps (Q steps); every block of every
+source takes its slot from it by arithmetic, on the executors. Only if the sum exceeds PERIOD are the shares rounded to that many
+slots: every source gets one slot, and the others follow what the weights are above that slot, by largest remainders.
 
 All documents are placed. When a source has run out, its slots stay empty and the others keep their order and proportions.
-Within a source the order is by md5 of the doc_id. Ranks come from counts of hash ranges, so a hot source is
-numbered by many tasks.
+Within a source the order is by md5 of the doc_id. Rows are numbered in ranges that Spark cuts to equal size, so a hot source
+is numbered by many tasks.
 
 Defined results: a null source is a source of its own (weighted as any other); a null doc_id is ordered by the md5 of
-the empty text; rows that repeat an id get places next to each other; an empty table gives an empty schedule; other columns pass through mix() as
-they are, and schedule() does not read them.
+the empty text; rows that repeat an id get places next to each other, in any order; of blocks with the same deadline that of the
+first name runs first; a weight below 1 is an error, a source without a weight is left out, and so is a weight without documents;
+empty and very long texts count as one document each; an empty table gives an empty schedule; other columns pass through mix()
+as they are, and schedule() does not read them.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pixelweir.llm.common import documents, fresh_name
+from pixelweir.llm.common import documents, fresh_name, numbered
 
-RESOLUTION = 512
+#: Slots of a period that is worked out; also the largest number of sources.
+PERIOD = 1 << 19
 BLOCK_DOCS = 64
 
 
 def tempered_weights(docs: DataFrame, source: Column) -> DataFrame:
-    """name and weight of each source: the whole part of the square root of its documents."""
+    """name and share of each source: the whole part of the square root of its documents."""
     return docs.groupBy(source.alias("name")).agg(F.floor(F.sqrt(F.count("*"))).alias("share"))
 
 
-def one_period(shares: DataFrame, resolution: int | None = None) -> DataFrame:
-    """name, share, total, k (block in the period) and slot, for each slot of one period.
-
-    With a resolution, shares are first scaled to about that sum, each to 1 at least. One row holds all shares; the period is worked
-    out in it, step by step, with array functions.
+def whole_shares(weights: list[int], period: int = PERIOD) -> list[int]:
+    """The weights without their common factor; scaled to `period` slots, by largest remainders, if their sum is larger."""
+    if any(w < 1 for w in weights) or len(weights) > period:
+        raise ValueError(f"weights must be positive whole numbers, at most {period} of them")
+    factor = math.gcd(*weights) or 1
+    shares, total = [w // factor for w in weights], sum(weights) // factor
+    if total <= period:
+        return shares
+    # one slot for each source first, the others in proportion to what its weight is above that slot
+    above = [max(0, w * period - total) for w in shares]
+    free = period - len(shares)
+    scaled = [1 + x * free // sum(above) for x in above]
+    rest = sorted(range(len(shares)), key=lambda i: (-(above[i] * free % sum(above)), i))
+    for i in rest[: period - sum(scaled)]:
+        scaled[i] += 1
+    return scaled
+
+
+def one_period(shares: list[int]) -> list[int]:
+    """Which source runs at each slot of a period: of the released blocks the one of earliest deadline."""
+    total = sum(shares)
+    waiting, ready, order = [(0, i) for i in range(len(shares))], [], []  # by release; by deadline
+    done = [0] * len(shares)
+    for slot in range(total):
+        while waiting and waiting[0][0] <= slot:
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[i] + 1) * total // shares[i]), i))
+        _, i = heapq.heappop(ready)
+        order.append(i)
+        done[i] += 1
+        if done[i] < shares[i]:
+            heapq.heappush(waiting, (done[i] * total // shares[i], i))
+    return order
+
+
+def period_table(shares: DataFrame) -> DataFrame:
+    """slot_name, share, total, k (block in the period) and slot, for each slot of one period.
+
+    shares has name and share (the target weight) of each source.
     """
-    named = shares.agg(F.sort_array(F.collect_list(F.struct("name", "share"))).alias("given")).where("size(given) > 0")
-    if resolution:
-        named = named.selectExpr("given", "aggregate(given, 0L, (a, x) -> a + x.share) AS sum")
-        named = named.selectExpr(f"transform(given, x -> struct(x.name AS name, greatest(1L, x.share * {resolution} DIV sum) AS share)) AS given")
-    ready = named.selectExpr("given", "transform(given, x -> x.share) AS share", "aggregate(given, 0L, (a, x) -> a + x.share) AS total", "size(given) AS n")
-    # of the sources with a released block at slot t, the one whose deadline comes first
-    pick = "array_min(transform(sequence(0, n - 1), i -> IF(acc.done[i] < share[i] AND acc.done[i] * total < (t + 1) * share[i], struct(((acc.done[i] + 1) * total + share[i] - 1) DIV share[i] AS deadline, i AS i), NULL))).i"
-    state = "struct(transform(share, x -> 0L) AS done, CAST(array() AS array<int>) AS order)"
-    run = f"""aggregate(sequence(0L, total - 1), {state}, (acc, t) ->
-      element_at(transform(array({pick}), p -> struct(transform(acc.done, (d, i) -> IF(i = p, d + 1, d)) AS done, array_append(acc.order, p) AS order)), 1),
-      acc -> acc.order)"""
-    slots = ready.selectExpr("given", "share", "total", f"posexplode({run}) AS (slot, i)")
-    k = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
-    return slots.select(F.expr("given[i].name").alias("name"), F.expr("share[i]").alias("share"), "total", k.cast("long").alias("k"), F.col("slot").cast("long").alias("slot"))
-
-
-def ranked(docs: DataFrame, source: Column, doc_id: Column, rank: str) -> DataFrame:
-    """docs with each row's rank (from 0) within its source, by the md5 of its id.
-
-    The first three hex digits of the md5 cut a source into 4096 ranges; a range's first rank is the count of the ranges before
-    it, and only the rows of one range are sorted together.
+    given = sorted((r["name"], r["share"]) for r in shares.collect())
+    whole = whole_shares([w for _, w in given]) if given else []
+    total, seen, rows = sum(whole), [0] * len(given), []
+    for slot, i in enumerate(one_period(whole)):
+        rows.append((given[i][0], whole[i], total, seen[i], slot))
+        seen[i] += 1
+    return shares.sparkSession.createDataFrame(rows, "slot_name string, share long, total long, k long, slot long")
+
+
+def placed(docs: DataFrame, shares: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """docs with the columns rank_, block_no_, release_slot_, deadline_slot_, slot_ and in_block_ of each document added.
+
+    docs needs doc_id and source, and none of these names or mix_name, mix_key, mix_number, first, share_name, slot_name, share, total, k and slot.
     """
-    key, part, name = (fresh_name(docs, x) for x in ("md5_key", "md5_range", "source_name"))
-    keyed = docs.withColumn(name, source).withColumn(key, F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))).withColumn(part, F.substring(key, 1, 3))
-    counts = keyed.groupBy(name, part).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(name).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(name).alias("range_name"), F.col(part).alias("range_part"), F.coalesce(before, F.lit(0)).alias("range_start"))
-    within = F.row_number().over(Window.partitionBy(name, part).orderBy(key))
-    placed = keyed.withColumn(rank, within).join(starts, (F.col(name) == F.col("range_name")) & (F.col(part) == F.col("range_part")))
-    return placed.withColumn(rank, F.col(rank) - 1 + F.col("range_start"))
-
-
-def placed(docs: DataFrame, shares: DataFrame | None = None, block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION) -> DataFrame:
-    """docs with the columns rank_, block_no_, release_slot_, deadline_slot_, slot_ and in_block_ of each document added."""
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    if shares is None:
-        period = one_period(tempered_weights(docs, source), resolution)
-    else:
-        period = one_period(shares.select(source.alias("name"), F.col("share").cast("long").alias("share")))
-    per_source = period.select("name", "share", "total").distinct().withColumnsRenamed({"name": "share_name"})
-    rows = ranked(docs, source, F.col("doc_id"), "rank_").withColumnRenamed(fresh_name(docs, "source_name"), "mix_name")
-    blocks = rows.join(F.broadcast(per_source), F.col("mix_name") == F.col("share_name"))
+    given = tempered_weights(docs, source) if shares is None else shares.select(source.alias("name"), F.col("share").cast("long").alias("share"))
+    period = period_table(given)
+    keyed = docs.withColumn("mix_name", source).withColumn("mix_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    rows = numbered(keyed, ["mix_name", "mix_key"], "mix_number")
+    # both tables have PERIOD rows at most, so they may be sent to every executor
+    shares_of = F.broadcast(period.where("k = 0").select(F.col("slot_name").alias("share_name"), "share", "total"))
+    table = F.broadcast(period.select("slot_name", "k", "slot"))
+    first = rows.groupBy("mix_name").agg(F.min("mix_number").alias("first")).join(shares_of, F.col("mix_name") == F.col("share_name"))
+    blocks = rows.join(F.broadcast(first.drop("mix_name")), F.col("mix_name") == F.col("share_name")).withColumn("rank_", F.col("mix_number") - F.col("first"))
     blocks = blocks.withColumn("block_no_", F.expr(f"rank_ DIV {block_docs}")).withColumn("in_block_", F.expr(f"rank_ % {block_docs}"))
-    slots = period.select(F.col("name").alias("slot_name"), "k", "slot")
-    found = blocks.join(F.broadcast(slots), (F.col("mix_name") == F.col("slot_name")) & (F.expr("block_no_ % share") == F.col("k")))
+    found = blocks.join(table, (F.col("mix_name") == F.col("slot_name")) & (F.expr("block_no_ % share") == F.col("k")))
     return found.select(
         *docs.columns, "rank_", "block_no_", "in_block_",
         F.expr("block_no_ * total DIV share").alias("release_slot_"),
@@ -108,8 +131,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH RECURSIVE counts AS (SELECT coalesce('=' || source, '') AS name, CAST(floor(sqrt(count(*))) AS BIGINT) AS root FROM documents GROUP BY 1),
-shares AS (SELECT name, greatest(1, root * {RESOLUTION} // (SELECT sum(root)::BIGINT FROM counts)) AS share, row_number() OVER (ORDER BY name) AS i FROM counts),
+WITH RECURSIVE shares AS (
+  SELECT name, CAST(floor(sqrt(n)) AS BIGINT) AS share, row_number() OVER (ORDER BY name) AS i
+  FROM (SELECT coalesce('=' || source, '') AS name, count(*) AS n FROM documents GROUP BY 1)
+),
 given AS (SELECT list(share ORDER BY i) AS share, sum(share)::BIGINT AS total FROM shares),
 run AS (
   SELECT CAST(-1 AS BIGINT) AS t, list_transform(share, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM given

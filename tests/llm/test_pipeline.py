@@ -58,12 +58,11 @@ def test_awkward_documents(spark, sf_dir):
             found.count()
 
 
-def plain_schedule(rows, block_docs=64, resolution=512):
+def plain_schedule(rows, block_docs=64):
     """doc_id to (slot, in_block), one slot at a time: of the sources with a released block, the one whose deadline comes first."""
     names = sorted({s for _, s in rows})
     queues = {s: sorted((i for i, x in rows if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for s in names}
-    roots = {s: math.isqrt(len(q)) for s, q in queues.items()}
-    share = {s: max(1, r * resolution // sum(roots.values())) for s, r in roots.items()}
+    share = {s: math.isqrt(len(q)) for s, q in queues.items()}
     total, done, out, slot = sum(share.values()), dict.fromkeys(names, 0), {}, 0
     while len(out) < len(rows):
         _, s = min((-(-(done[s] + 1) * total // share[s]), s) for s in names if done[s] * total < (slot + 1) * share[s])

@@ -230,6 +230,59 @@ def test_no_source_is_a_block_off_its_share(spark, shares):
         assert [b for _, b in blocks] == list(range(len(blocks)))
 
 
+def deviation(order, shares):
+    """The largest distance, in blocks, between what a source has had and its share, over all slots of a period."""
+    total, worst = sum(shares), 0.0
+    at = [[] for _ in shares]
+    for slot, i in enumerate(order):
+        at[i].append(slot)
+    for share, slots in zip(shares, at, strict=True):
+        done = np.arange(len(slots))
+        # just before and just after each of the source's slots is where the distance is largest
+        before, after = np.abs(done - share * np.array(slots) / total), np.abs(done + 1 - share * (np.array(slots) + 1) / total)
+        worst = max(worst, before.max(), after.max())
+        assert len(slots) == share
+    return worst
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_periods_stay_within_a_block(seed):
+    rng = np.random.default_rng(seed)
+    shares = rng.integers(1, (3, 10, 50, 400, 5, 1000)[seed], (2, 5, 30, 40, 300, 3)[seed]).tolist()
+    order = source_mixing.one_period(shares)
+    assert deviation(order, shares) < 1
+    total, done = sum(shares), [0] * len(shares)
+    for slot, i in enumerate(order):  # by definition: of the released blocks that of the earliest deadline, then of the first source
+        assert i == min((-(-(done[j] + 1) * total // q), j) for j, q in enumerate(shares) if done[j] < q and done[j] * total // q <= slot)[1]
+        done[i] += 1
+
+
+def test_a_thousand_sources_keep_their_weights(spark):
+    weights = list(range(2, 1002))
+    assert source_mixing.whole_shares(weights) == weights
+    assert source_mixing.whole_shares([w * 6 for w in weights]) == weights
+    assert deviation(source_mixing.one_period(weights), weights) < 1
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.lpad((F.col("id") % 1000).cast("string"), 4, "0")).alias("source"))
+    given = spark.createDataFrame([(f"s{k:04}", w) for k, w in enumerate(weights)], "source string, share int")
+    total = sum(weights)
+    for r in source_mixing.schedule(docs, given, block_docs=1).collect():
+        share = weights[int(r["source"][1:])]
+        assert (r["release_slot"], r["deadline_slot"]) == (r["block_no"] * total // share, -(-(r["block_no"] + 1) * total // share))
+        assert r["release_slot"] <= r["slot"] < r["deadline_slot"]
+
+
+def test_weights_beyond_the_period_are_rounded_by_less_than_a_slot():
+    weights = [3_000_017, *[31] * 400, 7, 1]
+    got = source_mixing.whole_shares(weights, 10_000)
+    assert sum(got) == 10_000
+    assert min(got) == 1
+    big = [w for w in weights if w * 10_000 > sum(weights)]
+    assert all(abs(g - w * 10_000 / sum(weights)) <= 1 + len(weights) * w / sum(weights) for g, w in zip(got, weights, strict=True) if w in big)
+    for bad in ([0, 1], [-1], [1] * 10_001):
+        with pytest.raises(ValueError, match="weights"):
+            source_mixing.whole_shares(bad, 10_000)
+
+
 # sharding
 
 
