@@ -84,3 +84,43 @@ def test_weights_follow_the_better_estimate():
     assert weights[3][:2] == pytest.approx([0.5, 0.5], abs=0.01)
     assert weights[9][0] > 0.99
     assert np.allclose(weights.sum(axis=1), 1)
+
+
+def test_one_word_in_every_document_and_growth_in_proportion(spark):
+    texts = [f"common {k % 7} w{k} w{k + 1} common" for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    close(lm_scoring.score(docs, 500).collect(), plain(list(enumerate(texts))))
+    rows = {n: lm_scoring.requests(docs, n).count() for n in (1, 40, 400)}
+    tokens_ = sum(len(tokens(t)) for t in texts)
+    assert rows[1] < rows[40] < rows[400] <= 2 * 2 * tokens_  # a word's and a bigram's row for each token, twice for deleted documents
+    widest = lm_scoring.requests(docs, 40).where("part % 2 = 0").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert widest <= 40  # of a frequent word, one row for each block
+
+
+def test_rounding_of_held_out_probabilities_moves_the_weights_little(spark, sf_dir):
+    given = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    words, pairs, rows_ = Counter(), Counter(), []
+    for doc_id, text in given:
+        if rest(doc_id) not in (0, 5):
+            t = tokens(text)
+            words.update(t)
+            pairs.update(zip([None, *t[:-1]], t, strict=True))
+    n = sum(words.values())
+    for doc_id, text in given:
+        if rest(doc_id) == 5:
+            t = tokens(text)
+            rows_ += [(words[h], pairs[h, w] / words[h] if words[h] else 0.0, words[w] / n) for h, w in zip([None, *t[:-1]], t, strict=True)]
+    buckets = lm_scoring.bucket(np.array([r[0] for r in rows_]))
+    p = np.array([r[1:] for r in rows_])
+    rounded = lm_scoring.learn_weights(np.stack([buckets, *(lm_scoring._rounded(p[:, k]) for k in (0, 1)), np.ones(len(p), np.int64)], axis=1), 1 / len(words))
+    uniform = 1 / len(words)
+    exact = np.full((lm_scoring.BUCKETS, 3), 1 / 3)
+    each = np.column_stack([p, np.full(len(p), uniform)])
+    for _ in range(60):
+        share = exact[buckets] * each
+        share /= share.sum(axis=1, keepdims=True)
+        for b in np.unique(buckets):
+            exact[b] = share[buckets == b].mean(axis=0)
+    seen = np.unique(buckets)
+    weight = np.bincount(buckets)[seen] / len(buckets)
+    assert float((np.abs(rounded[seen] - exact[seen]).max(axis=1) * weight).sum()) < 0.02
