@@ -86,15 +86,34 @@ def test_weights_follow_the_better_estimate():
     assert np.allclose(weights.sum(axis=1), 1)
 
 
-def test_one_word_in_every_document_and_growth_in_proportion(spark):
+@pytest.mark.parametrize(("fan", "block_bytes", "levels"), [(4096, 2000, 1), (8, 500, 2), (3, 500, 3)])
+def test_one_word_in_every_document_over_levels(spark, monkeypatch, fan, block_bytes, levels):
+    monkeypatch.setattr(lm_scoring, "FAN", fan)
     texts = [f"common {k % 7} w{k} w{k + 1} common" for k in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    close(lm_scoring.score(docs, 500).collect(), plain(list(enumerate(texts))))
-    rows = {n: lm_scoring.requests(docs, n).count() for n in (1, 40, 400)}
-    tokens_ = sum(len(tokens(t)) for t in texts)
-    assert rows[1] < rows[40] < rows[400] <= 2 * 2 * tokens_  # a word's and a bigram's row for each token, twice for deleted documents
-    widest = lm_scoring.requests(docs, 40).where("part % 2 = 0").groupBy("key").count().agg({"count": "max"}).first()[0]
-    assert widest <= 40  # of a frequent word, one row for each block
+    close(lm_scoring.score(docs, block_bytes).collect(), plain(list(enumerate(texts))))
+    layout = lm_scoring.Layout.of(math.ceil(sum(len(t) + 8 for t in texts) / block_bytes))
+    assert layout.levels == levels
+    assert layout.fan <= fan
+    asked = lm_scoring.requests(docs, layout)
+    assert max(r["count"] for r in asked.groupBy("node", "part").count().collect()) <= layout.fan
+    assert max(r["count"] for r in asked.groupBy("next", "part").count().collect()) <= layout.fan
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 15, 16, 17, 4096, 4097, 12_500_000])
+def test_layouts_have_room_for_all_blocks(monkeypatch, blocks):
+    for fan in (4, 4096):
+        monkeypatch.setattr(lm_scoring, "FAN", fan)
+        layout = lm_scoring.Layout.of(blocks)
+        assert layout.fan <= fan
+        assert layout.fan**layout.levels >= blocks
+        if layout.fan**layout.levels < 1 << 32:
+            keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 500, dtype=np.uint64))
+            node = {0: [(blocks - 1, keys)]}
+            for level in range(layout.levels):  # every key gets to the shard that it would get to from any other block
+                node[level + 1] = [(n, part[at]) for number, part in node[level] for n, at in layout.cuts(part, 63, number, level).items()]
+            leaf = layout.fan**layout.levels
+            assert all(n == (int(k) >> 31) * leaf >> 32 for n, part in node[layout.levels] for k in part)
 
 
 def test_rounding_of_held_out_probabilities_moves_the_weights_little(spark, sf_dir):
