@@ -119,4 +119,5 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, rows: int,
     """
     hot = F.col(count) * HOT_KEYS > rows
     few, rest = F.broadcast(right.where(hot).drop(count)), right.where(~hot).drop(count)
-    return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(rest, key, how))
+    others = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti")
+    return left.join(few, key).unionByName(others.join(rest, key, how))

@@ -5,35 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import checkpointed
+from pixelweir.llm.common import checkpointed, hot_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Joins every larger neighbour of a node to the smallest node of its neighbourhood."""
     both = edges.union(edges.select("v", "u"))
-    lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    lowest = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n_"))
+    return hot_join(both.where("v > u"), lowest, "u", "n_", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Joins a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    lowest = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_"))
+    moved = hot_join(down, lowest, "u", "n_", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) for every node on an edge (u, v).
 
-    Both steps only ever group by a node and keep a minimum, so a hub with very many neighbours is aggregated on the map side
-    and joined with its one minimum. Each round is held in the shared folder; the loop ends when a round changes nothing.
+    Both steps only ever group by a node and keep a minimum, so a hub with very many neighbours is aggregated on the map side,
+    and its one minimum is joined by broadcast. Each round is held in the shared folder; the loop ends when a round changes nothing.
     Null ends, loops and repeated edges are ignored; without edges the result is empty.
     """
     now = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     while mark[0]:
-        after = checkpointed(_small_star(_large_star(now)))
+        after = checkpointed(_small_star(_large_star(now, mark[0]), mark[0]))
         found = _mark(after)
         now, same, mark = after, found == mark, found
         if same:

@@ -13,7 +13,8 @@ A node is a 64-bit hash of a shingle set. Sets are compared by 48-bit fingerprin
 
 Defined results: a document without words or text has an empty set, is linked with nothing and is kept; one with fewer words
 than a shingle has one shingle, the whole sequence; rows without doc_id take no part, get no component_id and are kept;
-rows with the same doc_id and text are one node; an empty table gives an empty result; other columns are not read.
+rows with the same doc_id and text are one node; of equal similarities none is preferred, as all links count, and the smallest doc_id
+stands for its group; a very long text is one large set, held whole by the task that compares it; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import checkpointed, documents, fresh_name, per_row, written
+from pixelweir.llm.common import checkpointed, documents, fresh_name, hot_join, per_row, written
 from pixelweir.llm.components import connected_components
 
 BANDS, ROWS = 50, 7
@@ -192,9 +193,9 @@ def bucket_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent
     """
     placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
     sized = placed.join(sets.select("node", "n"), "node")
-    mixed = sized.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks")).where("lo <> hi").select("bucket", "blocks")
+    mixed = sized.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n_")).where("lo <> hi").select("bucket", "blocks", "n_")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cut = placed.join(mixed, "bucket").withColumn("own", own)
+    cut = hot_join(placed, mixed, "bucket", "n_", members.count()).withColumn("own", own)
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = met.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "part")
     full = tasks.join(sets.select("node", "shingles"), "node")
@@ -244,8 +245,8 @@ def roots(sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     sets = written(made.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"), F.max("n").alias("n")), "sets")
 
     # first each node meets one other only: the smallest that any of its buckets holds
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"))
-    first = members.join(hubs, "bucket").where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub"))
+    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n_"))
+    first = hot_join(members, hubs, "bucket", "n_", members.count()).where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub"))
     links = checkpointed(verified(first.select(F.col("hub").alias("u"), F.col("node").alias("v")), sets, percent))
     labels = checkpointed(connected_components(links))
     # then buckets that still hold several components look for links between these
@@ -255,19 +256,29 @@ def roots(sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return checkpointed(connected_components(links.union(more)))
 
 
-def in_components(docs: DataFrame, width: int, percent: int, columns: list[str]) -> DataFrame:
-    """The given columns, n_shingles and root of every document; root is null for one without shingles or doc_id."""
+def with_least(docs: DataFrame, width: int, percent: int, columns: list[str]) -> DataFrame:
+    """The given columns, n_shingles and `least` of every document: the least values of these columns in its group.
+
+    least is null for a document without shingles or doc_id, and for one that stands alone. Only groups of two or more take part in joins, and
+    keys that very many rows or nodes have (a text copied very often, a very large component) are joined by broadcast.
+    """
     sketched = written(sketches(docs, width, columns), "sketches")
     labels = roots(sketched.where("doc_id IS NOT NULL"), docs, width, percent)
     rows = sketched.select(*columns, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    return rows.join(labels, "node", "left").select(*columns, "n_shingles", F.coalesce("root", "node").alias("root"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n_"), F.min(F.struct(*columns)).alias("own"))
+    groups = checkpointed(nodes.join(labels, "node", "left").where("n_ > 1 OR root IS NOT NULL"))
+    linked = groups.where("root IS NOT NULL")
+    least = linked.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("m_"))
+    within = hot_join(linked, least, "root", "m_", linked.count()).select("node", "n_", "least")
+    copies = groups.where("root IS NULL").select("node", "n_", F.col("own").alias("least"))
+    table = checkpointed(within.union(copies))
+    return hot_join(rows, table, "node", "n_", rows.count(), "left").select(*columns, "n_shingles", "least")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; links need a similarity of percent / 100 or more."""
-    placed = in_components(docs, width, percent, ["doc_id"])
-    lowest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("lowest"))
-    out = placed.join(lowest, "root", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+    placed = with_least(docs, width, percent, ["doc_id"])
+    out = placed.select("doc_id", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -279,10 +290,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     mark = fresh_name(docs, "text_mark")
     marked = docs.withColumn(mark, F.xxhash64("text"))
-    placed = in_components(marked, width, percent, ["doc_id", mark])
-    lowest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", mark)).alias("lowest"))
-    stays = F.col("lowest").isNull() | (F.struct("doc_id", mark) == F.col("lowest"))
-    found = checkpointed(placed.join(lowest, "root", "left").select("doc_id", mark, stays.alias("kept")))
+    placed = with_least(marked, width, percent, ["doc_id", mark])
+    stays = F.col("least").isNull() | (F.struct("doc_id", mark) == F.col("least"))
+    found = checkpointed(placed.select("doc_id", mark, stays.alias("kept")))
     again = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"))
     gone = found.where("NOT kept").select("doc_id").distinct()
     if again.isEmpty():
