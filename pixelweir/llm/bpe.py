@@ -11,8 +11,10 @@ alphabet. Decoding joins the tokens by a space, as a tokenizer without a decoder
 
 Each distinct word is encoded once per task batch and kept in a bounded cache; texts never leave their task.
 
-Defined results: a null text is an empty text: no ids, empty text back; rows are never merged; an empty table gives an empty
-result; other columns are not read, or pass through encode() as they are.
+Defined results: a null text is an empty text: no ids, empty text back; a very long text is encoded whole, word by word (its ids
+are held by one task); a prefix has one last token only, so there are no ties; rows are never merged, and repeated ones get the same
+ids; an empty table gives an empty result; other columns are not read, or pass through encode() as they are, one named like the new
+column too.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import documents, per_row
+from pixelweir.llm.common import documents, fresh_name, per_row
 
 END = "</w>"
 #: Stands for the end-of-word suffix inside the automaton; no character of the byte alphabet.
@@ -233,8 +235,12 @@ def encoder(file: str) -> WordBpe:
 
 
 def encode(docs: DataFrame, file: str | None = None, text: str = "text", name: str = "input_ids") -> DataFrame:
-    """docs with an array column of token ids."""
+    """docs with an array column of token ids.
+
+    A column of that name that docs already has stays as it is; the ids then take the next free name (with an underscore).
+    """
     file = file or default_file()
+    name = fresh_name(docs, name)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

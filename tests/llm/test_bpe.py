@@ -82,4 +82,8 @@ def test_columns_of_ids_and_back(spark, both):
         assert r["tokens_"] == both[1].encode(r["text"] or "", add_special_tokens=False).ids
         assert r["back_"] == both[1].decode(r["tokens_"], skip_special_tokens=False)
     assert bpe.encode(empty(spark)).collect() == []
+    kept = bpe.encode(wide(spark))  # has a column input_ids of its own
+    assert kept.columns == [*wide(spark).columns, "input_ids_"]
+    assert kept.select("input_ids").distinct().collect() == wide(spark).select("input_ids").distinct().collect()
+    assert sum(len(r["input_ids_"]) for r in kept.collect()) == sum(len(r["tokens_"]) for r in encoded.collect())
     assert documents(spark).count() == len(rows())

@@ -48,6 +48,7 @@ def test_stages_on_the_whole_table(spark, sf_dir):
 
 
 def test_awkward_documents(spark, sf_dir):
+    tokenizer = bpe.encoder(bpe.default_file())
     for given in (documents(spark), wide(spark), empty(spark)):
         docs = given
         for name, stage in corpus_pipeline.STAGES:
@@ -55,7 +56,13 @@ def test_awkward_documents(spark, sf_dir):
             if name != "bpe":
                 assert found.columns == given.columns
                 docs = found
-            found.count()
+        rows = docs.select("doc_id", "text").collect()
+        assert sorted(((str(r["doc_id"]), r["input_ids"]) for r in found.collect())) == sorted(((str(i), tokenizer.ids(t or "")) for i, t in rows))
+        assert (len(rows) > 0) == (given.count() > 0)
+    # every text as it is, those too that the first stages would reject
+    found = corpus_pipeline.tokens(spark, wide(spark), sf_dir)
+    assert found.columns == ["doc_id", "source", "slot", "in_block", "input_ids"]
+    assert sorted((str(r["doc_id"]), r["input_ids"]) for r in found.collect()) == sorted((str(r["doc_id"]), tokenizer.ids(r["text"] or "")) for r in wide(spark).collect())
 
 
 def plain_schedule(rows, block_docs=64):
