@@ -36,7 +36,7 @@ def decoded_virtual_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 def framing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, and the plain bytes that they stand for, of each frame's container."""
     found = decode.framing(decode.envelopes(encoded(spark, sf_dir)))
-    return found.groupBy("image_id").agg(F.count("block_no").alias("blocks"), F.sum("uncomp_size").alias("plain_bytes"), F.min("data_offset").cast("long").alias("first_offset"), F.count("error").alias("errors"))
+    return found.groupBy("image_id").agg(F.count("block_no").alias("blocks"), F.sum("plain_size").alias("plain_bytes"), F.min("begins").alias("first_offset"), F.count("error").alias("errors"))
 
 
 def stream_virtual_image(spark: SparkSession, sf_dir: str) -> DataFrame:

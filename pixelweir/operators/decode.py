@@ -52,16 +52,17 @@ def envelopes(raw: DataFrame) -> DataFrame:
 
 
 def framing(frames: DataFrame) -> DataFrame:
-    """image_id, block_no, data_offset, comp_size, uncomp_size of every block, or one row with the error of a broken container."""
-    schema = "image_id long, block_no int, data_offset int, comp_size long, uncomp_size long, error string"
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    """image_id, block_no, begins, ends (packed bytes) and plain_size of every block, or one row with the error of a broken container."""
+    schema = "image_id long, block_no int, begins long, ends long, plain_size long, error string"
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for image, data in zip(batch.column("image_id").to_pylist(), batch.column("encoded").to_pylist(), strict=True):
                 try:
-                    rows += [(image, k, *span, None) for k, span in enumerate(container.layout(data or b"").blocks)]
+                    found = container.frames_of(data or b"")
+                    rows += [(image, k, *x, None) for k, x in enumerate(zip(found.begins.tolist(), found.ends.tolist(), found.plain_sizes().tolist(), strict=True))]
                 except container.ContainerError as e:
                     rows.append((image, None, None, None, None, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[x.split(" ")[0] for x in schema.split(", ")])
@@ -69,9 +70,10 @@ def framing(frames: DataFrame) -> DataFrame:
     return frames.select("image_id", "encoded").mapInArrow(run, schema)
 
 
-def _envelope(batch: pa.RecordBatch, k: int) -> messages.Envelope:
-    at = lambda name: batch.column(name)[k].as_py()
-    return messages.Envelope(at("image_id"), at("algorithm"), at("elem_size"), at("encoded"), at("dtype"), tuple(at("shape")), at("column_major"))
+def _envelopes(batch: pa.RecordBatch) -> list[messages.Envelope]:
+    """The batch's envelopes; each column is taken once."""
+    columns = [batch.column(c).to_pylist() for c in ("image_id", "algorithm", "elem_size", "encoded", "dtype", "shape", "column_major")]
+    return [messages.Envelope(*x[:5], tuple(x[5]), x[6]) for x in zip(*columns, strict=True)]
 
 
 def _exact(frame: np.ndarray) -> np.ndarray:
@@ -81,6 +83,9 @@ def _exact(frame: np.ndarray) -> np.ndarray:
     return frame.astype(np.float64)
 
 
+#: Frames that are decoded together: about 19 MB of the largest detector's.
+TOGETHER = 64
+
 FIELDS = ("seq", "image_id", "algorithm", "elem_size", "encoded", "dtype", "shape", "column_major")
 
 
@@ -91,9 +96,9 @@ def frames(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, errors = [], []
-            for k in range(batch.num_rows):
+            for frame in _envelopes(batch):
                 try:
-                    out.append(_exact(messages.pixels(_envelope(batch, k))).reshape(-1))
+                    out.append(_exact(messages.pixels(frame)).reshape(-1))
                     errors.append(None)
                 except BROKEN as e:
                     out.append(None)
@@ -106,8 +111,9 @@ def frames(found: DataFrame) -> DataFrame:
 def decoded_sums(found: DataFrame, weights: list[float], config: ScanConfig, verify_all: bool = False) -> DataFrame:
     """seq, image_id and s of image envelopes, decoded and summed in one pass: a narrow row for each frame leaves the task.
 
-    Only blocks that hold rows with weight are decompressed, unless verify_all asks to read (and so check) every block. A frame that cannot
-    be decoded, or is not of the detector's shape, has an error instead of a sum.
+    Only blocks that hold rows with weight are decompressed, unless verify_all asks to read (and so check) every block. Frames of one layout
+    are unshuffled and summed together, TOGETHER at a time. A frame that cannot be decoded, or is not of the detector's shape, has an
+    error instead of a sum.
     """
     h, w = config.detector
     table = np.array(weights, np.float64).reshape(h, w)
@@ -119,23 +125,47 @@ def decoded_sums(found: DataFrame, weights: list[float], config: ScanConfig, ver
     def one(frame: messages.Envelope) -> float:
         if frame.shape != (h, w):
             raise ValueError(f"frame of shape {frame.shape}, detector {(h, w)}")
-        wanted = None
-        if not verify_all and frame.algorithm is not None and not frame.column_major:
-            size = int.from_bytes(frame.encoded[8:12], "big")
-            row_bytes = w * np.dtype(frame.dtype).itemsize
-            wanted = container.blocks_of_rows(first, last, row_bytes, size) if size and last >= first else set()
-        return float((_exact(messages.pixels(frame, wanted)[first : last + 1]) * part).sum())
+        return float((_exact(messages.pixels(frame)[first : last + 1]) * part).sum())
+
+    def alike(frame: messages.Envelope) -> tuple:
+        """Frames with one value here may be decoded together; an empty one for those that are decoded alone."""
+        if frame.algorithm not in container.ALGORITHMS or frame.column_major or frame.shape != (h, w):
+            return ()
+        return (frame.algorithm, frame.elem_size, frame.dtype, frame.encoded[: container.HEADER.itemsize])
+
+    def together(given: list[messages.Envelope]) -> np.ndarray:
+        """The sums of frames that are alike; raises if any of them is broken."""
+        dtype, head = np.dtype(given[0].dtype), given[0]
+        found = [container.frames_of(x.encoded) for x in given]
+        if found[0].plain != h * w * dtype.itemsize:
+            raise ValueError("bytes of a frame")
+        wanted = None if verify_all else container.blocks_of_rows(first, last, w * dtype.itemsize, found[0].block) if last >= first else set()
+        plain = container.decompress_all([x.encoded for x in given], found, head.algorithm, head.elem_size or dtype.itemsize, wanted)
+        seen = plain.view(dtype).reshape(len(given), h, w)[:, first : last + 1]
+        return np.array([(x * part).sum() for x in _exact(seen)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums, errors = [], []
-            for k in range(batch.num_rows):
+            given = _envelopes(batch)
+            sums: list = [None] * len(given)
+            errors: list = [None] * len(given)
+            groups: dict[tuple, list[int]] = {}
+            for k, frame in enumerate(given):
+                groups.setdefault(alike(frame), []).append(k)
+            alone = groups.pop((), [])
+            for members in groups.values():
+                for at in range(0, len(members), TOGETHER):
+                    ks = members[at : at + TOGETHER]
+                    try:
+                        for k, s in zip(ks, together([given[k] for k in ks]), strict=True):
+                            sums[k] = float(s)
+                    except BROKEN:
+                        alone += ks
+            for k in alone:
                 try:
-                    sums.append(one(_envelope(batch, k)))
-                    errors.append(None)
+                    sums[k] = float(together([given[k]])[0]) if alike(given[k]) else one(given[k])
                 except BROKEN as e:
-                    sums.append(None)
-                    errors.append(str(e) or type(e).__name__)
+                    errors[k] = str(e) or type(e).__name__
             yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("image_id"), pa.array(sums, pa.float64()), pa.array(errors, pa.string())], names=["seq", "image_id", "s", "error"])
 
     return found.where("type = 'image' AND error IS NULL").select(*FIELDS).mapInArrow(run, schema)

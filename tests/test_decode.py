@@ -56,9 +56,10 @@ def test_container_round_trip(size, n, block, algorithm):
     plain = np.random.default_rng(0).integers(0, 4, n * size, dtype=np.uint8).tobytes()
     data = container.compress(plain, algorithm, size, block * size)
     assert container.decompress(data, algorithm, size) == plain
-    spans = container.layout(data).blocks
-    assert len(spans) == -(-n // block)
-    assert sum(x.uncomp_size for x in spans) == len(plain)
+    found = container.frames_of(data)
+    assert len(found.begins) == -(-n // block)
+    assert found.plain_sizes().sum() == len(plain)
+    assert (found.begins[1:] == found.ends[:-1] + 4).all()
 
 
 GOOD = container.compress(bytes(range(64)), "lz4", 1, 32)
@@ -68,7 +69,7 @@ GOOD = container.compress(bytes(range(64)), "lz4", 1, 32)
     "data",
     [
         b"short", GOOD[:8] + b"\0\0\0\0" + GOOD[12:], GOOD[:14], GOOD[:-1], GOOD + b"x", GOOD[:12] + b"\0\0\0\0" + GOOD[16:], GOOD[:12] + b"\xff\xff\xff\xff" + GOOD[16:],
-        (65).to_bytes(8, "big") + GOOD[8:],
+        (65).to_bytes(8, "big") + GOOD[8:], (2**63).to_bytes(8, "big") + GOOD[8:],
     ],
 )
 def test_container_refuses_bad_framing(data):
