@@ -24,11 +24,11 @@ import json
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
-from typing import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,11 +204,6 @@ class WordBpe:
     def id_array(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join([x[3] for x in self.found(text)]), np.int32)
 
-    def forget(self) -> None:
-        """Drops the words and pairs seen so far."""
-        for cache in (self.words, self.older, self.pairs, *self.spines):
-            cache.clear()
-
     def ids(self, text: str) -> list[int]:
         return self.id_array(text).tolist()
 
@@ -242,14 +237,13 @@ def encode(docs: DataFrame, file: str | None = None, text: str = "text", name: s
     file = file or default_file()
     name = fresh_name(docs, name)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work(given: dict[str, list]) -> dict[str, list]:
         tokenizer = encoder(file)
-        for texts in batches:
-            yield pd.Series([tokenizer.id_array(x or "") for x in texts], dtype=object)
-        tokenizer.forget()  # the process stays for other work
+        ids = [tokenizer.id_array(x.decode()) for x in given[text]]
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        return {name: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))}
 
-    return docs.withColumn(name, ids(F.col(text)))
+    return per_row(docs, docs.columns, f"`{name}` array<int>", work, [text])
 
 
 def decode(rows: DataFrame, file: str | None = None, ids: str = "input_ids", name: str = "decoded") -> DataFrame:

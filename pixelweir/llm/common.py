@@ -40,18 +40,19 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
 
 
-def per_row(df: DataFrame, columns: list[str], made: str, work: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """Keeps `columns` of df and adds those of the schema `made`, computed by `work` from a batch's columns.
+def per_row(df: DataFrame, columns: list[str], made: str, work: Callable[[dict[str, list]], dict[str, list]], read: list[str] | None = None) -> DataFrame:
+    """Keeps `columns` of df and adds those of the schema `made`, computed by `work` from a batch's columns (or only those in `read`).
 
-    Texts come as bytes (null as empty), other columns as Python values. Rows stay in their task; nothing is shuffled.
+    Texts come as bytes (null as empty), other columns as Python values, SLICE rows at a time. Rows stay in their task; nothing is shuffled.
     """
+    read = columns if read is None else read
     kept = df.select(*columns)
     added = {f.name: ARROW.get(f.dataType.simpleString()) for f in StructType.fromDDL(made)}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
-            given = {c: text_bytes(batch.column(c)) if pa.types.is_string(batch.column(c).type) or pa.types.is_large_string(batch.column(c).type) else batch.column(c).to_pylist() for c in columns}
+            given = {c: text_bytes(batch.column(c)) if pa.types.is_string(batch.column(c).type) or pa.types.is_large_string(batch.column(c).type) else batch.column(c).to_pylist() for c in read}
             got = work(given)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(got[c] if isinstance(got[c], pa.Array) else pa.array(got[c], kind) for c, kind in added.items())], names=[*columns, *added])
 

@@ -181,14 +181,9 @@ def keep_predicted(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -
     """The documents predicted to be of quality, with the columns they came with."""
     model = fit(docs, labels, max_rows)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        return pd.Series(model.score(featurise([(x or "").encode() for x in texts])))
-
     name = fresh_name(docs, "score")
-    return docs.withColumn(name, score(F.col("text"))).where(F.col(name) >= THRESHOLD).select(*docs.columns)
+    scored = per_row(docs, docs.columns, f"`{name}` double", lambda x: {name: model.score(featurise(x["text"]))}, ["text"])
+    return scored.where(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

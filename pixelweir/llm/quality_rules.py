@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,17 +130,14 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
 
 def keep_passing(docs: DataFrame, policy: str) -> DataFrame:
     """The documents that a policy keeps, with the columns they came with."""
-    bits = fresh_name(docs, "fail_bits")
+    bits, held = fresh_name(docs, "fail_bits"), fresh_name(docs, "measured")
     names = [x.strip().split(" ")[0] for x in MEASURES.split(",")]
 
-    @F.pandas_udf(MEASURES)
-    def measured(texts):
-        import pandas as pd
+    def work(given: dict[str, list]) -> dict[str, list]:
+        found = measure(given["text"])
+        return {held: pa.StructArray.from_arrays([pa.array(found[c], pa.int64()) for c in names], names)}
 
-        return pd.DataFrame(measure(b"" if x is None else x.encode() for x in texts), columns=names)
-
-    held = fresh_name(docs, "measured")
-    rows = docs.withColumn(held, measured(F.col("text")))
+    rows = per_row(docs, docs.columns, f"`{held}` struct<{', '.join(f'{c}: bigint' for c in names)}>", work, ["text"])
     failing = F.lit(0).cast("long")
     for k, (_, condition) in enumerate(RULES):
         for name in names:
