@@ -2,7 +2,8 @@
 
     spark-submit run_image.py --messages PATH --out PATH [--binned] [--scan NY NX] [--gain NPY] [--good NPY] [--verify-all] [--stream] [--npy FILE]
 
-Writes the image as Parquet (scan_y, scan_x, s, visited), optionally as an .npy array, and prints a report.
+Writes the image as Parquet (scan_y, scan_x, s, visited), optionally as an .npy array, and the messages that could not be read or decoded
+(quarantine: seq, image_id, error), and prints a report. Every message is parsed once, into a table of one narrow row each.
 """
 
 from __future__ import annotations
@@ -16,29 +17,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweir.functions.config import BINNED, UNBINNED, ScanConfig
-from pixelweir.operators import decode, image, series, weights
+from pixelweir.operators import image, weights
 from pixelweir.sources import messages
 from pixelweir.streaming import image_stream
 
 
-def stored_sums(raw: DataFrame, table: list[float], config: ScanConfig, verify_all: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Sums of the frames between each series' start and end, and all envelopes; a start that does not fit raises ValueError."""
-    found = decode.envelopes(raw)
-    bad = image_stream.gate(found, config).select("reason").take(1)
-    if bad:
-        raise ValueError(f"series start: {bad[0]['reason']}")
-    keyed = found.withColumn("series", F.coalesce("series", F.lit(0).cast("long")))
-    return decode.decoded_sums(series.gated(keyed), table, config, verify_all), found
+def report(spark: SparkSession, table: str, config: ScanConfig, elapsed_s: float, batches: list[dict] | None = None) -> dict:
+    """Messages received, frames in the run, decoded and failed, messages that cannot be read, batches, rates, and how they compare with the detector's.
 
-
-def report(sums: DataFrame, config: ScanConfig, elapsed_s: float) -> dict:
-    """Frames decoded and failed, rates, and how they compare with the detector's."""
-    n = sums.agg(F.count("s").alias("decoded"), F.count("error").alias("errors")).first()
+    With the progress of micro-batches also the average and largest batch and the time spent in each stage of the work.
+    """
+    rows = image_stream.table_of(spark, table)
+    all_ = rows.agg(F.count("*").alias("received"), F.count_if(F.col("type").isNull()).alias("unreadable"), F.countDistinct("batch").alias("batches")).first()
+    n = image_stream.passed_sums(spark, table).agg(F.count("*").alias("frames"), F.count("s").alias("decoded"), F.count("error").alias("errors")).first()
     rate = n["decoded"] / elapsed_s if elapsed_s else float("nan")
-    return {
+    out = {
+        "received": all_["received"], "unreadable": all_["unreadable"], "batches": all_["batches"], "frames": n["frames"],
         "decoded": n["decoded"], "decode_errors": n["errors"], "elapsed_s": elapsed_s, "rate_hz": rate, "detector_rate_hz": config.detector_rate_hz,
         "realtime_factor": rate / config.detector_rate_hz, "acquisition_s": n["decoded"] * config.frame_period_us / 1e6, "us_per_frame": elapsed_s * 1e6 / n["decoded"] if n["decoded"] else float("nan"),
     }
+    if batches:
+        stages = sorted({k for b in batches for k in b} - {"rows"})
+        out |= {"batch_rows_avg": sum(b["rows"] for b in batches) / len(batches), "batch_rows_max": max(b["rows"] for b in batches), "stage_ms": {k: sum(b.get(k, 0) for b in batches) for k in stages}}
+    return out
 
 
 def as_array(grid: DataFrame, config: ScanConfig) -> np.ndarray:
@@ -54,18 +55,20 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     config = config.with_(scan=tuple(args.scan)) if args.scan else config
     grid = weights.pixel_grid(spark, config)
     table = image.weight_array(weights.weight_map(grid, config, weights.load_mask(spark, args.gain, config, "gain"), weights.load_mask(spark, args.good, config, "good")))
+    # a stored copy and a stream have tables of their own, so that one run leaves nothing in the other's image
+    place = f"{args.out}/{'stream' if args.stream else 'stored'}"
+    progress = image_stream.Progress() if args.stream else None
     began = time.perf_counter()
     if args.stream:
-        image_stream.run_sums(messages.message_stream(spark, args.messages), table, config, f"{args.out}/sums", f"{args.out}/checkpoint", args.verify_all)
+        image_stream.run_sums(messages.message_stream(spark, args.messages), table, config, place, f"{args.out}/checkpoint", args.verify_all, progress)
     else:
-        sums, _ = stored_sums(messages.message_table(spark, args.messages), table, config, args.verify_all)
-        sums.write.mode("overwrite").parquet(f"{args.out}/sums/batch=0")
+        image_stream.write_batch(messages.message_table(spark, args.messages), 0, table, config, place, args.verify_all)
     elapsed = time.perf_counter() - began
-    sums = image_stream.passed_sums(spark, f"{args.out}/sums") if args.stream else spark.read.schema(image_stream.SUMS).parquet(f"{args.out}/sums")
-    image_stream.image_of(sums, config).write.mode("overwrite").parquet(f"{args.out}/image")
+    image_stream.image_of(image_stream.passed_sums(spark, place), config).write.mode("overwrite").parquet(f"{args.out}/image")
+    image_stream.quarantine(spark, place).write.mode("overwrite").parquet(f"{args.out}/quarantine")
     if args.npy:
         np.save(args.npy, as_array(spark.read.parquet(f"{args.out}/image"), config))
-    return report(sums, config, elapsed)
+    return report(spark, place, config, elapsed, progress.batches if progress else None)
 
 
 def arguments(given: list[str] | None = None) -> argparse.Namespace:

@@ -108,8 +108,8 @@ def frames(found: DataFrame) -> DataFrame:
     return found.where("type = 'image' AND error IS NULL").select(*FIELDS).mapInArrow(run, schema)
 
 
-def decoded_sums(found: DataFrame, weights: list[float], config: ScanConfig, verify_all: bool = False) -> DataFrame:
-    """seq, image_id and s of image envelopes, decoded and summed in one pass: a narrow row for each frame leaves the task.
+def _summer(weights: list[float], config: ScanConfig, verify_all: bool):
+    """A function from envelopes to their sums and errors.
 
     Only blocks that hold rows with weight are decompressed, unless verify_all asks to read (and so check) every block. Frames of one layout
     are unshuffled and summed together, TOGETHER at a time. A frame that cannot be decoded, or is not of the detector's shape, has an
@@ -120,7 +120,6 @@ def decoded_sums(found: DataFrame, weights: list[float], config: ScanConfig, ver
     rows = np.flatnonzero(table.any(axis=1))
     first, last = (int(rows[0]), int(rows[-1])) if len(rows) else (0, -1)
     part = np.ascontiguousarray(table[first : last + 1])
-    schema = "seq long, image_id long, s double, error string"
 
     def one(frame: messages.Envelope) -> float:
         if frame.shape != (h, w):
@@ -144,31 +143,63 @@ def decoded_sums(found: DataFrame, weights: list[float], config: ScanConfig, ver
         seen = plain.view(dtype).reshape(len(given), h, w)[:, first : last + 1]
         return np.array([(x * part).sum() for x in _exact(seen)])
 
+    def run(given: list[messages.Envelope]) -> tuple[list[float | None], list[str | None]]:
+        sums: list = [None] * len(given)
+        errors: list = [None] * len(given)
+        groups: dict[tuple, list[int]] = {}
+        for k, frame in enumerate(given):
+            groups.setdefault(alike(frame), []).append(k)
+        alone = groups.pop((), [])
+        for members in groups.values():
+            for at in range(0, len(members), TOGETHER):
+                ks = members[at : at + TOGETHER]
+                try:
+                    for k, s in zip(ks, together([given[k] for k in ks]), strict=True):
+                        sums[k] = float(s)
+                except BROKEN:
+                    alone += ks
+        for k in alone:
+            try:
+                sums[k] = float(together([given[k]])[0]) if alike(given[k]) else one(given[k])
+            except BROKEN as e:
+                errors[k] = str(e) or type(e).__name__
+        return sums, errors
+
+    return run
+
+
+def decoded_sums(found: DataFrame, weights: list[float], config: ScanConfig, verify_all: bool = False) -> DataFrame:
+    """seq, image_id, s and error of image envelopes, decoded and summed in one pass: a narrow row for each frame leaves the task."""
+    summed = _summer(weights, config, verify_all)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = _envelopes(batch)
-            sums: list = [None] * len(given)
-            errors: list = [None] * len(given)
-            groups: dict[tuple, list[int]] = {}
-            for k, frame in enumerate(given):
-                groups.setdefault(alike(frame), []).append(k)
-            alone = groups.pop((), [])
-            for members in groups.values():
-                for at in range(0, len(members), TOGETHER):
-                    ks = members[at : at + TOGETHER]
-                    try:
-                        for k, s in zip(ks, together([given[k] for k in ks]), strict=True):
-                            sums[k] = float(s)
-                    except BROKEN:
-                        alone += ks
-            for k in alone:
-                try:
-                    sums[k] = float(together([given[k]])[0]) if alike(given[k]) else one(given[k])
-                except BROKEN as e:
-                    errors[k] = str(e) or type(e).__name__
+            sums, errors = summed(_envelopes(batch))
             yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("image_id"), pa.array(sums, pa.float64()), pa.array(errors, pa.string())], names=["seq", "image_id", "s", "error"])
 
-    return found.where("type = 'image' AND error IS NULL").select(*FIELDS).mapInArrow(run, schema)
+    return found.where("type = 'image' AND error IS NULL").select(*FIELDS).mapInArrow(run, "seq long, image_id long, s double, error string")
+
+
+#: What is left of a message once it is decoded: of a start its sizes, of an image its sum or error, of one that cannot be read its error.
+NARROW = "seq long, type string, series long, image_size_y int, image_size_x int, number_of_images long, image_id long, s double, error string"
+
+
+def decoded_rows(raw: DataFrame, weights: list[float], config: ScanConfig, verify_all: bool = False) -> DataFrame:
+    """One narrow row for each message (seq, raw): every message is parsed once, and every frame decoded once, in the task that reads it."""
+    summed = _summer(weights, config, verify_all)
+    kept = [x.split(" ")[0] for x in NARROW.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = batch.column("error").to_pylist()
+            images = [k for k, (kind, e) in enumerate(zip(batch.column("type").to_pylist(), errors, strict=True)) if kind == "image" and e is None]
+            sums: list = [None] * batch.num_rows
+            for k, s, e in zip(images, *summed(_envelopes(batch.take(pa.array(images, pa.int64())))), strict=True):
+                sums[k], errors[k] = s, e
+            made = {"s": pa.array(sums, pa.float64()), "error": pa.array(errors, pa.string())}
+            yield pa.RecordBatch.from_arrays([made.get(c) if c in made else batch.column(c) for c in kept], names=kept)
+
+    return envelopes(raw).mapInArrow(run, NARROW)
 
 
 def quarantine(found: DataFrame) -> DataFrame:

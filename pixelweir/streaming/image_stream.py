@@ -8,55 +8,102 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pixelweir.functions.config import ScanConfig
 from pixelweir.operators import decode, image, series
 
-SUMS = "seq long, image_id long, s double, error string"
-#: Beside the sums, the table has a row for each start, image and end message; only these have a series and a type.
-TABLE = f"{SUMS}, series long, type string"
+#: The table of a run: one narrow row for each message, and the micro-batch that it came in (0 for a stored copy).
+TABLE = f"{decode.NARROW}, batch int"
+#: Series whose bounds may be sent to every executor.
+BROADCAST_SERIES = 200_000
 
 
-def gate(bounds: DataFrame, config: ScanConfig) -> DataFrame:
-    """Start messages that do not fit the configuration, each with its reason."""
-    from pixelweir.operators.series import start_errors
+def table_of(spark: SparkSession, table: str) -> DataFrame:
+    """All rows written so far; messages without a series count as series 0."""
+    return spark.read.schema(TABLE).parquet(table).withColumn("series", F.coalesce("series", F.lit(0).cast("long")))
 
-    reason = start_errors(F.col("image_size_y"), F.col("image_size_x"), F.col("number_of_images"), config)
-    return bounds.where("type = 'start'").withColumn("reason", reason).where("reason IS NOT NULL")
 
+def gate(rows: DataFrame, config: ScanConfig) -> DataFrame:
+    """The first start message of each series that does not fit the configuration, with its reason; later starts are ignored."""
+    first = rows.where("type = 'start'").groupBy("series").agg(F.min_by(F.struct("seq", "image_size_y", "image_size_x", "number_of_images"), "seq").alias("start"))
+    reason = series.start_errors(F.col("start.image_size_y"), F.col("start.image_size_x"), F.col("start.number_of_images"), config)
+    return first.withColumn("reason", reason).where("reason IS NOT NULL")
 
-def run_sums(raw: DataFrame, weights: list[float], config: ScanConfig, table: str, checkpoint: str, verify_all: bool = False) -> None:
-    """Reads what a stream of (seq, raw) has, to its end, and adds each frame's sum and each message's series and type to the Parquet table.
 
-    Each micro-batch writes a folder named by its number, overwriting what an interrupted try left there, so a replay after a lost
-    driver or executor changes nothing. A start message that does not fit stops the run before its frames are written.
+def write_batch(raw: DataFrame, number: int, weights: list[float], config: ScanConfig, table: str, verify_all: bool = False) -> None:
+    """Decodes messages (seq, raw) into the table's folder for a batch, replacing what an interrupted try left there.
+
+    Raises ValueError if the batch has a series' first start and this does not fit the configuration.
     """
+    decode.decoded_rows(raw, weights, config, verify_all).write.mode("overwrite").parquet(f"{table}/batch={number}")
+    rows = table_of(raw.sparkSession, table)
+    here = rows.where((F.col("batch") == number) & (F.col("type") == "start")).select("series").distinct()
+    if here.isEmpty():
+        return
+    bad = gate(rows.join(here, "series", "left_semi"), config).take(1)
+    if bad:
+        raise ValueError(f"series start: {bad[0]['reason']}")
 
-    def batch(messages: DataFrame, number: int) -> None:
-        found = decode.envelopes(messages)
-        bad = gate(found, config).select("reason").take(1)
-        if bad:
-            raise ValueError(f"series start: {bad[0]['reason']}")
-        kinds = found.where("type IN ('start', 'image', 'end')").select("seq", F.coalesce("series", F.lit(0).cast("long")).alias("series"), "type")
-        rows = decode.decoded_sums(found, weights, config, verify_all).unionByName(kinds, allowMissingColumns=True)
-        rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    query = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_sums(raw: DataFrame, weights: list[float], config: ScanConfig, table: str, checkpoint: str, verify_all: bool = False, listener: StreamingQueryListener | None = None) -> None:
+    """Reads what a stream of (seq, raw) has, to its end, and adds a narrow row for each message to the Parquet table.
+
+    Each micro-batch writes a folder named by its number, so a replay after a lost driver or executor changes nothing. A first start message
+    that does not fit stops the run. A listener is told of the progress.
+    """
+    streams = raw.sparkSession.streams
+    if listener is not None:
+        streams.addListener(listener)
+    try:
+        query = raw.writeStream.foreachBatch(lambda messages, number: write_batch(messages, number, weights, config, table, verify_all)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if listener is not None:
+            streams.removeListener(listener)
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the rows and the milliseconds of each micro-batch, by stage of its work, and prints the count of messages so far."""
+
+    def __init__(self, say=print):
+        self.say, self.messages, self.batches = say, 0, []
+
+    def onQueryStarted(self, event):  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event):  # noqa: N802
+        found = event.progress
+        if found.numInputRows:
+            self.messages += found.numInputRows
+            self.batches.append({"rows": found.numInputRows, **{k: int(v) for k, v in found.durationMs.items()}})
+            self.say(f"{self.messages} messages")
+
+    def onQueryIdle(self, event):  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        pass
 
 
 def passed_sums(spark: SparkSession, table: str) -> DataFrame:
-    """The sums written so far of frames between their series' start and its end, whatever batches these came in."""
-    rows = spark.read.schema(TABLE).parquet(table)
-    inside = series.gated(rows.where("type IS NOT NULL").select("series", "seq", "type"))
-    return rows.where("type IS NULL").drop("series", "type").join(inside.select("seq"), "seq", "left_semi")
+    """The frames written so far that stand between their series' start and its end, whatever batches these came in."""
+    rows = table_of(spark, table)
+    bounds = series.series_bounds(rows.where("type IN ('start', 'end')").select("series", "seq", "type"))
+    bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_SERIES else bounds
+    inside = (F.col("seq") > F.col("start_seq")) & (F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq")))
+    return rows.where("type = 'image'").join(bounds, "series").where(inside).select("series", "seq", "image_id", "s", "error", "batch")
+
+
+def quarantine(spark: SparkSession, table: str) -> DataFrame:
+    """seq, image_id and error of the messages that cannot be read, and of the frames that cannot be decoded."""
+    return table_of(spark, table).where("error IS NOT NULL").select("seq", "image_id", "error")
 
 
 def image_of(sums: DataFrame, config: ScanConfig) -> DataFrame:
     """The image of the frames without error; of an id sent twice the later frame counts."""
-    sums = sums.where("error IS NULL")
-    sums = sums.join(image.out_of_range(sums.select("image_id").distinct(), config), "image_id", "left_anti")
+    sums = sums.where((F.col("error").isNull()) & (F.col("image_id") >= 0) & (F.col("image_id") < config.positions))
     return image.grid(image.last_wins(sums).select("image_id", "s"), sums, config)
 
 
@@ -97,8 +144,12 @@ def run_gate(messages: DataFrame, table: str, checkpoint: str) -> None:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share (spark.checkpoint.dir, else a temporary one)."""
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir; a local session may do without)."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="streams-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="streams-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,8 +14,8 @@ def test_job(spark, tmp_path, stream):
     frames = [rng.poisson(0.5, BINNED.detector).astype("<u4") for _ in range(5)]
     start = cbor.dumps({"type": "start", "image_size_y": 96, "image_size_x": 96, "number_of_images": 6})
     rows = [(1, start), *((k + 2, messages.frame_message(k, f)) for k, f in enumerate(frames)), (7, messages.frame_message(4, frames[0])), (8, messages.frame_message(3, frames[3])[:-9]), (9, cbor.dumps({"type": "end"}))]
-    if not stream:
-        rows += [(0, messages.frame_message(5, frames[0])), (10, messages.frame_message(5, frames[0]))]
+    rows += [(0, messages.frame_message(5, frames[0])), (10, messages.frame_message(5, frames[0]))]  # before the start, after the end
+    rows += [(11, b"\xa1\x61"), (12, cbor.dumps({"type": "start", "image_size_y": 192, "image_size_x": 192}))]  # not readable; a later start counts for nothing
     spark.createDataFrame([(s, bytearray(r)) for s, r in rows], "seq long, raw binary").repartition(2).write.parquet(f"{tmp_path}/in")
     good = np.ones(BINNED.detector)
     good[48, 40:50] = 0
@@ -26,7 +26,13 @@ def test_job(spark, tmp_path, stream):
     w = ((y - 48.0) ** 2 + (x - 48.0) ** 2 <= 15**2) * good
     sums = [float((f * w).sum()) for f in frames]
     assert np.load(tmp_path / "image.npy").reshape(-1).tolist() == [*sums[:4], sums[0], 0.0]
-    assert found["decoded"] == 6
+    assert (found["received"], found["unreadable"], found["frames"], found["decoded"], found["decode_errors"]) == (13, 2, 6, 6, 0)
+    bad = spark.read.parquet(f"{tmp_path}/out/quarantine").collect()
+    assert {r["seq"] for r in bad} == {8, 11}
+    assert found["batches"] == (found["batches"] if stream else 1)
+    if stream:
+        assert found["batch_rows_max"] <= 13
+        assert sum(found["stage_ms"].values()) > 0
     assert found["realtime_factor"] > 0
 
 
