@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "seq long, raw binary"
+#: Messages of a log that a task gives on together.
+AT_ONCE = 256
 
 
 def message_table(spark: SparkSession, path: str) -> DataFrame:
@@ -24,19 +26,21 @@ def message_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -
 def message_log(spark: SparkSession, path: str) -> DataFrame:
     """Messages of log files in which each is preceded by its length (u32, big-endian): file, seq (within the file) and raw.
 
-    Files are read whole by tasks, one file a task; a cut last message is dropped.
+    Files are read whole by tasks, one file a task, and given on AT_ONCE messages at a time. What is left of a cut last message is given as a
+    message, which cannot be read and so goes to quarantine.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path_, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                out, at = [], 0
-                while at + 4 <= len(data):
-                    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
-                    if end > len(data):
-                        break
-                    out.append(data[at + 4 : end])
-                    at = end
-                yield pa.RecordBatch.from_arrays([pa.array([path_] * len(out), pa.string()), pa.array(range(len(out)), pa.int64()), pa.array(out, pa.binary())], names=["file", "seq", "raw"])
+                at, seq = 0, 0
+                while at < len(data):
+                    out = []
+                    while at < len(data) and len(out) < AT_ONCE:
+                        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+                        out.append(data[at + 4 : end])
+                        at = end
+                    yield pa.RecordBatch.from_arrays([pa.array([path_] * len(out), pa.string()), pa.array(range(seq, seq + len(out)), pa.int64()), pa.array(out, pa.binary())], names=["file", "seq", "raw"])
+                    seq += len(out)
 
     return spark.read.format("binaryFile").load(path).select(F.col("path"), "content").mapInArrow(run, "file string, seq long, raw binary")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelweir.functions.config import ScanConfig
-from pixelweir.operators import image, series, weights
+from pixelweir.operators import decode, image, series, weights
 from pixelweir.operators.ranking import running
 from pixelweir.sources import encode, messages
 from pixelweir.streaming import image_stream
@@ -140,4 +140,7 @@ def test_message_log(spark, tmp_path):
     parts = [b"abc", b"", b"x" * 300]
     (tmp_path / "a.log").write_bytes(b"".join(len(p).to_bytes(4, "big") + p for p in parts) + b"\0\0\0\x09cut")
     got = [bytes(r["raw"]) for r in messages.message_log(spark, str(tmp_path)).orderBy("seq").collect()]
-    assert got == parts
+    assert got == [*parts, b"cut"]
+    assert decode.quarantine(decode.envelopes(messages.message_log(spark, str(tmp_path)).where("seq = 3"))).count() == 1
+    (tmp_path / "a.log").write_bytes(b"".join(len(p).to_bytes(4, "big") + p for p in [b"m"] * 600))
+    assert [r["seq"] for r in messages.message_log(spark, str(tmp_path)).orderBy("seq").collect()] == list(range(600))
