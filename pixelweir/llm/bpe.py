@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import ahocorasick
@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import documents, fresh_name, per_row
+from pixelweir.llm.common import documents, fresh_name, per_row, with_made
 
 END = "</w>"
 #: Stands for the end-of-word suffix inside the automaton; no character of the byte alphabet.
@@ -41,8 +41,6 @@ MARK = "\x01"
 #: Words kept since the last change of generation; as many older ones may be held.
 CACHED_WORDS = 100_000
 CACHED_PAIRS = 200_000
-#: Number of ids, ids and tokens as text, ids as bytes.
-Word = tuple[int, str, str, bytes]
 SPACES = regex.compile(r"\s+")
 #: Lower case letters of Unicode 16 and 17, which the tokenizers library knows and Python 3.13 does not.
 NEWER_CASE = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {0x10D50 + k: 0x10D70 + k for k in range(22)} | {0x16EA0 + k: 0x16EBB + k for k in range(25)}
@@ -61,6 +59,24 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class Recent:
+    """What `make` gives for the ids of a word, kept in two generations: words seen again move to the newer one, the others go."""
+
+    def __init__(self, ids: Callable[[str], list[int]], make: Callable[[list[int]], object]):
+        self.ids, self.make = ids, make
+        self.words: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+
+    def __call__(self, word: str):
+        if (known := self.words.get(word)) is None:
+            if len(self.words) > CACHED_WORDS:
+                self.words, self.older = {}, self.words
+            if (known := self.older.get(word)) is None:
+                known = self.make(self.ids(word))
+            self.words[word] = known
+        return known
+
+
 class WordBpe:
     """The encoder of one tokenizer file."""
 
@@ -87,8 +103,10 @@ class WordBpe:
         self.automaton.make_automaton()
         self.whole: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, Word] = {}
-        self.older: dict[str, Word] = {}
+        of = lambda word: self.word_ids("".join(map(self.bytes.__getitem__, word.encode())))
+        #: For a word of normalised text: number of ids, the ids and the tokens joined by spaces; the ids as 32-bit numbers.
+        self.texts = Recent(of, lambda ids: (len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))))
+        self.numbers = Recent(of, lambda ids: np.array(ids, np.int32).tobytes())
 
     def symbols(self, token: str) -> list[str]:
         """The symbols that merging starts from: characters, the last with the suffix if the token ends a word."""
@@ -166,43 +184,32 @@ class WordBpe:
             step = last[step[1] - 1] if step[1] else None
         return out[::-1]
 
-    def word(self, word: str) -> Word:
-        """For a word of normalised text: number of ids, the ids and the tokens joined by spaces, and the ids as 32-bit numbers."""
-        if (known := self.words.get(word)) is None:
-            if len(self.words) > CACHED_WORDS:  # words seen again meanwhile move over, the others go
-                self.words, self.older = {}, self.words
-            if (known := self.older.get(word)) is None:
-                ids = self.word_ids("".join(map(self.bytes.__getitem__, word.encode())))
-                known = (len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)), np.array(ids, np.int32).tobytes())
-            self.words[word] = known
-        return known
-
     def normalised(self, text: str) -> str:
         if text.isascii():
             return text.lower()  # white space is dropped by the split
         text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
         return (text.translate(NEWER_CASE) if max(text) > "ᰀ" else text).replace("Σ", "σ").lower()  # character by character: no final sigma
 
-    def found(self, text: str) -> list[Word]:
-        """What word() gives for the words and added tokens of a text, in order."""
+    def found(self, text: str, form: Recent) -> list:
+        """What form (texts or numbers) gives for the words and added tokens of a text, in order."""
         parts = self.split_added.split(text) if self.split_added is not None and "<|" in text else [text]
-        out: list[Word] = []
+        out: list = []
         for part in parts:
             if part in self.added:
-                out.append((1, str(self.added[part]), part, np.array([self.added[part]], np.int32).tobytes()))
+                out.append(form.make([self.added[part]]))
             elif part:
                 plain = self.normalised(part)
                 split = self.split if plain.isascii() or self.newer.isdisjoint(plain) else self.split_newer
-                out += map(self.word, split.findall(plain))
+                out += map(form, split.findall(plain))
         return out
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids and the decoded text (tokens), the last two joined by spaces."""
-        found = self.found(text)
+        found = self.found(text, self.texts)
         return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
     def id_array(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([x[3] for x in self.found(text)]), np.int32)
+        return np.frombuffer(b"".join(self.found(text, self.numbers)), np.int32)
 
     def ids(self, text: str) -> list[int]:
         return self.id_array(text).tolist()
@@ -237,13 +244,13 @@ def encode(docs: DataFrame, file: str | None = None, text: str = "text", name: s
     file = file or default_file()
     name = fresh_name(docs, name)
 
-    def work(given: dict[str, list]) -> dict[str, list]:
+    def work(texts: list[bytes]) -> pa.Array:
         tokenizer = encoder(file)
-        ids = [tokenizer.id_array(x.decode()) for x in given[text]]
+        ids = [tokenizer.id_array(x.decode()) for x in texts]
         ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        return {name: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))}
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
 
-    return per_row(docs, docs.columns, f"`{name}` array<int>", work, [text])
+    return with_made(docs, name, "array<int>", work, text)
 
 
 def decode(rows: DataFrame, file: str | None = None, ids: str = "input_ids", name: str = "decoded") -> DataFrame:

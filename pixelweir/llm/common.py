@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -59,6 +60,30 @@ def per_row(df: DataFrame, columns: list[str], made: str, work: Callable[[dict[s
     return kept.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns memory that this Python process no longer uses to the system; Spark keeps its workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def with_made(df: DataFrame, name: str, kind: str, work: Callable[[list[bytes]], pa.Array], text: str = "text") -> DataFrame:
+    """df with a column `name` of the type `kind`, computed by `work` from the texts of a column, SLICE at a time, as bytes (null as empty).
+
+    Only the texts go to Python and only the new column comes back; rows stay in their task and other columns in the JVM.
+    """
+
+    @F.arrow_udf(kind)
+    def made(column: pa.Array) -> pa.Array:
+        out = pa.concat_arrays([work(text_bytes(column.slice(k, SLICE))) for k in range(0, max(1, len(column)), SLICE)])
+        give_back()
+        return out
+
+    # not deterministic, so that a filter on the new column is not moved below it and computes it a second time
+    return df.withColumn(name, made.asNondeterministic()(F.col(f"`{text}`")))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets a temporary one."""
     context = spark.sparkContext

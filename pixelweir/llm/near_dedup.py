@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import checkpointed, documents, fresh_name, hot_join, per_row, written
+from pixelweir.llm.common import checkpointed, documents, fresh_name, give_back, hot_join, with_made, written
 from pixelweir.llm.components import connected_components
 
 BANDS, ROWS = 50, 7
@@ -101,7 +101,7 @@ def _bands(mins: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketch(texts: list[bytes], width: int) -> dict[str, list]:
+def _sketch(texts: list[bytes], width: int) -> pa.Array:
     hashes = WordHashes()
     sets = [shingle_set(x, width, hashes) for x in texts]
     full = [k for k, x in enumerate(sets) if len(x)]
@@ -111,12 +111,14 @@ def _sketch(texts: list[bytes], width: int) -> dict[str, list]:
         for k, row in zip(full, made, strict=True):
             bands[k] = row
     node = [int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).view(np.int64))) if len(x) else None for x in sets]
-    return {"n_shingles": [len(x) for x in sets], "node": node, "bands": pa.array(bands, pa.list_(pa.int64()))}
+    sizes = pa.array([len(x) for x in sets], pa.int64())
+    return pa.StructArray.from_arrays([sizes, pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["n_shingles", "node", "bands"])
 
 
 def sketches(docs: DataFrame, width: int, columns: list[str]) -> DataFrame:
     """The given columns, n_shingles, node and bands of every document."""
-    return per_row(docs, [*columns, "text"], "n_shingles long, node long, bands array<bigint>", lambda x: _sketch(x["text"], width)).drop("text")
+    made = with_made(docs.select(*columns, "text"), "sketch_", "struct<n_shingles: bigint, node: bigint, bands: array<bigint>>", lambda x: _sketch(x, width))
+    return made.select(*columns, "sketch_.*")
 
 
 def pack(shingles: np.ndarray) -> bytes:
@@ -133,16 +135,17 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
-def _sets(texts: list[bytes], width: int) -> dict[str, list]:
+def _sets(texts: list[bytes], width: int) -> pa.Array:
     hashes = WordHashes()
     out: dict[str, list] = {"node": [], "signature": [], "shingles": [], "n": []}
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
     for text in texts:
         x = shingle_set(text, width, hashes)
         out["node"].append(int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).view(np.int64)) if len(x) else None)
         out["signature"].append(minima(x, SIGNATURE).astype(np.uint8).tobytes())
         out["shingles"].append(pack(x))
         out["n"].append(len(x))
-    return out
+    return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(out.values(), kinds, strict=True)], list(out))
 
 
 def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -181,6 +184,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if 100 * common >= percent * (len(both) - common):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], names=["u", "v"])
+        give_back()
 
     return pairs.join(right, "v").join(left, "u").select("u", "v", "su", "xu", "sv", "xv").mapInArrow(run, "u long, v long")
 
@@ -203,6 +207,8 @@ def bucket_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent
     def run(table: pa.Table) -> pa.Table:
         node, part, packed = (table.column(c).to_pylist() for c in ("node", "part", "shingles"))
         found = forest(part, [unpack(x) for x in packed], percent)
+        if table.nbytes > BLOCK:
+            give_back()
         return pa.table({"u": pa.array([node[i] for i, _ in found], pa.int64()), "v": pa.array([node[j] for _, j in found], pa.int64())})
 
     return full.groupBy("bucket", "a", "b").applyInArrow(run, "u long, v long").distinct()
@@ -241,7 +247,8 @@ def roots(sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     nodes = members.select("node").distinct()
     chosen = sketched.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     texts = only_ids(docs.select("doc_id", "text"), checkpointed(chosen))
-    made = per_row(texts, ["text"], "node long, signature binary, shingles binary, n long", lambda x: _sets(x["text"], width)).drop("text").where("node IS NOT NULL")
+    kind = "struct<node: bigint, signature: binary, shingles: binary, n: bigint>"
+    made = with_made(texts.select("text"), "set_", kind, lambda x: _sets(x, width)).select("set_.*").where("node IS NOT NULL")
     sets = written(made.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"), F.max("n").alias("n")), "sets")
 
     # first each node meets one other only: the smallest that any of its buckets holds

@@ -21,10 +21,11 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import documents, fresh_name, per_row, remainder
+from pixelweir.llm.common import documents, fresh_name, per_row, remainder, with_made
 
 THRESHOLD = 0.3
 KEPT_WORDS = 200_000
@@ -182,7 +183,7 @@ def keep_predicted(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -
     model = fit(docs, labels, max_rows)
 
     name = fresh_name(docs, "score")
-    scored = per_row(docs, docs.columns, f"`{name}` double", lambda x: {name: model.score(featurise(x["text"]))}, ["text"])
+    scored = with_made(docs, name, "double", lambda x: pa.array(model.score(featurise(x)), pa.float64()))
     return scored.where(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 

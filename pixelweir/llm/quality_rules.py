@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import documents, fresh_name, per_row
+from pixelweir.llm.common import documents, fresh_name, per_row, with_made
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -133,11 +133,11 @@ def keep_passing(docs: DataFrame, policy: str) -> DataFrame:
     bits, held = fresh_name(docs, "fail_bits"), fresh_name(docs, "measured")
     names = [x.strip().split(" ")[0] for x in MEASURES.split(",")]
 
-    def work(given: dict[str, list]) -> dict[str, list]:
-        found = measure(given["text"])
-        return {held: pa.StructArray.from_arrays([pa.array(found[c], pa.int64()) for c in names], names)}
+    def work(texts: list[bytes]) -> pa.Array:
+        found = measure(texts)
+        return pa.StructArray.from_arrays([pa.array(found[c], pa.int64()) for c in names], names)
 
-    rows = per_row(docs, docs.columns, f"`{held}` struct<{', '.join(f'{c}: bigint' for c in names)}>", work, ["text"])
+    rows = with_made(docs, held, f"struct<{', '.join(f'{c}: bigint' for c in names)}>", work)
     failing = F.lit(0).cast("long")
     for k, (_, condition) in enumerate(RULES):
         for name in names:
