@@ -127,6 +127,8 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, rows: int | No
     rows = df.count() if rows is None else rows
     ranges = max(1, min(MANY, math.ceil(rows / RANGE_ROWS)), math.ceil(rows / MOST_RANGE_ROWS))
     part, at = fresh_name(df, "range_part"), fresh_name(df, "range_at")
+    # rows that are equal in the order but not altogether (many nulls, say) may be parted too
+    order = [*order, F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))]
     cut = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     held = written(cut.withColumn(part, F.spark_partition_id()).withColumn(at, number), "ranges")

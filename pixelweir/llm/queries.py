@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pixelweir.llm import bpe, language_id, license_scan, lm_scoring, near_dedup, ogg, quality_classifier, quality_rules, sharding, source_mixing
+from pixelweir.llm import bpe, conversation_repair, language_id, license_scan, lm_scoring, near_dedup, ogg, packing, quality_classifier, quality_rules, sharding, source_mixing
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op10_ogg": ogg.query,
+    "op11_conversation_repair": conversation_repair.query,
+    "op13_packing": packing.query,
     "op2_bpe": bpe.query,
     "op3_license_scan": license_scan.query,
     "op4_quality_classifier": quality_classifier.query,
