@@ -37,11 +37,13 @@ from pixelweir.llm.common import BROADCAST_ROWS, SLICE, documents, text_bytes, w
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Counts of a term in a document that the signature tells apart; a term of level j stands less often than level j + 1 says.
 LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, 1024, 4096])
-#: Places of a key, and at least so many bits for each.
-HASHES, BITS = 3, 8
+#: Places of a term, and of a term with a level above the first (which is asked for only where the term was found); at least so many bits for each key.
+FIRST, OTHER, BITS = 6, 3, 12
 #: Documents of a block, and bits of its matrix.
 BLOCK, MATRIX_BITS = 512, 1 << 25
 TOP = 50
+#: Documents that are scored for a threshold, for each place of the list.
+TRIED = 2
 #: Distinct terms, and items, of a batch.
 MAX_TERMS, MAX_ITEMS = 50_000, 4096
 #: The score's terms (fixed by its definition): tf * ONE div (1000 * tf + 20 * m), and what no count exceeds.
@@ -62,15 +64,16 @@ def _keys(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _places(keys: np.ndarray, width: int) -> np.ndarray:
-    """HASHES places in a filter of `width` bits (a power of two) for each key."""
+def _places(keys: np.ndarray, width: int, n: int) -> np.ndarray:
+    """n places in a filter of `width` bits for each key."""
     a, b = keys & np.uint64(0xFFFFFFFF), (keys >> np.uint64(32)) | np.uint64(1)
-    return ((a[:, None] + np.arange(HASHES, dtype=np.uint64) * b[:, None]) & np.uint64(width - 1)).astype(np.int64)
+    return ((a[:, None] + np.arange(n, dtype=np.uint64) * b[:, None]) % np.uint64(width)).astype(np.int64)
 
 
 def width_for(keys: int) -> int:
-    """Bits of the filter for so many keys."""
-    return 1 << max(6, (BITS * keys - 1).bit_length())
+    """Bits of the filter for so many keys: a power of two or one and a half of it."""
+    width = 1 << max(6, (BITS * keys - 1).bit_length())
+    return width * 3 // 4 if width * 3 // 4 >= BITS * keys else width
 
 
 class Hashes(dict):
@@ -87,17 +90,21 @@ class _Block:
     """Documents of one width that are collected for a matrix."""
 
     def __init__(self, width: int):
-        self.width, self.ids, self.marks, self.n, self.keys = width, [], [], [], []
+        self.width, self.ids, self.marks, self.n, self.places = width, [], [], [], []
 
     def full(self) -> bool:
         return len(self.ids) >= BLOCK or (len(self.ids) + 8) * self.width > MATRIX_BITS
 
+    def add(self, doc_id, mark: int, n: int, keys: np.ndarray, first: np.ndarray) -> None:
+        self.ids.append(doc_id)
+        self.marks.append(mark)
+        self.n.append(n)
+        self.places.append(np.concatenate([_places(keys[first], self.width, FIRST).reshape(-1), _places(keys[~first], self.width, OTHER).reshape(-1)]))
+
     def matrix(self) -> bytes:
-        columns = np.repeat(np.arange(len(self.keys)), [len(x) for x in self.keys])
+        columns = np.repeat(np.arange(len(self.places)), [len(x) for x in self.places])
         bits = np.zeros((self.width, -(-len(self.ids) // 8) * 8), bool)
-        places = _places(np.concatenate(self.keys), self.width)
-        for k in range(HASHES):
-            bits[places[:, k], columns] = True
+        bits[np.concatenate(self.places), columns] = True
         return np.packbits(bits, axis=1).tobytes()
 
 
@@ -132,10 +139,7 @@ def index(docs: DataFrame, vocabulary: set[int]) -> DataFrame:
                 keys = _keys(each[of], level)
                 width = width_for(len(keys))
                 block = open_.setdefault(width, _Block(width))
-                block.ids.append(doc_id)
-                block.marks.append(mark)
-                block.n.append(len(found))
-                block.keys.append(keys)
+                block.add(doc_id, mark, len(found), keys, level == 0)
                 if block.full():
                     yield row(block.ids, width, block.marks, block.n, block.matrix(), [], [])
                     del open_[width]
@@ -158,14 +162,14 @@ class Items:
         place = {t: k for k, t in enumerate(self.vocabulary)}
         self.terms = [np.array([place[t] for t in many], np.int64) for many in named]
         self.hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in self.vocabulary], np.uint64)
-        self.weights = np.zeros(len(self.vocabulary), np.int64)
+        self.weights, self.df = np.zeros(len(self.vocabulary), np.int64), np.zeros(len(self.vocabulary))
         self.n_docs = self.n_terms = 0
 
     def know(self, n_docs: int, n_terms: int, df: dict[int, int]) -> None:
         """Sets the weights from the number of documents and terms, and the documents of each term (by its signed hash)."""
         self.n_docs, self.n_terms = n_docs, n_terms
-        counts = np.array([df.get(int(h), 0) for h in self.hashes.view(np.int64)], np.float64)
-        self.weights = np.floor(1000 * np.log((2 * n_docs + 2) / (2 * counts + 1))).astype(np.int64)
+        self.df = np.array([df.get(int(h), 0) for h in self.hashes.view(np.int64)], np.float64)
+        self.weights = np.floor(1000 * np.log((2 * n_docs + 2) / (2 * self.df + 1))).astype(np.int64)
 
     def length(self, n: int) -> int:
         """m of a document of n terms."""
@@ -179,14 +183,14 @@ class Items:
                 out += int(self.weights[k]) * (ONE * tf // (1000 * tf + 20 * m))
         return out
 
-    def bounds(self, width: int, n_terms: list[int], bits: bytes) -> np.ndarray:
-        """Upper bounds (item, document) of a block."""
+    def bounds(self, width: int, n_terms: list[int], bits: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Upper bounds (item, document) of a block, and the scores to be expected."""
         docs = len(n_terms)
         matrix = np.frombuffer(bits, np.uint8).reshape(width, -1)
         level = np.zeros((len(self.vocabulary), docs), np.uint8)
         alive, held = np.arange(len(self.vocabulary)), None
         for j in range(len(LEVELS)):
-            places = _places(_keys(self.hashes[alive], np.full(len(alive), j)), width)
+            places = _places(_keys(self.hashes[alive], np.full(len(alive), j)), width, OTHER if j else FIRST)
             slices = np.bitwise_and.reduce(matrix[places], axis=1)
             held = slices if held is None else held & slices
             some = held.any(axis=1)
@@ -199,7 +203,13 @@ class Items:
         worth = np.vstack([np.zeros(docs, np.int64), ONE * most // (1000 * most + 20 * m)])
         worth[-1] = MOST
         columns = np.arange(docs)
-        return np.stack([(self.weights[t, None] * worth[level[t], columns]).sum(axis=0) if len(t) else np.zeros(docs, np.int64) for t in self.terms])
+        false = (int(np.bitwise_count(matrix).sum()) / (width * docs)) ** FIRST
+        trust = self.weights * self.df / np.maximum(self.df + false * (self.n_docs - self.df), 1e-9)
+        most, likely = np.zeros((len(self.terms), docs), np.int64), np.zeros((len(self.terms), docs))
+        for i, t in enumerate(self.terms):
+            found = worth[level[t], columns]
+            most[i], likely[i] = self.weights[t] @ found, trust[t] @ found
+        return most, likely
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int], list[int], int, bytes]]:
@@ -209,27 +219,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int]
             yield tuple(batch.column(c)[k].as_py() for c in ("doc_ids", "marks", "n_terms", "width", "bits"))
 
 
-def highest_bounds(blocks: DataFrame, items: Items, top: int) -> DataFrame:
-    """item, doc_id, mark and bound: of each task's documents those with the highest bounds."""
+def most_likely(blocks: DataFrame, items: Items, top: int) -> DataFrame:
+    """item, doc_id, mark and expected: of each task's documents those with the highest expected scores."""
     kind = blocks.schema["doc_ids"].dataType.elementType
-    types = [pa.int32(), to_arrow_type(kind), pa.int64(), pa.int64()]
+    types = [pa.int32(), to_arrow_type(kind), pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in items.ids]
         for ids, marks, n_terms, width, bits in _blocks(batches):
-            found = items.bounds(width, n_terms, bits)
-            for i, row in enumerate(found):
-                least = best[i][-1][0] if len(best[i]) == top else 0
-                few = np.flatnonzero(row > least)
+            for i, row in enumerate(items.bounds(width, n_terms, bits)[1]):
+                few = np.flatnonzero(row > (best[i][-1][0] if len(best[i]) == top else 0))
                 if len(few) > top:
                     few = few[np.argpartition(-row[few], top)[:top]]
                 if len(few):
-                    best[i] = sorted(best[i] + [(int(row[k]), ids[k], marks[k]) for k in few], key=lambda x: -x[0])[:top]
-        rows = [(i, doc, mark, bound) for i, many in enumerate(best) for bound, doc, mark in many]
+                    best[i] = sorted(best[i] + [(float(row[k]), ids[k], marks[k]) for k in few], key=lambda x: -x[0])[:top]
+        rows = [(i, doc, mark, expected) for i, many in enumerate(best) for expected, doc, mark in many]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)], names=["item", "doc_id", "mark", "bound"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)], names=["item", "doc_id", "mark", "expected"])
 
-    return blocks.mapInArrow(run, f"item int, doc_id {kind.simpleString()}, mark long, bound long")
+    return blocks.mapInArrow(run, f"item int, doc_id {kind.simpleString()}, mark long, expected double")
 
 
 def not_excluded(blocks: DataFrame, items: Items, least: dict[int, tuple]) -> DataFrame:
@@ -240,7 +248,7 @@ def not_excluded(blocks: DataFrame, items: Items, least: dict[int, tuple]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, marks, n_terms, width, bits in _blocks(batches):
             rows = []
-            for i, row in enumerate(items.bounds(width, n_terms, bits)):
+            for i, row in enumerate(items.bounds(width, n_terms, bits)[0]):
                 score, last = least.get(i, (0, None))
                 rows += [(i, ids[k], marks[k]) for k in np.flatnonzero(row > score)]
                 if score:  # of documents that can only tie, those up to the threshold's id
@@ -303,7 +311,7 @@ def search_batch(docs: DataFrame, items: Items, kind: str, top: int) -> DataFram
     known = blocks.agg(F.sum(F.size("n_terms")).alias("n"), F.sum(F.expr("aggregate(n_terms, 0L, (a, x) -> a + x)")).alias("terms")).first()
     counted = held.where("width = 0").select(F.explode(F.arrays_zip("df_terms", "df")).alias("x")).groupBy("x.df_terms").agg(F.sum("x.df").alias("n"))
     items.know(known["n"] or 0, known["terms"] or 0, {r[0]: r[1] for r in counted.collect()})
-    likely = first_of_each(highest_bounds(blocks, items, top), [F.col("bound").desc(), F.col("mark")], top, "mark")
+    likely = first_of_each(most_likely(blocks, items, TRIED * top), [F.col("expected").desc(), F.col("mark")], TRIED * top, "mark")
     rank = [F.col("score").desc(), F.col("doc_id").asc_nulls_first()]
     tried = first_of_each(scored(docs, likely.select("item", "doc_id", "mark"), items), rank, top, "doc_id")
     least = {r["item"]: (r["score"], r["doc_id"]) for r in tried.where(F.col("rank") == top).collect()}

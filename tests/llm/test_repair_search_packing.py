@@ -195,7 +195,7 @@ def test_bounds_are_never_below_scores(spark):
     for r in rows:
         if not r["width"]:
             continue
-        bounds = items.bounds(r["width"], r["n_terms"], bytes(r["bits"]))
+        bounds, _ = items.bounds(r["width"], r["n_terms"], bytes(r["bits"]))
         for column, doc in enumerate(r["doc_ids"]):
             seen += 1
             for i in range(2):
