@@ -69,12 +69,14 @@ def first_channel(message: Mapping) -> Any:
 def envelope(message: Mapping) -> Envelope:
     """An image message's frame, still compressed."""
     frame = first_channel(message)
-    if "image_id" not in message or isinstance(message["image_id"], (Mapping, list, Tag)) or message["image_id"] is None:
-        raise CborError("image without image_id")
+    try:
+        image_id = int(message["image_id"])
+    except (KeyError, TypeError, ValueError, OverflowError) as e:
+        raise CborError("image without image_id") from e
     if not isinstance(frame, Tag) or frame.number not in (ROW_MAJOR, COLUMN_MAJOR) or not isinstance(frame.value, list) or len(frame.value) != 2:
         raise CborError("frame is no multi-dimensional array")
     shape, content = frame.value
-    if not isinstance(shape, list) or not all(isinstance(n, int) and n >= 0 for n in shape):
+    if not isinstance(shape, list) or not all(isinstance(n, int) and not isinstance(n, bool) and n >= 0 for n in shape):
         raise CborError("shape of a frame")
     if not isinstance(content, Tag) or content.number not in TYPED:
         raise CborError("frame is no typed array")
@@ -87,7 +89,7 @@ def envelope(message: Mapping) -> Envelope:
         algorithm, elem_size, encoded = None, None, body
     else:
         raise CborError("typed array is no byte string")
-    return Envelope(int(message["image_id"]), algorithm, elem_size, encoded, dtype, tuple(shape), frame.number == COLUMN_MAJOR)
+    return Envelope(image_id, algorithm, elem_size, encoded, dtype, tuple(shape), frame.number == COLUMN_MAJOR)
 
 
 def pixels(found: Envelope, wanted: set[int] | None = None) -> np.ndarray:

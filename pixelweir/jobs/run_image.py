@@ -1,8 +1,10 @@
 """Virtual image of a stored or growing stream of messages.
 
-    spark-submit run_image.py --messages PATH --out PATH [--binned] [--scan NY NX] [--gain NPY] [--good NPY] [--verify-all] [--stream] [--npy FILE]
+    spark-submit run_image.py --messages PATH --out PATH [--log] [--binned] [--scan NY NX] [--gain NPY] [--good NPY] [--verify-all]
+        [--stream] [--files-per-trigger N] [--bytes-per-trigger N] [--npy FILE]
 
-Writes the image as Parquet (scan_y, scan_x, s, visited), optionally as an .npy array, and the messages that could not be read or decoded
+Messages are a Parquet table of (seq, raw), or with --log files of length-prefixed messages. With --stream what is there is read in micro-batches, and a later call goes on
+from there. Writes the image of every run as Parquet (run_seq, series, scan_y, scan_x, s, visited), optionally as .npy arrays, and the messages that could not be read or decoded
 (quarantine: seq, image_id, error), and prints a report. Every message is parsed once, into a table of one narrow row each.
 """
 
@@ -12,41 +14,33 @@ import argparse
 import json
 import time
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweir.functions.config import BINNED, UNBINNED, ScanConfig
-from pixelweir.operators import image, weights
-from pixelweir.sources import messages
+from pixelweir.operators import decode, image, weights
+from pixelweir.sources import messages, npy
 from pixelweir.streaming import image_stream
 
 
-def report(spark: SparkSession, table: str, config: ScanConfig, elapsed_s: float, batches: list[dict] | None = None) -> dict:
-    """Messages received, frames in the run, decoded and failed, messages that cannot be read, batches, rates, and how they compare with the detector's.
+def report(frames: dict[str, int], batches: list[dict], config: ScanConfig, elapsed_s: float, progress: list[dict] | None = None) -> dict:
+    """Messages received, frames in the runs, decoded and failed, messages that cannot be read, batches, rates, how they compare with the detector's, and the
+    seconds of each stage of the work over all tasks.
 
-    With the progress of micro-batches also the average and largest batch and the time spent in each stage of the work.
+    frames counts those that passed the gate; batches are what the jobs that wrote them counted, so nothing is read again. With the progress of
+    micro-batches also the average and largest batch and the milliseconds of Spark's phases.
     """
-    rows = image_stream.table_of(spark, table)
-    all_ = rows.agg(F.count("*").alias("received"), F.count_if(F.col("type").isNull()).alias("unreadable"), F.countDistinct("batch").alias("batches")).first()
-    n = image_stream.passed_sums(spark, table).agg(F.count("*").alias("frames"), F.count("s").alias("decoded"), F.count("error").alias("errors")).first()
-    rate = n["decoded"] / elapsed_s if elapsed_s else float("nan")
+    total = {k: sum(b[k] for b in batches) for k in ("received", "unreadable", *decode.STAGES)}
+    n = frames["decoded"]
+    rate = n / elapsed_s if elapsed_s else float("nan")
     out = {
-        "received": all_["received"], "unreadable": all_["unreadable"], "batches": all_["batches"], "frames": n["frames"],
-        "decoded": n["decoded"], "decode_errors": n["errors"], "elapsed_s": elapsed_s, "rate_hz": rate, "detector_rate_hz": config.detector_rate_hz,
-        "realtime_factor": rate / config.detector_rate_hz, "acquisition_s": n["decoded"] * config.frame_period_us / 1e6, "us_per_frame": elapsed_s * 1e6 / n["decoded"] if n["decoded"] else float("nan"),
+        "received": total["received"], "unreadable": total["unreadable"], "batches": len({b["batch"] for b in batches}), **frames,
+        "elapsed_s": elapsed_s, "rate_hz": rate, "detector_rate_hz": config.detector_rate_hz, "realtime_factor": rate / config.detector_rate_hz,
+        "acquisition_s": n * config.frame_period_us / 1e6, "us_per_frame": elapsed_s * 1e6 / n if n else float("nan"), "stage_s": {k.removesuffix("_ns"): total[k] / 1e9 for k in decode.STAGES},
     }
-    if batches:
-        stages = sorted({k for b in batches for k in b} - {"rows"})
-        out |= {"batch_rows_avg": sum(b["rows"] for b in batches) / len(batches), "batch_rows_max": max(b["rows"] for b in batches), "stage_ms": {k: sum(b.get(k, 0) for b in batches) for k in stages}}
-    return out
-
-
-def as_array(grid: DataFrame, config: ScanConfig) -> np.ndarray:
-    """The image as a float32 array on the driver; one value for each scan position."""
-    out = np.zeros(config.scan, np.float32)
-    for row in grid.select("scan_y", "scan_x", "s").toLocalIterator():
-        out[row["scan_y"], row["scan_x"]] = row["s"]
+    if progress:
+        stages = sorted({k for b in progress for k in b} - {"rows", "batch"})
+        out |= {"batch_rows_avg": sum(b["rows"] for b in progress) / len(progress), "batch_rows_max": max(b["rows"] for b in progress), "phase_ms": {k: sum(b.get(k, 0) for b in progress) for k in stages}}
     return out
 
 
@@ -60,15 +54,20 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     progress = image_stream.Progress() if args.stream else None
     began = time.perf_counter()
     if args.stream:
-        image_stream.run_sums(messages.message_stream(spark, args.messages), table, config, place, f"{args.out}/checkpoint", args.verify_all, progress)
+        raw = messages.log_stream(spark, args.messages, f"{args.out}/progress", args.bytes_per_trigger) if args.log else messages.message_stream(spark, args.messages, args.files_per_trigger)
+        batches = image_stream.run_sums(raw, table, config, place, f"{args.out}/checkpoint", args.verify_all, progress, once=not args.log)
     else:
-        image_stream.write_batch(messages.message_table(spark, args.messages), 0, table, config, place, args.verify_all)
+        raw = messages.message_log(spark, args.messages) if args.log else messages.message_table(spark, args.messages)
+        batches = [{"batch": 0, **image_stream.write_batch(raw, 0, table, config, place, args.verify_all)}]
     elapsed = time.perf_counter() - began
-    image_stream.image_of(image_stream.passed_sums(spark, place), config).write.mode("overwrite").parquet(f"{args.out}/image")
+    passed = Observation("frames")
+    counted = image_stream.passed_sums(spark, place).observe(passed, F.count(F.lit(1)).alias("frames"), F.count("s").alias("decoded"), F.count("error").alias("decode_errors"))
+    images = image.run_grids(counted, image_stream.runs(spark, place), config)
+    images.write.mode("overwrite").partitionBy("run_seq").parquet(f"{args.out}/image")
     image_stream.quarantine(spark, place).write.mode("overwrite").parquet(f"{args.out}/quarantine")
     if args.npy:
-        np.save(args.npy, as_array(spark.read.parquet(f"{args.out}/image"), config))
-    return report(spark, place, config, elapsed, progress.batches if progress else None)
+        npy.write_images(spark.read.parquet(f"{args.out}/image"), args.npy, config)
+    return report({k: v or 0 for k, v in passed.get.items()}, batches, config, elapsed, progress.batches if progress else None)
 
 
 def arguments(given: list[str] | None = None) -> argparse.Namespace:
@@ -78,7 +77,9 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--scan", type=int, nargs=2)
     for name in ("gain", "good", "npy"):
         parser.add_argument(f"--{name}")
-    for name in ("binned", "verify-all", "stream"):
+    parser.add_argument("--files-per-trigger", type=int, default=8)
+    parser.add_argument("--bytes-per-trigger", type=int, default=messages.BYTES_PER_TRIGGER)
+    for name in ("binned", "verify-all", "stream", "log"):
         parser.add_argument(f"--{name}", action="store_true")
     return parser.parse_args(given)
 

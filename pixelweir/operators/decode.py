@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +24,47 @@ _KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(
 BROKEN = (CborError, container.ContainerError, ValueError, TypeError, KeyError, OverflowError)
 
 
+#: Whole numbers that a column of each type holds.
+INT, LONG = range(-(1 << 31), 1 << 31), range(-(1 << 63), 1 << 63)
+
+
+def _number(message: dict, field: str, kind: range) -> int | None:
+    """A field that is absent, null or a whole number of the given range."""
+    value = message.get(field)
+    if value is None:
+        return None
+    if isinstance(value, bool) or not isinstance(value, int) or value not in kind:
+        raise CborError(f"field {field}")
+    return value
+
+
 def _open(seq: int, raw: bytes | None) -> dict:
+    """A message's row. What it says is checked field by field, so that whatever comes fits the columns or is an error of this message alone.
+
+    A start with a broken field is no start and has no type; an image with one is a frame that cannot be decoded; an end remains one.
+    """
     row = dict.fromkeys(_NAMES) | {"seq": seq}
     try:
         message = messages.parse(raw or b"")
         if not isinstance(message, dict) or not isinstance(message.get("type"), str):
             raise CborError("message without type")
-        row |= {"type": message["type"], "series": message.get("series_id")}
-        if message["type"] == "start":
-            row |= {k: message.get(k) for k in ("image_size_y", "image_size_x", "number_of_images")}
-        if message["type"] == "image":
+        kind = message["type"]
+        row["type"] = None if kind == "start" else kind
+        row["series"] = _number(message, "series_id", LONG)
+        if kind == "start":
+            row |= {k: _number(message, k, r) for k, r in (("image_size_y", INT), ("image_size_x", INT), ("number_of_images", LONG))} | {"type": kind}
+        if kind == "image":
             found = messages.envelope(message)
-            row |= {"image_id": found.image_id, "algorithm": found.algorithm, "elem_size": found.elem_size, "encoded": found.encoded, "dtype": found.dtype, "shape": list(found.shape), "column_major": found.column_major}
+            if found.image_id not in LONG:
+                raise CborError("field image_id")
+            row["image_id"] = found.image_id
+            if found.algorithm is not None and not isinstance(found.algorithm, str):
+                raise CborError("field algorithm")
+            if not all(n in INT for n in found.shape):
+                raise CborError("shape of a frame")
+            if found.elem_size is not None and (isinstance(found.elem_size, bool) or not isinstance(found.elem_size, int) or found.elem_size not in INT):
+                raise CborError("field elem_size")
+            row |= {"algorithm": found.algorithm, "elem_size": found.elem_size, "encoded": found.encoded, "dtype": found.dtype, "shape": list(found.shape), "column_major": found.column_major}
     except BROKEN as e:
         row["error"] = str(e) or type(e).__name__
     return row
@@ -109,7 +139,7 @@ def frames(found: DataFrame) -> DataFrame:
 
 
 def _summer(weights: list[float], config: ScanConfig, verify_all: bool):
-    """A function from envelopes to their sums and errors.
+    """A function from envelopes to their sums and errors. It adds the nanoseconds of its stages to a dict that it is given.
 
     Only blocks that hold rows with weight are decompressed, unless verify_all asks to read (and so check) every block. Frames of one layout
     are unshuffled and summed together, TOGETHER at a time. A frame that cannot be decoded, or is not of the detector's shape, has an
@@ -117,14 +147,20 @@ def _summer(weights: list[float], config: ScanConfig, verify_all: bool):
     """
     h, w = config.detector
     table = np.array(weights, np.float64).reshape(h, w)
-    rows = np.flatnonzero(table.any(axis=1))
+    rows, columns = np.flatnonzero(table.any(axis=1)), np.flatnonzero(table.any(axis=0))
     first, last = (int(rows[0]), int(rows[-1])) if len(rows) else (0, -1)
-    part = np.ascontiguousarray(table[first : last + 1])
+    # pixels outside these rows and columns have no weight and are left alone
+    part = (slice(first, last + 1), slice(int(columns[0]), int(columns[-1]) + 1) if len(columns) else slice(0, 0))
+    weight = np.ascontiguousarray(table[part])
+
+    def total(frames: np.ndarray) -> np.ndarray:
+        """Weighted sums of frames (frame, y, x), each summed alike however many there are."""
+        return np.array([(x * weight).sum() for x in _exact(frames[:, *part])])
 
     def one(frame: messages.Envelope) -> float:
         if frame.shape != (h, w):
             raise ValueError(f"frame of shape {frame.shape}, detector {(h, w)}")
-        return float((_exact(messages.pixels(frame)[first : last + 1]) * part).sum())
+        return float(total(messages.pixels(frame)[None])[0])
 
     def alike(frame: messages.Envelope) -> tuple:
         """Frames with one value here may be decoded together; an empty one for those that are decoded alone."""
@@ -132,18 +168,20 @@ def _summer(weights: list[float], config: ScanConfig, verify_all: bool):
             return ()
         return (frame.algorithm, frame.elem_size, frame.dtype, frame.encoded[: container.HEADER.itemsize])
 
-    def together(given: list[messages.Envelope]) -> np.ndarray:
+    def together(given: list[messages.Envelope], spent: dict[str, int]) -> np.ndarray:
         """The sums of frames that are alike; raises if any of them is broken."""
         dtype, head = np.dtype(given[0].dtype), given[0]
         found = [container.frames_of(x.encoded) for x in given]
         if found[0].plain != h * w * dtype.itemsize:
             raise ValueError("bytes of a frame")
         wanted = None if verify_all else container.blocks_of_rows(first, last, w * dtype.itemsize, found[0].block) if last >= first else set()
-        plain = container.decompress_all([x.encoded for x in given], found, head.algorithm, head.elem_size or dtype.itemsize, wanted)
-        seen = plain.view(dtype).reshape(len(given), h, w)[:, first : last + 1]
-        return np.array([(x * part).sum() for x in _exact(seen)])
+        plain = container.decompress_all([x.encoded for x in given], found, head.algorithm, head.elem_size or dtype.itemsize, wanted, spent)
+        began = time.perf_counter_ns()
+        sums = total(plain.view(dtype).reshape(len(given), h, w))
+        spent["sum_ns"] = spent.get("sum_ns", 0) + time.perf_counter_ns() - began
+        return sums
 
-    def run(given: list[messages.Envelope]) -> tuple[list[float | None], list[str | None]]:
+    def run(given: list[messages.Envelope], spent: dict[str, int]) -> tuple[list[float | None], list[str | None]]:
         sums: list = [None] * len(given)
         errors: list = [None] * len(given)
         groups: dict[tuple, list[int]] = {}
@@ -154,13 +192,13 @@ def _summer(weights: list[float], config: ScanConfig, verify_all: bool):
             for at in range(0, len(members), TOGETHER):
                 ks = members[at : at + TOGETHER]
                 try:
-                    for k, s in zip(ks, together([given[k] for k in ks]), strict=True):
+                    for k, s in zip(ks, together([given[k] for k in ks], spent), strict=True):
                         sums[k] = float(s)
                 except BROKEN:
                     alone += ks
         for k in alone:
             try:
-                sums[k] = float(together([given[k]])[0]) if alike(given[k]) else one(given[k])
+                sums[k] = float(together([given[k]], spent)[0]) if alike(given[k]) else one(given[k])
             except BROKEN as e:
                 errors[k] = str(e) or type(e).__name__
         return sums, errors
@@ -174,7 +212,7 @@ def decoded_sums(found: DataFrame, weights: list[float], config: ScanConfig, ver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums, errors = summed(_envelopes(batch))
+            sums, errors = summed(_envelopes(batch), {})
             yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("image_id"), pa.array(sums, pa.float64()), pa.array(errors, pa.string())], names=["seq", "image_id", "s", "error"])
 
     return found.where("type = 'image' AND error IS NULL").select(*FIELDS).mapInArrow(run, "seq long, image_id long, s double, error string")
@@ -184,22 +222,36 @@ def decoded_sums(found: DataFrame, weights: list[float], config: ScanConfig, ver
 NARROW = "seq long, type string, series long, image_size_y int, image_size_x int, number_of_images long, image_id long, s double, error string"
 
 
-def decoded_rows(raw: DataFrame, weights: list[float], config: ScanConfig, verify_all: bool = False) -> DataFrame:
-    """One narrow row for each message (seq, raw): every message is parsed once, and every frame decoded once, in the task that reads it."""
+#: Stages of the work on a message, in nanoseconds: reading it, LZ4, unshuffling, weighting and summing.
+STAGES = ("parse_ns", "inflate_ns", "unshuffle_ns", "sum_ns")
+#: Messages that are read together.
+AT_ONCE = 256
+
+
+def decoded_rows(raw: DataFrame, weights: list[float], config: ScanConfig, verify_all: bool = False, timed: bool = False) -> DataFrame:
+    """One narrow row for each message (seq, raw): every message is parsed once, and every frame decoded once, in one pass of the task that reads it.
+
+    If timed, with the columns STAGES: what AT_ONCE messages took together, on the first of their rows.
+    """
     summed = _summer(weights, config, verify_all)
     kept = [x.split(" ")[0] for x in NARROW.split(", ")]
+    kinds = dict(zip(_NAMES, _KINDS, strict=True)) | {"s": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            errors = batch.column("error").to_pylist()
-            images = [k for k, (kind, e) in enumerate(zip(batch.column("type").to_pylist(), errors, strict=True)) if kind == "image" and e is None]
-            sums: list = [None] * batch.num_rows
-            for k, s, e in zip(images, *summed(_envelopes(batch.take(pa.array(images, pa.int64())))), strict=True):
-                sums[k], errors[k] = s, e
-            made = {"s": pa.array(sums, pa.float64()), "error": pa.array(errors, pa.string())}
-            yield pa.RecordBatch.from_arrays([made.get(c) if c in made else batch.column(c) for c in kept], names=kept)
-
-    return envelopes(raw).mapInArrow(run, NARROW)
+        for batch in (whole.slice(k, AT_ONCE) for whole in batches for k in range(0, whole.num_rows, AT_ONCE)):
+            began, spent = time.perf_counter_ns(), {}
+            rows = [_open(s, r) | {"s": None} for s, r in zip(batch.column("seq").to_pylist(), batch.column("raw").to_pylist(), strict=True)]
+            spent["parse_ns"] = time.perf_counter_ns() - began
+            images = [r for r in rows if r["type"] == "image" and r["error"] is None]
+            given = [messages.Envelope(*(r[c] for c in FIELDS[1:6]), tuple(r["shape"]), r["column_major"]) for r in images]
+            for r, s, e in zip(images, *summed(given, spent), strict=True):
+                r["s"], r["error"] = s, e
+            columns = [pa.array([r[c] for r in rows], kinds[c]) for c in kept]
+            times = [pa.array([spent.get(c, 0)] + [0] * (len(rows) - 1), pa.int64()) for c in STAGES] if timed else []
+            yield pa.RecordBatch.from_arrays(columns + times, names=[*kept, *(STAGES if timed else ())])
+
+    schema = NARROW + "".join(f", {c} long" for c in STAGES) if timed else NARROW
+    return raw.select(F.col("seq").cast("long"), "raw").mapInArrow(run, schema)
 
 
 def quarantine(found: DataFrame) -> DataFrame:

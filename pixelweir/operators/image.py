@@ -36,11 +36,33 @@ def positions(df: DataFrame, config: ScanConfig) -> DataFrame:
 
 
 def grid(sums: DataFrame, seen: DataFrame, config: ScanConfig) -> DataFrame:
-    """scan_y, scan_x, s and visited of every scan position: 0 where nothing was measured. Ids outside the scan are left out."""
-    visited = seen.select("image_id").distinct().withColumn("visited", F.lit(True))
+    """scan_y, scan_x, s and visited of every scan position: 0 where nothing was measured. Ids outside the scan are left out.
+
+    sums has one row for each image_id at most. Positions, sums and what was seen meet in one aggregation.
+    """
+    none, no = F.lit(None).cast("double"), F.lit(False)
+    rows = positions(sums, config).select("image_id", none.alias("s"), no.alias("visited"))
+    rows = rows.union(sums.select("image_id", F.col("s").cast("double"), no)).union(seen.select("image_id", none, F.lit(True)))
+    return _placed(rows, [], config)
+
+
+def _placed(rows: DataFrame, keys: list[str], config: ScanConfig) -> DataFrame:
     y, x = scan_position(F.col("image_id"), config)
-    full = positions(sums, config).join(sums, "image_id", "left").join(visited, "image_id", "left")
-    return full.select(y.alias("scan_y"), x.alias("scan_x"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("visited", F.lit(False)).alias("visited"))
+    inside = rows.where((F.col("image_id") >= 0) & (F.col("image_id") < config.positions))
+    full = inside.groupBy(*keys, "image_id").agg(F.max("s").alias("s"), F.max("visited").alias("visited"))
+    return full.select(*keys, y.alias("scan_y"), x.alias("scan_x"), F.coalesce("s", F.lit(0.0)).alias("s"), "visited")
+
+
+def run_grids(frames: DataFrame, runs: DataFrame, config: ScanConfig) -> DataFrame:
+    """The image of each run: run_seq, series, scan_y, scan_x, s and visited of every scan position.
+
+    frames: run_seq, image_id, seq and s (null if the frame could not be decoded); of an id sent twice the later decoded frame counts. runs: run_seq and series.
+    """
+    last = F.max_by("s", F.when(F.col("s").isNotNull(), F.col("seq")))
+    sums = frames.groupBy("run_seq", "image_id").agg(last.alias("s"), F.max(F.col("s").isNotNull()).alias("visited"))
+    scan = positions(frames, config).join(F.broadcast(runs.select("run_seq")))
+    rows = scan.select("run_seq", "image_id", F.lit(None).cast("double").alias("s"), F.lit(False).alias("visited")).unionByName(sums)
+    return _placed(rows, ["run_seq"], config).join(F.broadcast(runs), "run_seq").select("run_seq", "series", "scan_y", "scan_x", "s", "visited")
 
 
 def last_wins(sums: DataFrame, key: str = "image_id", order: str = "seq", value: str = "s") -> DataFrame:

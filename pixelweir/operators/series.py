@@ -1,4 +1,10 @@
-"""Series of messages: the start gate, the end, chunks and counters."""
+"""Runs of messages: which run a message belongs to, the start gate, the end, chunks and counters.
+
+A run begins with the first start message of a series, or with the first start that names none. A message belongs to the run of the
+series that it names, once that has begun. A message that names no series belongs to the run that began last before it; so an end
+message, which names none, ends that run. A run that began without a name also takes messages of series that have no run. A run ends with the first
+end message that belongs to it; later starts of its series, and all that comes before a start or after the end, count for nothing.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +12,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweir.functions.config import ScanConfig
-from pixelweir.operators.ranking import running
+from pixelweir.operators.ranking import RANGE, carried, running, split_join
+
+
+def openings(messages: DataFrame) -> DataFrame:
+    """series and start_seq of every run. messages: series, seq, type."""
+    return messages.where("type = 'start'").groupBy("series").agg(F.min("seq").alias("start_seq"))
 
 
-def series_bounds(messages: DataFrame) -> DataFrame:
-    """series, start_seq (first start) and end_seq (first end after it, or null), for series that start.
+def attributed(messages: DataFrame, width: int = RANGE) -> DataFrame:
+    """messages (series, seq, type and others) that belong to a run, with run_seq: the seq of the start that opened it.
 
-    messages: series, seq, type. Both bounds are minima, summed up before the shuffle.
+    Most messages name a series, and a join tells where its run begins. The others are looked up by order: ranges of messages, in order of seq,
+    pass on the last start that they hold.
     """
-    starts = messages.where("type = 'start'").groupBy("series").agg(F.min("seq").alias("start_seq"))
-    ends = messages.where("type = 'end'").select("series", "seq").join(starts, "series").where("seq > start_seq").groupBy("series").agg(F.min("seq").alias("end_seq"))
-    return starts.join(ends, "series", "left")
+    opened = openings(messages)
+    named = split_join(messages, opened.where("series IS NOT NULL"), "series", "left")
+    named = named.withColumn("run_seq", F.when(F.col("start_seq") < F.col("seq"), F.col("start_seq"))).drop("start_seq")
+    unnamed = opened.where("series IS NULL").select("start_seq").first()
+    # a message of a series without a run can only belong to a run without a name
+    open_ = (F.col("type") != "start") & F.col("run_seq").isNull() & (F.col("series").isNull() if unnamed is None else F.lit(True))
+    lone = named.where(open_)
+    own = named.where("run_seq IS NOT NULL")
+    if lone.isEmpty():
+        return own
+    begins = opened.select(F.col("start_seq").alias("seq"), F.struct(F.col("start_seq").alias("at"), F.col("series").isNull().alias("unnamed")).alias("begun_"))
+    placed = carried(lone.unionByName(begins, allowMissingColumns=True), "seq", F.col("begun_"), "last_", width).where("begun_ IS NULL AND last_ IS NOT NULL")
+    found = placed.where(F.col("series").isNull() | F.col("last_.unnamed")).withColumn("run_seq", F.col("last_.at"))
+    return own.unionByName(found.select(*own.columns))
+
+
+def run_bounds(belonging: DataFrame) -> DataFrame:
+    """run_seq and end_seq (or null) of the runs that have messages after their start."""
+    return belonging.groupBy("run_seq").agg(F.min(F.when(F.col("type") == "end", F.col("seq"))).alias("end_seq"))
 
 
-def gated(messages: DataFrame) -> DataFrame:
-    """The image messages between a series' start and its end."""
-    bounds = series_bounds(messages)
-    inside = (F.col("seq") > F.col("start_seq")) & (F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq")))
-    return messages.where("type = 'image'").join(bounds, "series").where(inside).drop("start_seq", "end_seq")
+def gated(messages: DataFrame, width: int = RANGE) -> DataFrame:
+    """The image messages between their run's start and its end, with run_seq."""
+    belonging = attributed(messages, width)
+    found = split_join(belonging.where("type = 'image'"), run_bounds(belonging), "run_seq")
+    return found.where("end_seq IS NULL OR seq < end_seq").drop("end_seq")
 
 
 def start_errors(size_y: Column, size_x: Column, images: Column, config: ScanConfig) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,13 +17,13 @@ from pixelweir.operators import decode, image, series
 
 #: The table of a run: one narrow row for each message, and the micro-batch that it came in (0 for a stored copy).
 TABLE = f"{decode.NARROW}, batch int"
-#: Series whose bounds may be sent to every executor.
-BROADCAST_SERIES = 200_000
+#: Seconds that a listener is waited for after the end of a query.
+PATIENCE = 60
 
 
 def table_of(spark: SparkSession, table: str) -> DataFrame:
-    """All rows written so far; messages without a series count as series 0."""
-    return spark.read.schema(TABLE).parquet(table).withColumn("series", F.coalesce("series", F.lit(0).cast("long")))
+    """All rows written so far."""
+    return spark.read.schema(TABLE).parquet(table)
 
 
 def gate(rows: DataFrame, config: ScanConfig) -> DataFrame:
@@ -32,43 +33,70 @@ def gate(rows: DataFrame, config: ScanConfig) -> DataFrame:
     return first.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
-def write_batch(raw: DataFrame, number: int, weights: list[float], config: ScanConfig, table: str, verify_all: bool = False) -> None:
-    """Decodes messages (seq, raw) into the table's folder for a batch, replacing what an interrupted try left there.
+def counted() -> dict[str, Column]:
+    """What a batch of messages is and took, counted while it is written."""
+    kind = F.col("type")
+    return {
+        "received": F.count(F.lit(1)), "unreadable": F.count_if(kind.isNull()), "images": F.count_if(kind == "image"), "decoded": F.count("s"),
+        "decode_errors": F.count_if((kind == "image") & F.col("error").isNotNull()), **{c: F.sum(c) for c in decode.STAGES},
+    }
 
-    Raises ValueError if the batch has a series' first start and this does not fit the configuration.
+
+def write_batch(raw: DataFrame, number: int, weights: list[float], config: ScanConfig, table: str, verify_all: bool = False) -> dict[str, int]:
+    """Decodes messages (seq, raw) into the table's folder for a batch, replacing what an interrupted try left there. Returns counted(), which
+    the same job observes.
+
+    Raises ValueError if the first start of any series so far does not fit the configuration.
     """
-    decode.decoded_rows(raw, weights, config, verify_all).write.mode("overwrite").parquet(f"{table}/batch={number}")
-    rows = table_of(raw.sparkSession, table)
-    here = rows.where((F.col("batch") == number) & (F.col("type") == "start")).select("series").distinct()
-    if here.isEmpty():
-        return
-    bad = gate(rows.join(here, "series", "left_semi"), config).take(1)
+    seen = Observation(f"batch-{uuid.uuid4().hex}")
+    rows = decode.decoded_rows(raw, weights, config, verify_all, timed=True)
+    rows.observe(seen, *(c.alias(k) for k, c in counted().items())).drop(*decode.STAGES).write.mode("overwrite").parquet(f"{table}/batch={number}")
+    found = {k: v or 0 for k, v in seen.get.items()}
+    bad = gate(table_of(raw.sparkSession, table), config).take(1)
     if bad:
         raise ValueError(f"series start: {bad[0]['reason']}")
+    return found
 
 
-def run_sums(raw: DataFrame, weights: list[float], config: ScanConfig, table: str, checkpoint: str, verify_all: bool = False, listener: StreamingQueryListener | None = None) -> None:
-    """Reads what a stream of (seq, raw) has, to its end, and adds a narrow row for each message to the Parquet table.
+def run_sums(raw: DataFrame, weights: list[float], config: ScanConfig, table: str, checkpoint: str, verify_all: bool = False, listener: Progress | None = None, once: bool = True) -> list[dict[str, int]]:
+    """Reads what a stream of (seq, raw) has, to its end, and adds a narrow row for each message to the Parquet table. Returns what write_batch()
+    counted, batch by batch, with its number.
 
     Each micro-batch writes a folder named by its number, so a replay after a lost driver or executor changes nothing. A first start message
-    that does not fit stops the run. A listener is told of the progress.
+    that does not fit stops the run. A listener is told of the progress. Sources that plan a batch at a time are read until they have no more (once=False).
     """
-    streams = raw.sparkSession.streams
+    streams, batches = raw.sparkSession.streams, []
+
+    def batch(messages: DataFrame, number: int) -> None:
+        batches.append({"batch": number, **write_batch(messages, number, weights, config, table, verify_all)})
+
     if listener is not None:
         streams.addListener(listener)
     try:
-        query = raw.writeStream.foreachBatch(lambda messages, number: write_batch(messages, number, weights, config, table, verify_all)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
+        writer = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        query = writer.trigger(availableNow=True).start() if once else writer.start()
+        try:
+            if once:
+                query.awaitTermination()
+            else:
+                query.processAllAvailable()
+        finally:
+            query.stop()
+        # events come in order but later than the query's end; the last one tells that all have come
+        if listener is not None:
+            listener.ended.wait(PATIENCE)
     finally:
         if listener is not None:
             streams.removeListener(listener)
+    return batches
 
 
 class Progress(StreamingQueryListener):
-    """Keeps the rows and the milliseconds of each micro-batch, by stage of its work, and prints the count of messages so far."""
+    """Keeps the rows and the milliseconds of each micro-batch, by stage of its work, and prints the count of messages so far.
+    """
 
     def __init__(self, say=print):
-        self.say, self.messages, self.batches = say, 0, []
+        self.say, self.messages, self.batches, self.ended = say, 0, [], threading.Event()
 
     def onQueryStarted(self, event):  # noqa: N802
         pass
@@ -77,23 +105,24 @@ class Progress(StreamingQueryListener):
         found = event.progress
         if found.numInputRows:
             self.messages += found.numInputRows
-            self.batches.append({"rows": found.numInputRows, **{k: int(v) for k, v in found.durationMs.items()}})
+            self.batches.append({"batch": found.batchId, "rows": found.numInputRows, **{k: int(v) for k, v in found.durationMs.items()}})
             self.say(f"{self.messages} messages")
 
     def onQueryIdle(self, event):  # noqa: N802
         pass
 
     def onQueryTerminated(self, event):  # noqa: N802
-        pass
+        self.ended.set()
+
+
+def runs(spark: SparkSession, table: str) -> DataFrame:
+    """run_seq and series of every run that began."""
+    return series.openings(table_of(spark, table)).select(F.col("start_seq").alias("run_seq"), "series")
 
 
 def passed_sums(spark: SparkSession, table: str) -> DataFrame:
-    """The frames written so far that stand between their series' start and its end, whatever batches these came in."""
-    rows = table_of(spark, table)
-    bounds = series.series_bounds(rows.where("type IN ('start', 'end')").select("series", "seq", "type"))
-    bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_SERIES else bounds
-    inside = (F.col("seq") > F.col("start_seq")) & (F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq")))
-    return rows.where("type = 'image'").join(bounds, "series").where(inside).select("series", "seq", "image_id", "s", "error", "batch")
+    """The frames written so far that stand between their run's start and its end, whatever batches these came in."""
+    return series.gated(table_of(spark, table)).select("run_seq", "series", "seq", "image_id", "s", "error", "batch")
 
 
 def quarantine(spark: SparkSession, table: str) -> DataFrame:
@@ -101,15 +130,17 @@ def quarantine(spark: SparkSession, table: str) -> DataFrame:
     return table_of(spark, table).where("error IS NOT NULL").select("seq", "image_id", "error")
 
 
-def image_of(sums: DataFrame, config: ScanConfig) -> DataFrame:
-    """The image of the frames without error; of an id sent twice the later frame counts."""
-    sums = sums.where((F.col("error").isNull()) & (F.col("image_id") >= 0) & (F.col("image_id") < config.positions))
-    return image.grid(image.last_wins(sums).select("image_id", "s"), sums, config)
+def images(spark: SparkSession, table: str, config: ScanConfig) -> DataFrame:
+    """The image of every run (run_seq, series, scan_y, scan_x, s, visited), of all its frames written so far; of an id sent twice the later frame counts."""
+    return image.run_grids(passed_sums(spark, table), runs(spark, table), config)
 
 
 def snapshot(spark: SparkSession, table: str, config: ScanConfig) -> DataFrame:
-    """The image of all frames written so far that pass the gate."""
-    return image_of(passed_sums(spark, table), config)
+    """scan_y, scan_x, s and visited of the one run that the table holds; of several, images() tells them apart."""
+    found = [r["run_seq"] for r in runs(spark, table).take(2)]
+    if len(found) > 1:
+        raise ValueError("the table holds several runs: use images()")
+    return images(spark, table, config).select("scan_y", "scan_x", "s", "visited") if found else image.grid(*(spark.createDataFrame([], "image_id long, s double"),) * 2, config)
 
 
 def stream_gate(messages: DataFrame) -> DataFrame:
