@@ -143,16 +143,28 @@ def decompress_all(many: list[bytes], found: list[Frames], algorithm: str, elem_
 
 def compress(plain: bytes, algorithm: str, elem_size: int, block_size: int) -> bytes:
     """A container of plain bytes."""
+    return compress_all(np.frombuffer(plain, np.uint8)[None, :], algorithm, elem_size, block_size)[0]
+
+
+def compress_all(plain: np.ndarray, algorithm: str, elem_size: int, block_size: int) -> list[bytes]:
+    """Containers of the rows of plain bytes; all their blocks are shuffled together."""
     if algorithm not in ALGORITHMS:
         raise ContainerError(f"algorithm {algorithm!r}")
-    out = [len(plain).to_bytes(8, "big"), block_size.to_bytes(4, "big")]
-    for k in range(0, len(plain), block_size):
-        block = plain[k : k + block_size]
-        if algorithm == "bslz4":
-            block = shuffle(np.frombuffer(block, np.uint8)[None, :], elem_size).tobytes()
-        packed = _LZ4.compress(block, asbytes=True)
-        out += [len(packed).to_bytes(4, "big"), packed]
-    return b"".join(out)
+    count, size = plain.shape
+    whole = size // block_size
+    parts = [plain[:, : whole * block_size].reshape(count * whole, block_size), plain[:, whole * block_size :]]
+    if algorithm == "bslz4":
+        parts = [shuffle(x, elem_size) if x.size else x for x in parts]
+    blocks, tail = parts
+    head = size.to_bytes(8, "big") + block_size.to_bytes(4, "big")
+    out = []
+    for k in range(count):
+        made = [head]
+        for block in (*blocks[k * whole : (k + 1) * whole], *([tail[k]] if tail.shape[1] else [])):
+            packed = _LZ4.compress(np.ascontiguousarray(block), asbytes=True)
+            made += [len(packed).to_bytes(4, "big"), packed]
+        out.append(b"".join(made))
+    return out
 
 
 def blocks_of_rows(first: int, last: int, row_bytes: int, block_size: int) -> set[int]:

@@ -106,5 +106,18 @@ def frame_message(image_id: int, frame: np.ndarray, algorithm: str | None = "bsl
     plain = frame.astype(TYPED[number]).tobytes(order="F" if column_major else "C")
     size = frame.dtype.itemsize
     body = plain if algorithm is None else Tag(COMPRESSED, [algorithm, size, container.compress(plain, algorithm, size, block_size)])
-    data = {"threshold_1": Tag(COLUMN_MAJOR if column_major else ROW_MAJOR, [list(frame.shape), Tag(number, body)])}
+    return _around(image_id, list(frame.shape), number, body, column_major, more)
+
+
+def frame_messages(image_ids: list[int], frames: np.ndarray, algorithm: str | None = "bslz4", block_size: int = 8192, **more: Any) -> list[bytes]:
+    """Image messages around row-major frames (frame, y, x), compressed together."""
+    number = next(n for n, t in TYPED.items() if n != 68 and np.dtype(t) == frames.dtype)
+    plain = np.ascontiguousarray(frames).view(np.uint8).reshape(len(frames), int(np.prod(frames.shape[1:])) * frames.dtype.itemsize)
+    size = frames.dtype.itemsize
+    bodies = [x.tobytes() for x in plain] if algorithm is None else [Tag(COMPRESSED, [algorithm, size, x]) for x in container.compress_all(plain, algorithm, size, block_size)]
+    return [_around(k, list(frames.shape[1:]), number, body, False, more) for k, body in zip(image_ids, bodies, strict=True)]
+
+
+def _around(image_id: int, shape: list[int], number: int, body: Any, column_major: bool, more: dict[str, Any]) -> bytes:
+    data = {"threshold_1": Tag(COLUMN_MAJOR if column_major else ROW_MAJOR, [shape, Tag(number, body)])}
     return cbor.dumps({"type": "image", "image_id": image_id, **more, "data": data})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelweir.functions.config import UNBINNED, ScanConfig
 from pixelweir.jobs import image_queries
 from pixelweir.jobs.image_queries import SMALL, _GATED, _SUMS, hits, small_weights
 from pixelweir.operators import decode, image
@@ -16,8 +17,43 @@ BLOCK = 96  # bytes: two full blocks and a short one for an 8 x 8 frame of four-
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq and raw: every order's hits as one compressed frame."""
-    frames = encode.dense_frames(hits(spark, sf_dir), SMALL).select((F.col("image_id") + 1).alias("seq"), "image_id", "frame")
-    return encode.encode_frames(frames, SMALL, block_size=BLOCK)
+    return encode.encode_hits(hits(spark, sf_dir), SMALL, block_size=BLOCK).select((F.col("image_id") + 1).alias("seq"), "raw")
+
+
+def capture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ScanConfig]:
+    """A whole stream of messages (seq, raw), and its scan: the frames, every third without its series, between a start and an end that names none.
+
+    Before the start, after the end and in a series without a start there are frames of twice the counts; a second start has another detector;
+    and every 50th frame is sent once more, cut off.
+    """
+    frames = hits(spark, sf_dir)
+    config = image_queries.scan_for(frames).with_(detector=SMALL.detector)
+    end, third, stray = config.positions + 1, F.col("image_id") % 3 == 0, F.col("image_id") % 50 == 0
+    make = lambda rows, series: encode.encode_hits(rows, SMALL, block_size=BLOCK, series=series)
+    own = make(frames.where(~third), 1).union(make(frames.where(third), None))
+    double = frames.where(stray).withColumn("count", F.col("count") * 2)
+    early, late, other = (make(double, series) for series in (1, None, 7))
+    parts = [
+        own.select((F.col("image_id") + 1).alias("seq"), "raw"), early.select((-1 - F.col("image_id")).alias("seq"), "raw"), late.select((F.col("image_id") + end + 2).alias("seq"), "raw"),
+        other.select((F.col("image_id") + 1).alias("seq"), "raw"), own.where(stray).select((F.col("image_id") + 1).alias("seq"), F.expr("substring(raw, 1, length(raw) - 5)").alias("raw")),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    second = spark.createDataFrame([(end + 1, bytearray(encode.start_message(UNBINNED)))], "seq long, raw binary")
+    return encode.with_bounds(whole, config, end).union(second), config
+
+
+def stream_capture(spark: SparkSession, sf_dir: str) -> tuple[str, ScanConfig]:
+    """The table that a stream of message files, read to its end in micro-batches, has left."""
+    messages_, config = capture(spark, sf_dir)
+    folder = image_stream.work_folder(spark, "image-stream")
+    # the start comes first, as a stream that began earlier would have it
+    messages_.where("seq = 0").coalesce(1).write.parquet(f"{folder}/messages")
+    messages_.where("seq <> 0").repartition(16, "seq").write.mode("append").parquet(f"{folder}/messages")
+    ws = image.weight_array(small_weights(spark, sf_dir))
+    image_stream.run_sums(messages.message_stream(spark, f"{folder}/messages"), ws, config, f"{folder}/sums", f"{folder}/checkpoint")
+    return f"{folder}/sums", config
 
 
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,15 +76,19 @@ def framing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_virtual_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole image from a stream of message files, read to its end in micro-batches."""
-    frames = hits(spark, sf_dir)
-    config = image_queries.scan_for(frames)
-    folder = image_stream.work_folder(spark, "image-stream")
-    images = encoded(spark, sf_dir)
-    encode.with_bounds(images, config.with_(detector=SMALL.detector), config.positions + 1).repartition(16, "seq").write.parquet(f"{folder}/messages")
-    ws = image.weight_array(small_weights(spark, sf_dir))
-    image_stream.run_sums(messages.message_stream(spark, f"{folder}/messages"), ws, config, f"{folder}/sums", f"{folder}/checkpoint")
-    return image_stream.snapshot(spark, f"{folder}/sums", config)
+    """The whole image from a stream of message files, which also has frames outside the run, another start and cut messages."""
+    place, config = stream_capture(spark, sf_dir)
+    return image_stream.snapshot(spark, place, config)
+
+
+def quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many messages of the stored capture were refused, by reason, and how many frames were of the run."""
+    raw, config = capture(spark, sf_dir)
+    folder = image_stream.work_folder(spark, "capture")
+    image_stream.write_batch(raw, 0, image.weight_array(small_weights(spark, sf_dir)), config, f"{folder}/sums")
+    refused = image_stream.quarantine(spark, f"{folder}/sums").groupBy(F.col("error").alias("reason")).agg(F.count("*").alias("messages"))
+    passed = image_stream.passed_sums(spark, f"{folder}/sums").agg(F.lit("passed").alias("reason"), F.count("s").alias("messages"))
+    return refused.union(passed)
 
 
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +100,7 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("series long, seq long").parquet(f"{folder}/passed")
 
 
-QUERIES = {f.__name__: f for f in (decode_roundtrip, decoded_virtual_image, framing_blocks, stream_virtual_image, stream_gate)}
+QUERIES = {f.__name__: f for f in (decode_roundtrip, decoded_virtual_image, framing_blocks, stream_virtual_image, quarantine_counts, stream_gate)}
 
 ORACLE_SQL = {
     "decode_roundtrip": """SELECT l_orderkey AS image_id, CAST(64 AS BIGINT) AS pixels, CAST(sum(l_quantity) AS BIGINT) AS counts,
@@ -68,5 +108,7 @@ ORACLE_SQL = {
     "decoded_virtual_image": f"WITH {_SUMS} SELECT image_id, s FROM sums WHERE s <> 0",
     "framing_blocks": "SELECT l_orderkey AS image_id, CAST(3 AS BIGINT) AS blocks, CAST(256 AS BIGINT) AS plain_bytes, CAST(16 AS BIGINT) AS first_offset, CAST(0 AS BIGINT) AS errors FROM lineitem GROUP BY 1",
     "stream_virtual_image": image_queries.ORACLE_SQL["virtual_image_grid"],
+    "quarantine_counts": """SELECT 'cut off' AS reason, count(DISTINCT l_orderkey) AS messages FROM lineitem WHERE l_orderkey % 50 = 0
+  UNION ALL SELECT 'passed', count(DISTINCT l_orderkey) FROM lineitem""",
     "stream_gate": f"WITH {_GATED} SELECT series, seq FROM gated",
 }

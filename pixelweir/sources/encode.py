@@ -12,31 +12,48 @@ from pyspark.sql import functions as F
 from pixelweir.functions import cbor, messages
 from pixelweir.functions.config import ScanConfig
 
+SERIES = 1
+#: Frames that are laid out together.
+TOGETHER = 1024
 
-def dense_frames(hits: DataFrame, config: ScanConfig) -> DataFrame:
-    """image_id and frame (row-major counts) of hits (image_id, y, x, count); as many values as the detector has pixels."""
+
+def encode_hits(hits: DataFrame, config: ScanConfig, dtype: str = "<u4", algorithm: str | None = "bslz4", block_size: int = 8192, series: int | None = SERIES) -> DataFrame:
+    """image_id and raw: each image's hits (image_id, y, x, count) as one message; an image has at most as many pixels as the detector."""
     pixel = F.col("y") * config.detector[1] + F.col("x")
     sums = hits.groupBy("image_id", pixel.cast("int").alias("p")).agg(F.sum("count").cast("long").alias("n"))
-    counts = sums.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("n"))
-    return counts.select("image_id", F.transform(F.sequence(F.lit(0), F.lit(config.pixels - 1)), lambda p: F.coalesce(F.try_element_at(F.col("n"), p), F.lit(0).cast("long"))).alias("frame"))
+    listed = sums.groupBy("image_id").agg(F.collect_list(F.struct("p", "n")).alias("hits")).select("image_id", F.col("hits.p").alias("p"), F.col("hits.n").alias("n"))
+    named = {} if series is None else {"series_id": series}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(k, TOGETHER) for whole in batches for k in range(0, whole.num_rows, TOGETHER)):
+            frames = np.zeros((batch.num_rows, config.pixels), np.int64)
+            row = np.repeat(np.arange(batch.num_rows), batch.column("p").value_lengths().to_numpy())
+            frames[row, batch.column("p").flatten().to_numpy()] = batch.column("n").flatten().to_numpy()
+            raw = messages.frame_messages(batch.column("image_id").to_pylist(), frames.reshape(-1, *config.detector).astype(dtype), algorithm, block_size, **named)
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(raw, pa.binary())], names=["image_id", "raw"])
 
+    return listed.mapInArrow(run, "image_id long, raw binary")
 
-def encode_frames(frames: DataFrame, config: ScanConfig, dtype: str = "<u4", algorithm: str | None = "bslz4", block_size: int = 8192) -> DataFrame:
+
+def encode_frames(frames: DataFrame, config: ScanConfig, dtype: str = "<u4", algorithm: str | None = "bslz4", block_size: int = 8192, series: int | None = SERIES) -> DataFrame:
     """seq and raw of the image messages of frames (seq, image_id, frame)."""
+    named = {} if series is None else {"series_id": series}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = []
-            for image, frame in zip(batch.column("image_id").to_pylist(), batch.column("frame"), strict=True):
-                data = np.asarray(frame.values).reshape(config.detector).astype(dtype)
-                raw.append(messages.frame_message(image, data, algorithm, block_size, series_id=1))
+        for batch in (whole.slice(k, TOGETHER) for whole in batches for k in range(0, whole.num_rows, TOGETHER)):
+            pixels = batch.column("frame").flatten().to_numpy(zero_copy_only=False).reshape(-1, *config.detector).astype(dtype)
+            raw = messages.frame_messages(batch.column("image_id").to_pylist(), pixels, algorithm, block_size, **named)
             yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array(raw, pa.binary())], names=["seq", "raw"])
 
     return frames.select("seq", "image_id", "frame").mapInArrow(run, "seq long, raw binary")
 
 
 def with_bounds(images: DataFrame, config: ScanConfig, last: int) -> DataFrame:
-    """The image messages between a start (seq 0) and an end (seq `last`)."""
-    start = cbor.dumps({"type": "start", "series_id": 1, "image_size_y": config.detector[0], "image_size_x": config.detector[1], "number_of_images": config.positions})
-    rows = [(0, bytearray(start)), (last, bytearray(cbor.dumps({"type": "end", "series_id": 1})))]
+    """The image messages between a start (seq 0) and an end (seq `last`), which names no series."""
+    rows = [(0, bytearray(start_message(config))), (last, bytearray(cbor.dumps({"type": "end"})))]
     return images.unionByName(images.sparkSession.createDataFrame(rows, "seq long, raw binary"))
+
+
+def start_message(config: ScanConfig, series: int | None = SERIES) -> bytes:
+    named = {} if series is None else {"series_id": series}
+    return cbor.dumps({"type": "start", **named, "image_size_y": config.detector[0], "image_size_x": config.detector[1], "number_of_images": config.positions})

@@ -148,7 +148,16 @@ def test_values_beyond_doubles_are_refused(spark):
     assert "2 ** 53" in row["error"]
 
 
-def test_dense_frames_add_repeated_hits(spark):
+def test_encoded_hits_add_repeated_hits(spark):
+    config = ScanConfig(detector=(2, 2))
     hits = spark.createDataFrame([(1, 0, 1, 2), (1, 0, 1, 3), (2, 1, 0, 4)], "image_id long, y int, x int, count long")
-    got = {r["image_id"]: r["frame"] for r in encode.dense_frames(hits, ScanConfig(detector=(2, 2))).collect()}
-    assert got == {1: [0, 5, 0, 0], 2: [0, 0, 4, 0]}
+    for kind, algorithm in (("<u4", None), ("<u2", "lz4")):
+        raw = encode.encode_hits(hits, config, kind, algorithm).selectExpr("image_id AS seq", "raw")
+        assert {r["image_id"]: r["frame"] for r in decode.frames(decode.envelopes(raw)).collect()} == {1: [0, 5, 0, 0], 2: [0, 0, 4, 0]}
+
+
+@pytest.mark.parametrize("algorithm", [None, "lz4", "bslz4"])
+def test_messages_made_together_are_those_made_alone(algorithm):
+    frames = np.random.default_rng(3).poisson(0.5, (5, 16, 12)).astype("<u2")
+    assert messages.frame_messages([3, 4, 5, 6, 7], frames, algorithm, 80, series_id=2) == [messages.frame_message(k + 3, f, algorithm, 80, series_id=2) for k, f in enumerate(frames)]
+    assert messages.frame_messages([], frames[:0], algorithm, 80) == []
