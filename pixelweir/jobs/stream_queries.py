@@ -10,7 +10,7 @@ from pixelweir.jobs import image_queries
 from pixelweir.jobs.image_queries import SMALL, _GATED, _SUMS, hits, small_weights
 from pixelweir.operators import decode, image
 from pixelweir.sources import encode, messages
-from pixelweir.streaming import image_stream
+from pixelweir.streaming import held_gate, image_stream
 
 BLOCK = 96  # bytes: two full blocks and a short one for an 8 x 8 frame of four-byte pixels
 
@@ -100,7 +100,31 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("series long, seq long").parquet(f"{folder}/passed")
 
 
-QUERIES = {f.__name__: f for f in (decode_roundtrip, decoded_virtual_image, framing_blocks, stream_virtual_image, quarantine_counts, stream_gate)}
+def stream_gate_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the start gate lets through when messages come up to a quarter of the stream late, in batches that overlap."""
+    folder = image_stream.work_folder(spark, "held-gate")
+    rows = image_queries.messages(spark, sf_dir).select("seq", "series", "type", F.lit(None).cast("long").alias("image_id"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("string").alias("error"))
+    top = rows.agg(F.max("seq").alias("m")).first()["m"] or 0
+    delay = top // 4 + 1
+    late = F.col("seq") + F.pmod(F.xxhash64("seq"), F.lit(delay))
+    # after all others comes a message that nothing belongs to, so that the last ones are decided on
+    tick = spark.createDataFrame([(top + 2 * delay + 2, None, "image", None, None, None)], rows.schema)
+    for k in range(4):
+        part = rows.where(F.floor(late * 4 / (top + delay + 1)) == k)
+        (part.union(tick) if k == 3 else part).coalesce(1).write.mode("append").parquet(f"{folder}/messages")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, held_gate.ROCKS)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/messages")
+        passed = held_gate.held_gate(stream, 2 * delay, 4)
+        passed.writeStream.format("parquet").option("path", f"{folder}/passed").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema("run_seq long, series long, seq long").parquet(f"{folder}/passed").select("series", "seq")
+
+
+QUERIES = {f.__name__: f for f in (decode_roundtrip, decoded_virtual_image, framing_blocks, stream_virtual_image, quarantine_counts, stream_gate, stream_gate_any_order)}
 
 ORACLE_SQL = {
     "decode_roundtrip": """SELECT l_orderkey AS image_id, CAST(64 AS BIGINT) AS pixels, CAST(sum(l_quantity) AS BIGINT) AS counts,
@@ -111,4 +135,5 @@ ORACLE_SQL = {
     "quarantine_counts": """SELECT 'cut off' AS reason, count(DISTINCT l_orderkey) AS messages FROM lineitem WHERE l_orderkey % 50 = 0
   UNION ALL SELECT 'passed', count(DISTINCT l_orderkey) FROM lineitem""",
     "stream_gate": f"WITH {_GATED} SELECT series, seq FROM gated",
+    "stream_gate_any_order": f"WITH {_GATED} SELECT series, seq FROM gated",
 }
