@@ -140,12 +140,14 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, rows: int | No
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, rows: int, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row for each key and says in `count` how many rows of left have it (of `rows` in all).
+    """left joined (inner or left) with right, which has one row for each key and says in `count` how many rows of left have it (of `rows` in all).
 
     Keys of more than one row in HOT_KEYS are joined by broadcast (there are at most HOT_KEYS of them), so that no task gets all the
-    rows of one; the others by a shuffle on the key. Rows with a null key have no partner.
+    rows of one; the others by a shuffle on the key. Rows with a null key have no partner and are not shuffled.
     """
     hot = F.col(count) * HOT_KEYS > rows
     few, rest = F.broadcast(right.where(hot).drop(count)), right.where(~hot).drop(count)
-    others = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti")
-    return left.join(few, key).unionByName(others.join(rest, key, how))
+    keyed = left.where(F.col(key).isNotNull())
+    others = keyed.join(F.broadcast(right.where(hot).select(key)), key, "left_anti")
+    found = keyed.join(few, key).unionByName(others.join(rest, key, how))
+    return found if how == "inner" else found.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
