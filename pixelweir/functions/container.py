@@ -70,16 +70,22 @@ def _transpose8(x: np.ndarray) -> np.ndarray:
 
 
 def unshuffle(data: np.ndarray, elem_size: int) -> np.ndarray:
-    """Plain bytes of bit-shuffled ones; data is (blocks, bytes) of uint8, all blocks of one size."""
+    """Plain bytes of bit-shuffled ones; data is (blocks, bytes) of uint8, all blocks of one size.
+
+    The bits of each byte of the elements stand together. Where all of them are zero, as in the upper bytes of small counts, nothing has to be moved.
+    """
     count, size = data.shape
     n = size // elem_size
     if n * elem_size != size or n % 8:
         raise ContainerError(f"{size} bytes are not a multiple of eight elements of {elem_size}")
-    # rows are (byte, bit), columns are groups of eight elements; a group's eight rows make one 8 x 8 matrix
-    rows = data.reshape(count, elem_size, 8, n // 8)
-    matrices = np.ascontiguousarray(rows.transpose(0, 3, 1, 2)).view("<u8")[..., 0]
-    bytes_ = _transpose8(matrices)[..., None].view(np.uint8)  # (blocks, groups, byte, element)
-    return np.ascontiguousarray(bytes_.transpose(0, 1, 3, 2)).reshape(count, size)
+    # of one byte of the elements: rows are bits, columns are groups of eight elements; a group's eight rows make one 8 x 8 matrix
+    planes = data.reshape(count, elem_size, 8, n // 8)
+    out = np.zeros((count, n, elem_size), np.uint8)
+    for byte in range(elem_size):
+        if planes[:, byte].any():
+            matrices = np.ascontiguousarray(planes[:, byte].transpose(0, 2, 1)).view("<u8")[..., 0]
+            out[:, :, byte] = _transpose8(matrices)[..., None].view(np.uint8).reshape(count, n)
+    return out.reshape(count, size)
 
 
 def shuffle(data: np.ndarray, elem_size: int) -> np.ndarray:
@@ -134,8 +140,11 @@ def decompress_all(many: list[bytes], found: list[Frames], algorithm: str, elem_
         done = time.perf_counter_ns()
         if algorithm == "bslz4":
             plain = unshuffle(plain.reshape(-1, size), elem_size).reshape(plain.shape)
-        for j, k in enumerate(ks):
-            out[:, k * first.block : k * first.block + size] = plain[:, j]
+        if len(ks) and ks[-1] - ks[0] == len(ks) - 1:  # one after the other
+            out[:, ks[0] * first.block : ks[-1] * first.block + size] = plain.reshape(len(many), -1)
+        else:
+            for j, k in enumerate(ks):
+                out[:, k * first.block : k * first.block + size] = plain[:, j]
         spent["inflate_ns"] = spent.get("inflate_ns", 0) + done - began
         spent["unshuffle_ns"] = spent.get("unshuffle_ns", 0) + time.perf_counter_ns() - done
     return out

@@ -7,18 +7,19 @@ from typing import Any, NamedTuple
 
 import numpy as np
 
-from pixelweir.functions import cbor, container
+from pixelweir.functions import cbor, container, quad
 from pixelweir.functions.cbor import CborError, Tag
 
 ROW_MAJOR, COLUMN_MAJOR, COMPRESSED = 40, 1040, 56500
 
-#: Typed-array tags (RFC 8746) and their element types. 76 is not assigned; 83 and 87 (128-bit floats) have no exact type here.
+#: Typed-array tags (RFC 8746) and their element types. 76 is not assigned; 83 and 87 are 128-bit floats, which become doubles.
 TYPED = {
     64: "u1", 65: ">u2", 66: ">u4", 67: ">u8", 68: "u1", 69: "<u2", 70: "<u4", 71: "<u8",
     72: "i1", 73: ">i2", 74: ">i4", 75: ">i8", 77: "<i2", 78: "<i4", 79: "<i8",
     80: ">f2", 81: ">f4", 82: ">f8", 84: "<f2", 85: "<f4", 86: "<f8",
+    83: ">quad", 87: "<quad",
 }
-REFUSED = {83: "128-bit float", 87: "128-bit float"}
+QUADS = (">quad", "<quad")
 
 
 class Envelope(NamedTuple):
@@ -33,19 +34,19 @@ class Envelope(NamedTuple):
     column_major: bool
 
 
-def _refuse(number: int):
-    def stop(_: Any) -> Any:
-        raise CborError(f"tag {number}: {REFUSED[number]}")
+def item_size(dtype: str) -> int:
+    """Bytes of an element."""
+    return quad.SIZE if dtype in QUADS else np.dtype(dtype).itemsize
 
-    return stop
 
-
-_PARSE = {n: _refuse(n) for n in REFUSED}
+def numbers(plain: bytes, dtype: str) -> np.ndarray:
+    """The elements that the bytes hold; 128-bit floats as doubles."""
+    return quad.doubles(plain, dtype == ">quad") if dtype in QUADS else np.frombuffer(plain, dtype)
 
 
 def parse(raw: bytes) -> Any:
     """A message with its tags kept; no pixel is touched."""
-    return cbor.loads(raw, _PARSE)
+    return cbor.loads(raw)
 
 
 def message_type(raw: bytes) -> str | None:
@@ -93,16 +94,20 @@ def envelope(message: Mapping) -> Envelope:
 
 
 def pixels(found: Envelope, wanted: set[int] | None = None) -> np.ndarray:
-    """The frame in row-major order, in the type sent. Blocks not wanted are left at 0."""
-    plain = found.encoded if found.algorithm is None else container.decompress(found.encoded, found.algorithm, found.elem_size or np.dtype(found.dtype).itemsize, wanted)
-    if len(plain) != int(np.prod(found.shape, dtype=np.int64)) * np.dtype(found.dtype).itemsize:
+    """The frame in row-major order, in the type sent (128-bit floats as doubles). Blocks not wanted are left at 0."""
+    plain = found.encoded if found.algorithm is None else container.decompress(found.encoded, found.algorithm, found.elem_size or item_size(found.dtype), wanted)
+    if len(plain) != int(np.prod(found.shape, dtype=np.int64)) * item_size(found.dtype):
         raise CborError(f"{len(plain)} bytes for a frame of shape {found.shape}")
-    return np.ascontiguousarray(np.frombuffer(plain, found.dtype).reshape(found.shape, order="F" if found.column_major else "C"))
+    return np.ascontiguousarray(numbers(plain, found.dtype).reshape(found.shape, order="F" if found.column_major else "C"))
+
+
+def _tag_of(dtype: np.dtype) -> int:
+    return next(n for n, t in TYPED.items() if n != 68 and t not in QUADS and np.dtype(t) == dtype)
 
 
 def frame_message(image_id: int, frame: np.ndarray, algorithm: str | None = "bslz4", block_size: int = 8192, tag: int | None = None, column_major: bool = False, **more: Any) -> bytes:
     """An image message around a frame, for fixtures and tests."""
-    number = tag or next(n for n, t in TYPED.items() if n != 68 and np.dtype(t) == frame.dtype)
+    number = tag or _tag_of(frame.dtype)
     plain = frame.astype(TYPED[number]).tobytes(order="F" if column_major else "C")
     size = frame.dtype.itemsize
     body = plain if algorithm is None else Tag(COMPRESSED, [algorithm, size, container.compress(plain, algorithm, size, block_size)])
@@ -111,7 +116,7 @@ def frame_message(image_id: int, frame: np.ndarray, algorithm: str | None = "bsl
 
 def frame_messages(image_ids: list[int], frames: np.ndarray, algorithm: str | None = "bslz4", block_size: int = 8192, **more: Any) -> list[bytes]:
     """Image messages around row-major frames (frame, y, x), compressed together."""
-    number = next(n for n, t in TYPED.items() if n != 68 and np.dtype(t) == frames.dtype)
+    number = _tag_of(frames.dtype)
     plain = np.ascontiguousarray(frames).view(np.uint8).reshape(len(frames), int(np.prod(frames.shape[1:])) * frames.dtype.itemsize)
     size = frames.dtype.itemsize
     bodies = [x.tobytes() for x in plain] if algorithm is None else [Tag(COMPRESSED, [algorithm, size, x]) for x in container.compress_all(plain, algorithm, size, block_size)]

@@ -1,11 +1,14 @@
 """Decoder: golden bytes, the bit formula, round trips, every broken container, and pruned decoding."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pixelweir.functions import cbor, container, messages
+from pixelweir.functions import cbor, container, messages, quad
 from pixelweir.functions.cbor import CborError, Tag
 from pixelweir.functions.config import BINNED, UNBINNED, ScanConfig
 from pixelweir.operators import decode, image, weights
@@ -87,7 +90,7 @@ def test_container_refuses_bad_content():
         container.decompress(GOOD, "zstd", 1)
 
 
-@pytest.mark.parametrize("tag", sorted(messages.TYPED))
+@pytest.mark.parametrize("tag", sorted(k for k, t in messages.TYPED.items() if t not in messages.QUADS))
 @pytest.mark.parametrize("column_major", [False, True])
 def test_every_typed_array(tag, column_major):
     frame = np.arange(48).reshape(6, 8).astype(messages.TYPED[tag])
@@ -98,9 +101,69 @@ def test_every_typed_array(tag, column_major):
         assert (messages.pixels(found) == frame).all()
 
 
-def test_long_doubles_are_refused():
-    with pytest.raises(CborError):
-        messages.parse(cbor.dumps(Tag(83, b"")))
+def quad_bytes(value: Fraction, big: bool) -> bytes:
+    """The binary128 nearest to a value, by its definition."""
+    sign, size = int(value < 0), abs(value)
+    if not size:
+        bits = 0
+    else:
+        e = max(-16382, size.numerator.bit_length() - size.denominator.bit_length() - 1)
+        while e > -16382 and size < Fraction(2) ** e:
+            e -= 1
+        while size >= Fraction(2) ** (e + 1):
+            e += 1
+        whole = round(size / Fraction(2) ** (e - 112))  # ties to even
+        bits = whole + ((e + 16382) << 112) if whole >> 112 else whole
+    return ((sign << 127) | bits).to_bytes(16, "big" if big else "little")
+
+
+def quad_value(raw: bytes, big: bool) -> Fraction:
+    bits = int.from_bytes(raw, "big" if big else "little")
+    e, fraction = (bits >> 112) & 0x7FFF, bits & ((1 << 112) - 1)
+    size = Fraction(fraction, 1 << 112) * Fraction(2) ** -16382 if e == 0 else (1 + Fraction(fraction, 1 << 112)) * Fraction(2) ** (e - 16383)
+    return -size if bits >> 127 else size
+
+
+def nearest(value: Fraction) -> float:
+    try:
+        return float(value)
+    except OverflowError:
+        return math.copysign(math.inf, value)
+
+
+@given(st.integers(0, 2**128 - 1), st.booleans(), st.sampled_from([None, 0, 1, 2, 1022, 1023, 1024, -1021, -1022, -1023, -1050, -1073, -1074, -1075, -1076, 5]), st.sampled_from([None, 0, 1 << 59, (1 << 60) - 1, (1 << 60) + (1 << 59), 1 << 111, (1 << 112) - 1]))
+@settings(max_examples=400, deadline=None)
+def test_long_doubles_become_the_nearest_doubles(bits, big, exponent, fraction):
+    if exponent is not None:
+        bits = bits & ~(0x7FFF << 112) | (exponent + 16383) << 112
+    if fraction is not None:
+        bits = bits & ~((1 << 112) - 1) | fraction
+    raw = bits.to_bytes(16, "big" if big else "little")
+    got = float(quad.doubles(raw, big)[0])
+    if (bits >> 112) & 0x7FFF == 0x7FFF:
+        assert math.isnan(got) if bits & ((1 << 112) - 1) else got == (-math.inf if bits >> 127 else math.inf)
+    else:
+        want = nearest(quad_value(raw, big))
+        assert (got, math.copysign(1, got)) == (want, -1.0 if bits >> 127 else 1.0)
+
+
+@given(st.floats(allow_nan=False, allow_infinity=False), st.booleans())
+def test_long_doubles_hold_doubles(value, big):
+    assert quad.doubles(quad_bytes(Fraction(value), big), big)[0] == value
+
+
+@pytest.mark.parametrize(("tag", "big"), [(83, True), (87, False)])
+@pytest.mark.parametrize("algorithm", [None, "lz4", "bslz4"])
+def test_frames_of_long_doubles(spark, tag, big, algorithm):
+    values = [Fraction(k, 3) for k in range(64)]
+    plain = b"".join(quad_bytes(v, big) for v in values)
+    body = plain if algorithm is None else Tag(56500, [algorithm, 16, container.compress(plain, algorithm, 16, 512)])
+    raw = cbor.dumps({"type": "image", "image_id": 3, "data": {"a": Tag(40, [[8, 8], Tag(tag, body)])}})
+    df = spark.createDataFrame([(1, bytearray(raw))], "seq long, raw binary")
+    assert decode.frames(decode.envelopes(df)).first()["frame"] == [float(v) for v in values]
+    summed = decode.decoded_rows(df, [1.0] * 64, ScanConfig(detector=(8, 8))).first()
+    assert (summed["error"], summed["s"]) == (None, float(np.array([float(v) for v in values]).reshape(8, 8).sum()))
+
 
 
 def test_message_type():
