@@ -32,8 +32,6 @@ from pixelweir.llm.components import connected_components
 
 BANDS, ROWS = 50, 7
 SIGNATURE = 128
-#: Pairs of one hub that are compared in one place.
-PART_PAIRS = 256
 #: Shingles that one task compares with as many others.
 BLOCK = 1 << 20
 #: Candidates whose signatures agree less are over five standard deviations below the similarity asked for.
@@ -169,12 +167,8 @@ def candidate_buckets(sketched: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of nodes whose sets reach the similarity: first by signature, then on the full sets.
 
-    A node u of very many pairs (a hub) has its set sent to several parts, PART_PAIRS of its pairs to each.
+    A hub u of very many pairs makes an uneven partition, which Spark's adaptive joins split.
     """
-    each = checkpointed(pairs.groupBy("u").agg(F.count("*").alias("n_")))
-    parts = each.withColumn("parts", F.ceil(F.col("n_") / PART_PAIRS).cast("int"))
-    dealt = hot_join(pairs, parts, "u", "n_", pairs.count()).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
-    copies = parts.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     left = sets.select(F.col("node").alias("u"), F.col("signature").alias("su"), F.col("shingles").alias("xu"))
     right = sets.select(F.col("node").alias("v"), F.col("signature").alias("sv"), F.col("shingles").alias("xv"))
     least = percent / 100 - SLACK
@@ -195,7 +189,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], names=["u", "v"])
         give_back()
 
-    return dealt.join(right, "v").join(left.join(copies, "u"), ["u", "part"]).select("u", "v", "su", "xu", "sv", "xv").mapInArrow(run, "u long, v long")
+    return pairs.join(right, "v").join(left, "u").select("u", "v", "su", "xu", "sv", "xv").mapInArrow(run, "u long, v long")
 
 
 def bucket_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
