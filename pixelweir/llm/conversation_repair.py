@@ -390,3 +390,49 @@ def folded(parts: DataFrame, kind: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def _sql() -> str:
+    """DuckDB SQL for query(): the least (cost, letters, turns) of each state, row by row."""
+    far = "{'cost': 1000000000, 'audit': '', 'said': ''}"
+    add = lambda x, cost, letter, said="''": f"{{'cost': {x}.cost + {cost}, 'audit': {x}.audit || '{letter}', 'said': {x}.said || {said}}}"
+    line = lambda role: f"chr(10) || '{role}:'"
+    insert = lambda x, role: add(x, INSERT, "I", line(role))
+    closed = f"""u1 AS (SELECT *, least(u, {insert("o", "user")}, {insert("s", "user")}, {insert("a", "user")}) AS iu FROM given),
+      a1 AS (SELECT *, least(a, {insert("iu", "assistant")}) AS ia FROM u1),
+      u2 AS (SELECT * REPLACE (least(iu, {insert("ia", "user")}) AS iu) FROM a1)"""
+    extra = f"(CASE WHEN truncated THEN {UNFINISHED} ELSE 0 END)"
+    stay = lambda x, initial: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {add(x, extra, 'K', 'chr(10) || role || chr(58) || text')} ELSE {far} END"
+    other = lambda x, role: f"CASE WHEN NOT gone THEN {add(x, f'{RETYPE} + {extra}', 'R', f'{line(role)} || text')} ELSE {far} END"
+    to_user = ", ".join(f"{stay(x, 'u')}, {other(x, 'user')}" for x in ("o", "s", "ia"))
+    return rf"""
+WITH RECURSIVE steps AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, steps),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) FROM kinds WHERE kind <> 0),
+placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce('=' || conv_id, ''))::VARCHAR || ':' || coalesce('=' || conv_id, '') || ':' || length(role)::VARCHAR || ':' || role || ':' || text)) AS i FROM damaged),
+marked AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, left(role, 1) AS initial,
+    NOT regexp_matches(text, '[.!?][ 	-]*$') AS open, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+faulty AS (SELECT *, blank OR again AS gone, NOT blank AND NOT again AND open AS truncated FROM marked),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faulty GROUP BY 1),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'cost': 0, 'audit': '', 'said': ''}} AS o, {far} AS s, {far} AS u, {far} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL (
+    WITH given AS (SELECT w.*, f.gone, f.truncated, f.initial, f.role, f.text FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1),
+      {closed}
+    SELECT conv_id, i + 1, {add("o", DELETE, "D")}, least({add("s", DELETE, "D")}, {stay("o", "s")}), least({add("iu", DELETE, "D")}, {to_user}),
+      least({add("ia", DELETE, "D")}, {stay("iu", "a")}, {other("iu", "assistant")}) FROM u2)),
+given AS (SELECT w.* FROM walk w LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(t.n, 0)),
+{closed},
+best AS (SELECT conv_id, least(o, ia) AS x FROM u2)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(x.cost AS BIGINT) AS cost, x.audit AS audit, sha256(substr(x.said, 2)) AS repaired_sha256
+FROM best b LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+SQL = _sql()

@@ -21,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op11_conversation_repair": conversation_repair.SQL,
     "op12_ranked_search": ranked_search.SQL,
     "op6_quality_rules": quality_rules.SQL,
     "op7_source_mixing": source_mixing.SQL,

@@ -105,6 +105,16 @@ def test_repairs_of_the_table_equal_plain_ones(spark, sf_dir):
     assert {r[0]: tuple(r)[1:] for r in conversation_repair.query(spark, sf_dir).collect()} == expected_repairs(rows)
 
 
+def test_sql_of_repairs_equals_plain_ones():
+    import pyarrow as pa
+
+    rows = conversations(11)
+    kinds = {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "text": pa.string()}
+    con = duckdb.connect()
+    con.register("conversations", pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())}))
+    assert {r[0]: tuple(r[1:]) for r in con.execute(conversation_repair.SQL).fetchall()} == expected_repairs(rows)
+
+
 @pytest.mark.parametrize("fragment", [1024, 2])
 def test_repaired_turns_hold_the_grammar(spark, fragment):
     import re
