@@ -6,8 +6,9 @@ the profile if it is missing there. The language of least out-of-place distance
 
 Profiles are counted over all training documents. Their size is bounded: `profile_size` n-grams for each language.
 
-Defined results: a null text, a text without letters, or a table without training rows gives `und` and score 0; rows with null
-lang or doc_id teach nothing; rows are never merged; an empty table gives an empty result; other columns are not read.
+Defined results: a null text, a text without letters, or a table without training rows gives `und` and score 0; a very long text is
+counted whole, in pieces; equal distances go to the first name, n-grams of equal counts to the smaller one; rows with null
+lang or doc_id teach nothing; rows that repeat teach and are judged each for itself; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ lacing values, granule positions and checksums. Reading: pages are found by thei
 checksums verified, packets put together from the lacing values across pages, logical streams kept apart by serial
 number, and timestamps taken from the granule positions.
 
-Defined results: a null or empty text is 64 zero bytes of samples; equal texts give equal media; a damaged, cut or
+Defined results: a null or empty text is 64 zero bytes of samples; a very long text is one medium of many pages, made and read by one task; equal texts (and
+rows that repeat) give equal media, a row each; nothing is ranked, so nothing can tie; a damaged, cut or
 reordered medium gives an error (read_media puts it into a column) and never wrong samples; an empty table gives an empty result;
 other columns are not read.
 """

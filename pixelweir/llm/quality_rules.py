@@ -4,7 +4,8 @@ Every rule is evaluated once per document; the ledger keeps the measurements and
 masks over those bits, with a version in their name, so a policy can be changed, compared or ablated without reading a
 text again.
 
-Defined results: a null text is a text without words and so fails the base rules; rows are never merged, so repeated ids
+Defined results: a null or empty text is one without words and so fails the base rules; a very long text is measured whole by one task; rules compare
+measurements with fixed limits, so nothing can tie (a measurement at a limit passes); rows are never merged, so repeated ids
 give repeated rows; an empty table gives an empty ledger; other columns of the input are not read.
 """
 

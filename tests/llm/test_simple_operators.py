@@ -1,6 +1,7 @@
 """Language, licences, rules, classifier, mixing, sharding, media on awkward documents, and against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -559,3 +560,43 @@ def test_damage_is_found(spark):
     assert all(got[k]["error"] and got[k]["samples"] is None for k in [*range(len(bad)), 100])
     assert bytes(got[99]["samples"]) == ogg.payload(b"text" * 30_000)
     assert ogg.write_media(documents(spark)).count() == len(rows())
+
+
+def plain_labels(text, found):
+    """Labels and best coverage, by trying every phrase at every word and every licence text at every relative position."""
+    words, labels, best = license_scan.words_of((text or "").encode()), set(), 0.0
+    for template in found:
+        size = len(template.words)
+        if template.whole:
+            if any(words[k : k + size] == template.words for k in range(len(words))):
+                labels.add(template.label)
+                best = 1.0
+            continue
+        need, quarter = Counter(template.words), size // 4
+        for shift in range(-size, len(words)):
+            window = words[max(0, shift - quarter) : max(0, min(len(words), shift + size + quarter))]
+            have = Counter(window)
+            coverage = sum(min(n, have[w]) for w, n in need.items()) / size
+            keys = coverage >= license_scan.COVERAGE and all(any(window[k : k + len(key)] == key for k in range(len(window))) for key in template.keys)
+            if keys:
+                labels.add(template.label)
+                best = max(best, coverage)
+    return ",".join(sorted(labels)), best
+
+
+def test_license_labels_equal_plain_ones(spark):
+    """Every licence text whole, with words lost, among prose, twice, and halves; and notices, phrases and mere prose."""
+    found, rng = license_scan.templates(), random.Random(8)
+    texts = ["", prose(1, 400), "Under the MIT License. All rights reserved!"]
+    for template in found:
+        words = [w.decode() for w in template.words]
+        lost = [w for k, w in enumerate(words) if k % 11 != 7]
+        texts += [" ".join(words), f"{prose(2, 30)} {' '.join(words)} {prose(3, 50)}", f"{' '.join(words)} {prose(4, 5)} {' '.join(words)}", f"{prose(5, 9)} {' '.join(words[: len(words) // 2])}", f"{prose(6, rng.randrange(40))} {' '.join(lost)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = license_scan.build_index(docs)
+    for r in license_scan.scan(docs, index).collect():
+        labels, best = plain_labels(texts[r["doc_id"]], found)
+        assert r["labels"] == labels, texts[r["doc_id"]]
+        # the index looks at one of several neighbouring positions, so its coverage is that of a place, at most the best
+        assert (r["score"] == 0) == (best == 0)
+        assert license_scan.COVERAGE <= r["score"] <= best or best == 0
