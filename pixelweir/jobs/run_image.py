@@ -28,7 +28,7 @@ def report(frames: dict[str, int], batches: list[dict], config: ScanConfig, elap
     seconds of each stage of the work over all tasks.
 
     frames counts those that passed the gate; batches are what the jobs that wrote them counted, so nothing is read again. With the progress of
-    micro-batches also the average and largest batch and the milliseconds of Spark's phases.
+    micro-batches also the average and largest batch, the milliseconds of Spark's phases, and for logs the average and largest backlog that a batch left.
     """
     total = {k: sum(b[k] for b in batches) for k in ("received", "unreadable", *decode.STAGES)}
     n = frames["decoded"]
@@ -39,8 +39,10 @@ def report(frames: dict[str, int], batches: list[dict], config: ScanConfig, elap
         "acquisition_s": n * config.frame_period_us / 1e6, "us_per_frame": elapsed_s * 1e6 / n if n else float("nan"), "stage_s": {k.removesuffix("_ns"): total[k] / 1e9 for k in decode.STAGES},
     }
     if progress:
-        stages = sorted({k for b in progress for k in b} - {"rows", "batch"})
+        stages = sorted({k for b in progress for k in b} - {"rows", "batch", "behind"})
         out |= {"batch_rows_avg": sum(b["rows"] for b in progress) / len(progress), "batch_rows_max": max(b["rows"] for b in progress), "phase_ms": {k: sum(b.get(k, 0) for b in progress) for k in stages}}
+        left = [b["behind"] for b in progress if "behind" in b]
+        out |= {"backlog_bytes_avg": sum(left) / len(left) if left else 0, "backlog_bytes_max": max(left, default=0)}
     return out
 
 

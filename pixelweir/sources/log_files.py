@@ -48,10 +48,10 @@ def _lengths(path: str, begins: int, size: int) -> Iterator[tuple[int, int]]:
             at += LENGTH + n
 
 
-def ranges(path: str, size: int, range_bytes: int, begins: int = 0, first: int = 0, most: int | None = None, whole: bool = False) -> list[tuple[int, int, int]]:
+def ranges(path: str, size: int, range_bytes: int, begins: int = 0, first: int = 0, most: int | None = None, whole: bool = False, one: bool = True) -> list[tuple[int, int, int]]:
     """Ranges of whole messages of about range_bytes: number of the first message, first byte and byte after the last.
 
-    From byte `begins` on, where message `first` stands; at most about `most` bytes (one message at least). A cut last message is part of the last range,
+    From byte `begins` on, where message `first` stands; at most `most` bytes (but, if asked for, one message at least). A cut last message is part of the last range,
     or left out if only whole ones are asked for.
     """
     out: list[tuple[int, int, int]] = []
@@ -59,7 +59,7 @@ def ranges(path: str, size: int, range_bytes: int, begins: int = 0, first: int =
     for at, end in _lengths(path, begins, size):
         if end > size and whole:
             break
-        if most is not None and end > begins + most and count > first:
+        if most is not None and end > begins + most and not (one and count == first):
             break
         if at - start >= range_bytes:
             out.append((number, start, at))

@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from pixelweir.sources import log_files
 
-#: An offset: of each file its number, the byte that is read next, and the messages before it.
+#: An offset: of each file its number, the byte that is read next, the messages before it, and its size when the batch was planned.
 Offset = dict[str, dict[str, int]]
 
 
@@ -70,19 +70,24 @@ class MessageLogReader(DataSourceStreamReader):
 
     def latestOffset(self) -> Offset:  # noqa: N802
         """Up to bytesPerTrigger beyond the batch planned last: the rest of the files in order of their names, new ones after those that are known."""
-        end = {k: dict(v) for k, v in self._start().items()}
+        start = self._start()
+        end = {k: dict(v) for k, v in start.items()}
         sizes, left = log_files.sizes(self.path), self.most
-        for file in [*end, *(x for x in sizes if x not in end)]:
-            at = end.get(file, {"number": len(end), "byte": 0, "count": 0})
-            size = sizes.get(file, 0)
-            if left <= 0 or size <= at["byte"]:
+        for file in sizes:
+            end.setdefault(file, {"number": len(end), "byte": 0, "count": 0, "size": 0})
+        for file, at in end.items():
+            at["size"] = max(sizes.get(file, 0), at["byte"])
+        for file, at in end.items():
+            if at["size"] == at["byte"]:
                 continue
-            found = log_files.ranges(file, size, self.range_bytes, at["byte"], at["count"], left, whole=True)
+            found = log_files.ranges(file, at["size"], self.range_bytes, at["byte"], at["count"], left, whole=True, one=left == self.most)
             if found:
                 first, begins, ends = found[-1]
                 left -= ends - at["byte"]
-                end[file] = {"number": at["number"], "byte": ends, "count": first + log_files.count(file, begins, ends)}
-        return end
+                at |= {"byte": ends, "count": first + log_files.count(file, begins, ends)}
+            if log_files.ranges(file, at["size"], self.range_bytes, at["byte"], at["count"], 0, whole=True):
+                break  # later files wait until this one is read
+        return end if left < self.most else start
 
     def partitions(self, start: Offset, end: Offset) -> list[LogRange]:
         out = []
@@ -101,3 +106,12 @@ class MessageLogReader(DataSourceStreamReader):
     def read(self, partition: LogRange) -> Iterator[pa.RecordBatch]:
         for seqs, raw in log_files.messages(partition.file, partition.first, partition.begins, partition.ends):
             yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(raw, pa.binary())], names=["seq", "raw"])
+
+
+def behind(offset: str | None) -> int | None:
+    """Bytes of the log files that a batch with this end offset (as a query's progress tells it) left to later ones; None for other sources' offsets."""
+    try:
+        found = json.loads(offset or "")
+        return sum(x["size"] - x["byte"] for x in found.values())
+    except (ValueError, TypeError, KeyError, AttributeError):
+        return None

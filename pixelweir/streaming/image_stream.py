@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pixelweir.functions.config import ScanConfig
 from pixelweir.operators import decode, image, series
+from pixelweir.sources import log_source
 
 #: The table of a run: one narrow row for each message, and the micro-batch that it came in (0 for a stored copy).
 TABLE = f"{decode.NARROW}, batch int"
@@ -93,6 +94,8 @@ def run_sums(raw: DataFrame, weights: list[float], config: ScanConfig, table: st
 
 class Progress(StreamingQueryListener):
     """Keeps the rows and the milliseconds of each micro-batch, by stage of its work, and prints the count of messages so far.
+
+    Of message logs also how many bytes each batch left behind, from the offsets that it was planned with.
     """
 
     def __init__(self, say=print):
@@ -105,7 +108,8 @@ class Progress(StreamingQueryListener):
         found = event.progress
         if found.numInputRows:
             self.messages += found.numInputRows
-            self.batches.append({"batch": found.batchId, "rows": found.numInputRows, **{k: int(v) for k, v in found.durationMs.items()}})
+            left = [x for x in (log_source.behind(s.endOffset) for s in found.sources) if x is not None]
+            self.batches.append({"batch": found.batchId, "rows": found.numInputRows, **{k: int(v) for k, v in found.durationMs.items()}, **({"behind": sum(left)} if left else {})})
             self.say(f"{self.messages} messages")
 
     def onQueryIdle(self, event):  # noqa: N802

@@ -164,6 +164,14 @@ def test_runs_by_order_of_arrival(spark, tmp_path, monkeypatch, way):
     assert images_of(spark.read.parquet(f"{tmp_path}/out/image")) == expected_images()
     assert (found["received"], found["unreadable"], found["frames"], found["decoded"], found["decode_errors"]) == (len(CAPTURE), 1, 5, 5, 0)
     assert found["batches"] > 2 or "stream" not in way
+    if way == "log-stream":  # what was left when each batch was admitted
+        batches = image_stream.table_of(spark, f"{tmp_path}/out/stream").groupBy("batch").count().orderBy("batch").collect()
+        sizes, left, at = [len(r) + 4 for r in CAPTURE], [], 0
+        for r in batches:
+            at += r["count"]
+            left.append(sum(sizes[at:]))
+        assert left[-1] == 0
+        assert (found["backlog_bytes_avg"], found["backlog_bytes_max"]) == (sum(left) / len(left), max(left))
     assert {p.name for p in tmp_path.glob("*.npy")} == {"image-1.npy", "image-2.npy"}
     assert not list(tmp_path.glob(".image*"))
     for series, values in expected_images().items():
