@@ -97,6 +97,11 @@ def virtual_image_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image.frame_sums(hits(spark, sf_dir), small_weights(spark, sf_dir))
 
 
+def virtual_image_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sums through an accumulator that no order of the hits can change."""
+    return image.exact_frame_sums(hits(spark, sf_dir), small_weights(spark, sf_dir))
+
+
 def scan_for(frames: DataFrame, width: int = 128) -> ScanConfig:
     """A scan of the given width that holds the largest image id."""
     top = frames.agg(F.max("image_id").alias("m")).first()["m"]
@@ -206,7 +211,7 @@ def queue_depth_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        weight_map, flat_dark_masks, disk_pixel_count, virtual_image_long, virtual_image_grid, virtual_image_dense, unvisited_positions, image_min_max, scatter_last_wins, series_gate, gate_validation,
+        weight_map, flat_dark_masks, disk_pixel_count, virtual_image_long, virtual_image_exact, virtual_image_grid, virtual_image_dense, unvisited_positions, image_min_max, scatter_last_wins, series_gate, gate_validation,
         chunk_assign, chunk_sizes, byte_offsets, column_major_index, u32_reinterpret, pixel_types, frame_count, run_counters, decode_errors, queue_depth_stats,
     )
 }
@@ -231,6 +236,7 @@ ORACLE_SQL = {
     "flat_dark_masks": f"WITH {_MASKS} SELECT grid.y, grid.x, coalesce(gain, 1.0) AS gain, coalesce(good, 1.0) AS good FROM grid LEFT JOIN gain ON grid.y = gain.y AND grid.x = gain.x LEFT JOIN good ON grid.y = good.y AND grid.x = good.x",
     "disk_pixel_count": f"{_disk('unbinned', UNBINNED)} UNION ALL {_disk('binned', BINNED)}",
     "virtual_image_long": f"WITH {_SUMS} SELECT image_id, s FROM sums",
+    "virtual_image_exact": f"WITH {_SUMS} SELECT image_id, s FROM sums",
     "virtual_image_grid": f"{_GRID} SELECT * FROM image",
     "image_min_max": f"{_GRID} SELECT min(s) AS low, max(s) AS high, coalesce(max(s) > min(s), false) AS scalable FROM image",
     "unvisited_positions": f"WITH {_HITS}, {_TOP} SELECT range AS image_id FROM range((SELECT rows * 128 FROM top)) WHERE range NOT IN (SELECT image_id FROM hits)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pixelweir.functions import container, messages
 from pixelweir.functions.cbor import CborError
 from pixelweir.functions.config import ScanConfig
+from pixelweir.operators import exact
 
 ENVELOPE = (
     "seq long, type string, series long, image_size_y int, image_size_x int, number_of_images long, image_id long, algorithm string, elem_size int, "
@@ -153,9 +155,20 @@ def _summer(weights: list[float], config: ScanConfig, verify_all: bool):
     part = (slice(first, last + 1), slice(int(columns[0]), int(columns[-1]) + 1) if len(columns) else slice(0, 0))
     weight = np.ascontiguousarray(table[part])
 
+    k = exact.grain(weight)
+
     def total(frames: np.ndarray) -> np.ndarray:
-        """Weighted sums of frames (frame, y, x), each summed alike however many there are."""
-        return np.array([(x * weight).sum() for x in _exact(frames[:, *part])])
+        """The doubles nearest to the weighted sums of frames (frame, y, x).
+
+        If all products are whole numbers of one power of two and their sum is not too large, as with counts and a mask, plain sums are exact.
+        """
+        kept = frames[:, *part]
+        products = _exact(kept) * weight
+        if k is not None and kept.dtype.kind in "iu":
+            sums = products.sum(axis=(1, 2))
+            if not products.size or np.abs(products).sum(axis=(1, 2)).max() < 2.0 ** (53 - k):
+                return sums
+        return np.array([math.fsum(x.reshape(-1)) if np.isfinite(x).all() else x.sum() for x in products])
 
     def one(frame: messages.Envelope) -> float:
         if frame.shape != (h, w):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelweir.functions.config import ScanConfig
 from pixelweir.functions.pixels import scan_position
+from pixelweir.operators.exact import exact_sums
 from pixelweir.operators.weights import active
 
 
@@ -19,6 +20,12 @@ def frame_sums(hits: DataFrame, weights: DataFrame) -> DataFrame:
     return weighted.groupBy("image_id").agg(F.sum("v").alias("s"))
 
 
+def exact_frame_sums(hits: DataFrame, weights: DataFrame) -> DataFrame:
+    """frame_sums() whose sums are the doubles nearest to the true ones, whatever the order of the hits; decoded frames have the same sums."""
+    weighted = hits.join(active(weights), ["y", "x"]).select("image_id", (F.col("count").cast("double") * F.col("w")).alias("v"))
+    return exact_sums(weighted, ["image_id"], "v")
+
+
 def dense_sum(frame: Column, weights: Column) -> Column:
     """The weighted sum of a dense row-major frame and a row-major weight array of the same length; null if lengths differ."""
     total = F.aggregate(F.zip_with(frame, weights, lambda v, w: v.cast("double") * w), F.lit(0.0), lambda a, v: a + v)
