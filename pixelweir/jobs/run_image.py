@@ -1,11 +1,14 @@
 """Virtual image of a stored or growing stream of messages.
 
     spark-submit run_image.py --messages PATH --out PATH [--log] [--binned] [--scan NY NX] [--gain NPY] [--good NPY] [--verify-all]
-        [--stream] [--files-per-trigger N] [--bytes-per-trigger N] [--npy FILE]
+        [--stream [--live]] [--delay N] [--files-per-trigger N] [--bytes-per-trigger N] [--npy FILE]
 
 Messages are a Parquet table of (seq, raw), or with --log files of length-prefixed messages. With --stream what is there is read in micro-batches, and a later call goes on
 from there. Writes the image of every run as Parquet (run_seq, series, scan_y, scan_x, s, visited), optionally as .npy arrays, and the messages that could not be read or decoded
 (quarantine: seq, image_id, error), and prints a report. Every message is parsed once, into a table of one narrow row each.
+
+With --live batches may come in any order, up to --delay messages late, and the images are added to instead of made from all rows. The session then keeps its
+state in RocksDB, and the last --delay messages wait for later ones. Only frames of a run are told of, and no counts of messages.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from pixelweir.functions.config import BINNED, UNBINNED, ScanConfig
 from pixelweir.operators import decode, image, weights
 from pixelweir.sources import messages, npy
-from pixelweir.streaming import image_stream
+from pixelweir.streaming import held_gate, image_stream, live_image
 
 
 def report(frames: dict[str, int], batches: list[dict], config: ScanConfig, elapsed_s: float, progress: list[dict] | None = None) -> dict:
@@ -46,11 +49,25 @@ def report(frames: dict[str, int], batches: list[dict], config: ScanConfig, elap
     return out
 
 
+def run_live(spark: SparkSession, args: argparse.Namespace, config: ScanConfig, table: list[float]) -> dict:
+    """The run with --live; returns frames, failed frames and seconds."""
+    place, began = f"{args.out}/live", time.perf_counter()
+    raw = messages.log_stream(spark, args.messages, f"{args.out}/progress", args.bytes_per_trigger) if args.log else messages.message_stream(spark, args.messages, args.files_per_trigger)
+    live_image.run_live(raw, table, config, place, f"{args.out}/checkpoint", args.delay, once=not args.log)
+    live_image.live_images(spark, place, config).write.mode("overwrite").partitionBy("run_seq").parquet(f"{args.out}/image")
+    live_image.quarantine(spark, place).write.mode("overwrite").parquet(f"{args.out}/quarantine")
+    if args.npy:
+        npy.write_images(spark.read.parquet(f"{args.out}/image"), args.npy, config)
+    return {"positions": live_image.sums(spark, place).count(), "decode_errors": live_image.quarantine(spark, place).count(), "elapsed_s": time.perf_counter() - began}
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     config = BINNED if args.binned else UNBINNED
     config = config.with_(scan=tuple(args.scan)) if args.scan else config
     grid = weights.pixel_grid(spark, config)
     table = image.weight_array(weights.weight_map(grid, config, weights.load_mask(spark, args.gain, config, "gain"), weights.load_mask(spark, args.good, config, "good")))
+    if args.live:
+        return run_live(spark, args, config, table)
     # a stored copy and a stream have tables of their own, so that one run leaves nothing in the other's image
     place = f"{args.out}/{'stream' if args.stream else 'stored'}"
     progress = image_stream.Progress() if args.stream else None
@@ -81,7 +98,8 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
         parser.add_argument(f"--{name}")
     parser.add_argument("--files-per-trigger", type=int, default=8)
     parser.add_argument("--bytes-per-trigger", type=int, default=messages.BYTES_PER_TRIGGER)
-    for name in ("binned", "verify-all", "stream", "log"):
+    parser.add_argument("--delay", type=int, default=held_gate.DELAY)
+    for name in ("binned", "verify-all", "stream", "log", "live"):
         parser.add_argument(f"--{name}", action="store_true")
     return parser.parse_args(given)
 

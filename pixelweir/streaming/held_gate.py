@@ -1,6 +1,6 @@
 """The start gate of a stream whose batches may come in any order: messages are held back until nothing earlier can come.
 
-The order of arrival (seq) bears a watermark: a message is decided on once one has come whose seq is `delay` above its own, in order of seq. So the result is
+The order of arrival (seq) bears a watermark: a message is decided on, in order of seq, once one has come whose seq is `delay` and at most a quarter of it above its own. So the result is
 that of the gate over the whole stream, whatever batches the messages came in. A message that comes when the watermark has passed it is late and left out.
 
 Images are dealt to shards by a hash of their seq, so a series of any length is spread evenly. Starts and ends are few and go to all shards; each so knows
@@ -29,6 +29,9 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class HeldGate(StatefulProcessor):
     """The gate of one shard."""
 
+    def __init__(self, delay: int):
+        self.step = max(1, delay // 4)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", HELD)
@@ -41,8 +44,9 @@ class HeldGate(StatefulProcessor):
         new = [x for x in new if x[0] >= passed]
         if new:
             self.held.appendList(new)
-            # the time of a message is its seq, in milliseconds; it is passed when the watermark is beyond it
-            self.handle.registerTimer(max(x[0] for x in new) + 1)
+            # the time of a message is its seq, in milliseconds; timers stand at multiples of a step, the next one after each message
+            for at in {(x[0] // self.step + 1) * self.step for x in new}:
+                self.handle.registerTimer(at)
         yield from self._decide(passed)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
@@ -97,4 +101,4 @@ def held_gate(messages: DataFrame, delay: int = DELAY, shards: int = SHARDS) ->
     own = F.array(F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int"))
     dealt = kept.withColumn("shard", F.explode(F.when(F.col("type") == "image", own).otherwise(every)))
     marked = dealt.withColumn("at", F.timestamp_millis("seq")).withWatermark("at", f"{delay} milliseconds").drop("at")
-    return marked.groupBy("shard").transformWithState(HeldGate(), OUT, "Append", "EventTime")
+    return marked.groupBy("shard").transformWithState(HeldGate(delay), OUT, "Append", "EventTime")

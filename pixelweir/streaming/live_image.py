@@ -62,15 +62,23 @@ def add_batch(frames: DataFrame, number: int, place: str, compact: int = COMPACT
         last_sums(spark.read.schema(SUMS).parquet(*found)).write.mode("overwrite").parquet(f"{place}/base/n={number}")
 
 
-def run_live(raw: DataFrame, weights: list[float], config: ScanConfig, place: str, checkpoint: str, delay: int = held_gate.DELAY, shards: int = held_gate.SHARDS, compact: int = COMPACT, verify_all: bool = False) -> None:
+def run_live(raw: DataFrame, weights: list[float], config: ScanConfig, place: str, checkpoint: str, delay: int = held_gate.DELAY, shards: int = held_gate.SHARDS, compact: int = COMPACT, verify_all: bool = False, once: bool = True) -> None:
     """Reads what a stream of (seq, raw) has, to its end, and keeps the images of its runs at `place`.
 
-    Messages may come up to `delay` places late. The last `delay` messages stay in the state until later ones come.
+    Messages may come up to `delay` places late. The last `delay` messages stay in the state until later ones come. Sources that plan a batch at a
+    time are read until they have no more (once=False).
     """
     rows = decode.decoded_rows(raw, weights, config, verify_all)
     passed = held_gate.held_gate(rows, delay, shards)
-    query = passed.writeStream.foreachBatch(lambda frames, number: add_batch(frames, number, place, compact)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = passed.writeStream.foreachBatch(lambda frames, number: add_batch(frames, number, place, compact)).option("checkpointLocation", checkpoint).outputMode("append")
+    query = writer.trigger(availableNow=True).start() if once else writer.start()
+    try:
+        if once:
+            query.awaitTermination()
+        else:
+            query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def live_images(spark: SparkSession, place: str, config: ScanConfig) -> DataFrame:

@@ -81,3 +81,21 @@ def test_snapshots_read_a_bounded_number_of_rows(spark, tmp_path):
     assert live_image.quarantine(spark, place).count() == 12
     grid = live_image.live_images(spark, place, SMALL)
     assert {r["scan_y"] * 3 + r["scan_x"]: r["s"] for r in grid.collect()} == {k: latest.get(k, 0.0) for k in range(6)}
+
+
+@pytest.mark.parametrize("log", [False, True])
+def test_live_job(rocks, tmp_path, monkeypatch, log):
+    from pixelweir.jobs import run_image
+
+    monkeypatch.setattr(run_image, "BINNED", SMALL)
+    rows = [*CAPTURE, *[cbor.dumps({"type": "tick"})] * 40, cbor.dumps(START)]
+    if log:
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "a.log").write_bytes(b"".join(len(r).to_bytes(4, "big") + r for r in rows))
+    else:
+        files(rocks, list(enumerate(map(bytearray, rows))), "seq long, raw binary", f"{tmp_path}/in", 2)
+    given = ["--messages", f"{tmp_path}/in", "--out", f"{tmp_path}/out", "--binned", "--stream", "--live", "--delay", "20", "--npy", f"{tmp_path}/image.npy", "--bytes-per-trigger", "2000"]
+    found = run_image.run(rocks, run_image.arguments(given + ["--log"] * log))
+    assert images_of(rocks.read.parquet(f"{tmp_path}/out/image")) == expected_images()
+    assert (found["positions"], found["decode_errors"]) == (4, 0)
+    assert {p.name for p in tmp_path.glob("*.npy")} == {"image-1.npy", "image-2.npy"}
