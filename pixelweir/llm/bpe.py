@@ -9,7 +9,8 @@ The tokenizer file states the rules around the words: added tokens, normaliser,
 of `word_bpe_49k.json` are supported: NFC, white space runs to one space, lower case, a removing split, the byte
 alphabet. Decoding joins the tokens by a space, as a tokenizer without a decoder does.
 
-Each distinct word is encoded once per task batch and kept in a bounded cache; texts never leave their task.
+Texts are cut at white space, at which a word always ends, and by the splitting pattern only where that leaves more than letters. A word's ids
+are kept in a bounded cache; texts never leave their task.
 
 Defined results: a null text is an empty text: no ids, empty text back; a very long text is encoded whole, word by word (its ids
 are held by one task); a prefix has one last token only, so there are no ties; rows are never merged, and repeated ones get the same
@@ -42,6 +43,8 @@ MARK = "\x01"
 CACHED_WORDS = 100_000
 CACHED_PAIRS = 200_000
 SPACES = regex.compile(r"\s+")
+#: White space to Python's split(), but not to the tokenizers library.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Lower case letters of Unicode 16 and 17, which the tokenizers library knows and Python 3.13 does not.
 NEWER_CASE = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {0x10D50 + k: 0x10D70 + k for k in range(22)} | {0x16EA0 + k: 0x16EBB + k for k in range(25)}
 
@@ -59,21 +62,20 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-class Recent:
-    """What `make` gives for the ids of a word, kept in two generations: words seen again move to the newer one, the others go."""
+class Recent(dict):
+    """What `make` gives for a word, kept in two generations: words seen again move to the newer one, the others go."""
 
-    def __init__(self, ids: Callable[[str], list[int]], make: Callable[[list[int]], object]):
-        self.ids, self.make = ids, make
-        self.words: dict[str, object] = {}
-        self.older: dict[str, object] = {}
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make, self.older = make, {}
 
-    def __call__(self, word: str):
-        if (known := self.words.get(word)) is None:
-            if len(self.words) > CACHED_WORDS:
-                self.words, self.older = {}, self.words
-            if (known := self.older.get(word)) is None:
-                known = self.make(self.ids(word))
-            self.words[word] = known
+    def __missing__(self, word: str):
+        if len(self) > CACHED_WORDS:
+            self.older = self.copy()
+            self.clear()
+        if (known := self.older.get(word)) is None:
+            known = self.make(word)
+        self[word] = known
         return known
 
 
@@ -95,6 +97,9 @@ class WordBpe:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bytes = {b: c for b, c in enumerate(byte_alphabet())}
         self.halves = {x + y: (x, y, k) for (x, y), k in self.ranks.items()}
+        self.after: dict[str, dict[str, int]] = {}
+        for (x, y), k in self.ranks.items():
+            self.after.setdefault(x, {})[y] = k
         self.spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.automaton = ahocorasick.Automaton()
         for token, i in self.vocab.items():
@@ -103,10 +108,16 @@ class WordBpe:
         self.automaton.make_automaton()
         self.whole: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
-        of = lambda word: self.word_ids("".join(map(self.bytes.__getitem__, word.encode())))
         #: For a word of normalised text: number of ids, the ids and the tokens joined by spaces; the ids as 32-bit numbers.
-        self.texts = Recent(of, lambda ids: (len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))))
-        self.numbers = Recent(of, lambda ids: np.array(ids, np.int32).tobytes())
+        self.texts = Recent(lambda word: self.as_text(self.word_ids(self.letters(word))))
+        self.numbers = Recent(lambda word: self.as_numbers(self.word_ids(self.letters(word))))
+
+    def as_text(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
+
+    @staticmethod
+    def as_numbers(ids: list[int]) -> bytes:
+        return np.array(ids, np.int32).tobytes()
 
     def symbols(self, token: str) -> list[str]:
         """The symbols that merging starts from: characters, the last with the suffix if the token ends a word."""
@@ -150,13 +161,14 @@ class WordBpe:
         if (known := self.pairs.get(a << 32 | b)) is None:
             if len(self.pairs) > CACHED_PAIRS:
                 self.pairs.clear()
-            rank = self.ranks.get
-            known = True
+            known, right = True, self.spine(b, 0)
             for x, x_end in self.spine(a, 1):
-                for y, y_end in self.spine(b, 0):
-                    r = rank((x, y))
-                    if r is not None and r < x_end and r <= y_end:
-                        known = False
+                rank = self.after.get(x)
+                if rank is not None:
+                    for y, y_end in right:
+                        r = rank.get(y)
+                        if r is not None and r < x_end and r <= y_end:
+                            known = False
             self.pairs[a << 32 | b] = known
         return known
 
@@ -184,32 +196,47 @@ class WordBpe:
             step = last[step[1] - 1] if step[1] else None
         return out[::-1]
 
-    def normalised(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()  # white space is dropped by the split
-        text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
-        return (text.translate(NEWER_CASE) if max(text) > "ᰀ" else text).replace("Σ", "σ").lower()  # character by character: no final sigma
+    def letters(self, word: str) -> str:
+        """A word in the byte alphabet."""
+        return word if word.isascii() and word.isprintable() else "".join(map(self.bytes.__getitem__, word.encode()))
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text without added tokens, normalised."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # character by character: no final sigma
+        text = text.lower()
+        chunks = SPACES.split(text) if any(x in text for x in SEPARATORS) else text.split()
+        out: list[str] = []
+        for chunk in chunks:
+            if chunk.isalpha():
+                out.append(chunk)
+            elif chunk.isascii():
+                out += self.split.findall(chunk)
+            else:
+                chunk = chunk.translate(NEWER_CASE)
+                out += (self.split if self.newer.isdisjoint(chunk) else self.split_newer).findall(chunk)
+        return out
 
-    def found(self, text: str, form: Recent) -> list:
-        """What form (texts or numbers) gives for the words and added tokens of a text, in order."""
-        parts = self.split_added.split(text) if self.split_added is not None and "<|" in text else [text]
+    def found(self, text: str, form: Recent, given: Callable[[list[int]], object]) -> list:
+        """What form (texts or numbers) gives for the words of a text, and `given` for its added tokens, in order."""
+        if self.split_added is None or "<|" not in text:
+            return list(map(form.__getitem__, self.words(text)))
         out: list = []
-        for part in parts:
+        for part in self.split_added.split(text):
             if part in self.added:
-                out.append(form.make([self.added[part]]))
-            elif part:
-                plain = self.normalised(part)
-                split = self.split if plain.isascii() or self.newer.isdisjoint(plain) else self.split_newer
-                out += map(form, split.findall(plain))
+                out.append(given([self.added[part]]))
+            else:
+                out += map(form.__getitem__, self.words(part))
         return out
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids and the decoded text (tokens), the last two joined by spaces."""
-        found = self.found(text, self.texts)
-        return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+        found = self.found(text, self.texts, self.as_text)
+        counts, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
+        return sum(counts), " ".join(ids), " ".join(decoded)
 
     def id_array(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.found(text, self.numbers)), np.int32)
+        return np.frombuffer(b"".join(self.found(text, self.numbers, self.as_numbers)), np.int32)
 
     def ids(self, text: str) -> list[int]:
         return self.id_array(text).tolist()

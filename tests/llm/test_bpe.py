@@ -87,3 +87,19 @@ def test_columns_of_ids_and_back(spark, both):
     assert kept.select("input_ids").distinct().collect() == wide(spark).select("input_ids").distinct().collect()
     assert sum(len(r["input_ids_"]) for r in kept.collect()) == sum(len(r["tokens_"]) for r in encoded.collect())
     assert documents(spark).count() == len(rows())
+
+
+def test_words_of_letters_need_no_pattern(both, monkeypatch):
+    own, seen = bpe.WordBpe(bpe.default_file()), []
+
+    class Pattern:
+        def findall(self, text, pattern=own.split):
+            seen.append(text)
+            return pattern.findall(text)
+
+    monkeypatch.setattr(own, "split", Pattern())
+    text = "Plain\x0bwords Ünd　ΟΔΟΣ 漢字 it's 10 x\x1cy a\x85b"
+    equal((own, both[1]), text)
+    assert set(seen) == {"it's", "10", "x\x1cy"}
+    for c in map(chr, range(0x3001)):
+        equal((own, both[1]), f"ab{c}cd{c}")
