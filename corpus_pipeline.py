@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pixelweir.llm import bpe, near_dedup, quality_classifier, quality_rules, source_mixing
 from pixelweir.llm.common import documents, written
@@ -50,21 +49,20 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which sources take their turns by weight."""
-    return source_mixing.mix(docs)
+    """All documents, in the order in which sources take their turns by weight; the places are noted for the last stage."""
+    return source_mixing.mix_and_note(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, place in the mixture (slot, in_block) and token ids of every document.
 
-    Files do not keep the order of the stage before, so the place is worked out again from the same rows and goes with each document.
-    Texts are encoded where they are read and go no further; the ids are written before they are placed, so that no executor sorts rows and
-    encodes at the same time.
+    Files do not keep the order of the stage before, so each document takes the place that the mixture noted for it (null without a mixture).
+    Texts are encoded where they are read and go no further; the ids are written before they are joined with their places, so that no executor
+    sorts rows and encodes at the same time.
     """
     in_small_batches(spark)
     encoded = written(bpe.encode(docs.select("doc_id", "source", "text"), name="input_ids").drop("text"), "encoded")
-    places = source_mixing.placed(encoded)
-    return places.select("doc_id", "source", F.col("slot_").cast("long").alias("slot"), F.col("in_block_").cast("long").alias("in_block"), "input_ids")
+    return source_mixing.noted_places(encoded).select("doc_id", "source", "slot", "in_block", "input_ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

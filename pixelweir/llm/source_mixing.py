@@ -18,21 +18,28 @@ the empty text; rows that repeat an id get places next to each other, in any ord
 first name runs first; a weight below 1 is an error, a source without a weight is left out, and so is a weight without documents;
 empty and very long texts count as one document each; an empty table gives an empty schedule; other columns pass through mix()
 as they are, and schedule() does not read them.
+
+mix_and_note() also writes the places and names their folder in the metadata of the column `source`, which goes along with the rows through
+files; noted_places() gives later rows these places. Rows are found by doc_id and source; of rows that share both, each takes one of their places. Rows
+that came after the mixture have no place (null), and neither has any row if nothing was noted.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import documents, fresh_name, numbered
+from pixelweir.llm.common import documents, fresh_name, numbered, shared_folder, written
 
 #: Slots of a period that is worked out; also the largest number of sources.
 PERIOD = 1 << 19
 BLOCK_DOCS = 64
+#: Where the metadata of `source` name the folder of the places.
+NOTE = "mixture_places"
 
 
 def tempered_weights(docs: DataFrame, source: Column) -> DataFrame:
@@ -126,6 +133,51 @@ def mix(docs: DataFrame, shares: DataFrame | None = None, block_docs: int = BLOC
     return placed(kept, shares, block_docs).orderBy("slot_", "in_block_").select("row_.*")
 
 
+def mix_and_note(docs: DataFrame, shares: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """What mix() gives, with the places written (doc_id, source, slot, in_block) and noted."""
+    found = placed(docs.select(F.struct(*docs.columns).alias("row_"), "doc_id", "source"), shares, block_docs)
+    folder = f"{shared_folder(docs.sparkSession).rstrip('/')}/places-{uuid.uuid4().hex}"
+    found.select("doc_id", "source", F.col("slot_").cast("long").alias("slot"), F.col("in_block_").cast("long").alias("in_block")).write.parquet(folder)
+    rows = found.orderBy("slot_", "in_block_").select("row_.*")
+    return rows.withMetadata("source", docs.schema["source"].metadata | {NOTE: folder})
+
+
+def alike(other: str) -> Column:
+    """doc_id and source are those that another table calls other_id and other_source; null equals null."""
+    return F.col("doc_id").eqNullSafe(F.col(f"{other}_id")) & F.col("source").eqNullSafe(F.col(f"{other}_source"))
+
+
+def numbered_alike(rows: DataFrame) -> DataFrame:
+    """rows with nth: their number, from 0, among those of the same doc_id and source."""
+    found = numbered(rows, [F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), F.col("doc_id")], "at")
+    first = found.groupBy(F.col("doc_id").alias("first_id"), F.col("source").alias("first_source")).agg(F.min("at").alias("first"))
+    return found.join(first, alike("first")).select(*rows.columns, (F.col("at") - F.col("first")).alias("nth"))
+
+
+def noted_places(rows: DataFrame) -> DataFrame:
+    """rows with slot and in_block as mix_and_note() noted them.
+
+    rows needs doc_id and source, and no column slot, in_block, at, first, nth, places or one that begins with first_, place_ or many_.
+    """
+    note = rows.schema["source"].metadata
+    rows = rows.withMetadata("source", {k: v for k, v in note.items() if k != NOTE})
+    if NOTE not in note:
+        return rows.withColumns({x: F.lit(None).cast("long") for x in ("slot", "in_block")})
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    places = rows.sparkSession.read.schema(f"doc_id {kind}, source string, slot long, in_block long").parquet(note[NOTE])
+    keys = places.groupBy(F.col("doc_id").alias("place_id"), F.col("source").alias("place_source")).agg(F.count("*").alias("places"), F.min("slot").alias("slot"), F.min("in_block").alias("in_block"))
+    # rows that share doc_id and source go apart, so that none of the keys joined below is hot
+    many = written(keys.where("places > 1").select(F.col("place_id").alias("many_id"), F.col("place_source").alias("many_source")), "many")
+    some = not many.isEmpty()
+    alone = rows.join(many, alike("many"), "left_anti") if some else rows
+    found = alone.join(keys.where("places = 1"), alike("place"), "left").select(*rows.columns, "slot", "in_block")
+    if not some:
+        return found
+    free = numbered_alike(places.join(many, alike("many"), "left_semi")).select(F.col("doc_id").alias("place_id"), F.col("source").alias("place_source"), F.col("nth").alias("place_nth"), "slot", "in_block")
+    shared = numbered_alike(rows.join(many, alike("many"), "left_semi")).join(free, alike("place") & (F.col("nth") == F.col("place_nth")), "left")
+    return found.unionByName(shared.select(*rows.columns, "slot", "in_block"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(documents(spark, sf_dir))
 

@@ -4,8 +4,9 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from pixelweir.llm import bpe, quality_classifier, quality_rules
+from pixelweir.llm import bpe, quality_classifier, quality_rules, source_mixing
 from tests.llm.fixtures import SCHEMA, documents, empty, wide
 from tests.llm.test_near_dedup import plain_near_duplicates
 
@@ -96,3 +97,24 @@ def test_run_has_the_schedule_of_the_deduplicated_documents(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
     found = corpus_pipeline.run(spark, sf_dir).select("doc_id", "slot", "in_block").collect()
     assert {r["doc_id"]: (r["slot"], r["in_block"]) for r in found} == plain_schedule([(r["doc_id"], r["source"]) for r in docs.select("doc_id", "source").collect()])
+
+
+def test_the_last_stage_returns_the_places_of_the_mixture(spark, sf_dir, tmp_path):
+    rows = [(i, f"text number {i}", "en", "ab"[i % 3 == 0], 10) for i in range(300)]
+    rows += [(None, f"text {i % 2}", "en", None, 10) for i in range(150)] + [(7, "again", "en", "a", 10)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    shares = spark.createDataFrame([("a", 5), ("b", 1), (None, 2)], "source string, share int")
+    mixed = source_mixing.mix_and_note(docs, shares)
+    assert mixed.columns == docs.columns
+    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, docs.collect()))
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    again = spark.read.parquet(f"{tmp_path}/mixed")
+    found = corpus_pipeline.tokens(spark, again.repartition(3), sf_dir)
+    expected = source_mixing.schedule(docs, shares).select("doc_id", "source", "slot", "in_block")
+    assert sorted(map(repr, found.drop("input_ids").collect())) == sorted(map(repr, expected.collect()))
+    # a row that came later, or one without a mixture, has no place; one that left takes none from others
+    later = again.where("doc_id > 10").withColumn("doc_id", F.when(F.col("doc_id") == 20, 5000).otherwise(F.col("doc_id")))
+    places = {r["doc_id"]: (r["slot"], r["in_block"]) for r in expected.collect()} | {5000: (None, None)}
+    got = corpus_pipeline.tokens(spark, later, sf_dir).collect()
+    assert len(got) == 289 and all((r["slot"], r["in_block"]) == places[r["doc_id"]] for r in got)
+    assert corpus_pipeline.tokens(spark, docs, sf_dir).select("slot", "in_block").distinct().collect() == [(None, None)]
