@@ -200,7 +200,7 @@ def bucket_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent
     """
     placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
     sized = placed.join(sets.select("node", "n"), "node")
-    mixed = sized.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n_")).where("lo <> hi").select("bucket", "blocks", "n_")
+    mixed = checkpointed(sized.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n_")).where("lo <> hi").select("bucket", "blocks", "n_"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = hot_join(placed, mixed, "bucket", "n_", members.count()).withColumn("own", own)
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -265,7 +265,8 @@ def roots(sketched: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     more = checkpointed(bucket_links(members, labels, sets, percent))
     if more.isEmpty():
         return labels
-    return checkpointed(connected_components(links.union(more)))
+    # a component found before is said by its root alone
+    return checkpointed(connected_components(labels.select(F.col("root").alias("u"), F.col("node").alias("v")).union(more)))
 
 
 def with_least(docs: DataFrame, width: int, percent: int, columns: list[str]) -> DataFrame:

@@ -170,7 +170,8 @@ def noted_places(rows: DataFrame) -> DataFrame:
     many = written(keys.where("places > 1").select(F.col("place_id").alias("many_id"), F.col("place_source").alias("many_source")), "many")
     some = not many.isEmpty()
     alone = rows.join(many, alike("many"), "left_anti") if some else rows
-    found = alone.join(keys.where("places = 1"), alike("place"), "left").select(*rows.columns, "slot", "in_block")
+    # a table of places of each partition is held in memory, so that rows with long texts are not sorted
+    found = alone.join(keys.where("places = 1").hint("shuffle_hash"), alike("place"), "left").select(*rows.columns, "slot", "in_block")
     if not some:
         return found
     free = numbered_alike(places.join(many, alike("many"), "left_semi")).select(F.col("doc_id").alias("place_id"), F.col("source").alias("place_source"), F.col("nth").alias("place_nth"), "slot", "in_block")

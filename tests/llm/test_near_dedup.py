@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pixelweir.llm import near_dedup
+from pixelweir.llm import components, near_dedup
 from pixelweir.llm.components import connected_components
 from tests.llm.fixtures import documents, empty, holds_up, prose, rows, same, wide
 
@@ -140,3 +140,18 @@ def test_minima_estimate_similarity():
     same_ = np.mean(near_dedup.minima(a, 2000) == near_dedup.minima(b, 2000))
     exact = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs(same_ - exact) < 0.05
+
+
+def test_components_keep_plans_small_and_leave_stars(spark, monkeypatch):
+    held, rounds = [], []
+    monkeypatch.setattr(components, "checkpointed", lambda df, f=components.checkpointed: held.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join")) or f(df))
+    monkeypatch.setattr(components, "_large_star", lambda edges, n, f=components._large_star: rounds.append(n) or f(edges, n))
+    star = [(10, 10 + k) for k in range(1, 30)] + [(50, 3), (51, 3)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert got == {10 + k: 10 for k in range(30)} | {3: 3, 50: 3, 51: 3}
+    assert rounds == []
+    path = [(k, k + 1) for k in range(12)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(path, "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(13), 0)
+    # without a step held between the stars, over twenty
+    assert rounds and max(held) <= 4

@@ -118,3 +118,15 @@ def test_the_last_stage_returns_the_places_of_the_mixture(spark, sf_dir, tmp_pat
     got = corpus_pipeline.tokens(spark, later, sf_dir).collect()
     assert len(got) == 289 and all((r["slot"], r["in_block"]) == places[r["doc_id"]] for r in got)
     assert corpus_pipeline.tokens(spark, docs, sf_dir).select("slot", "in_block").distinct().collect() == [(None, None)]
+
+
+def test_texts_meet_their_places_by_one_shuffle_without_a_sort(spark, sf_dir, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i}", "en", "ab"[i % 3 == 0], 10) for i in range(300)], SCHEMA)
+    mixed = corpus_pipeline.mixture(spark, docs, sf_dir)
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, name: pytest.fail(f"{name} written"))
+    found = corpus_pipeline.tokens(spark, mixed, sf_dir)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    # the ids are made above the join, which neither sorts rows nor depends on how small the places are
+    assert plan.index("ArrowEvalPython") < plan.index("ShuffledHashJoin")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan[: plan.index("ShuffledHashJoin")]
+    assert found.count() == 300
