@@ -109,18 +109,22 @@ def stream_gate_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("seq") + F.pmod(F.xxhash64("seq"), F.lit(delay))
     # after all others comes a message that nothing belongs to, so that the last ones are decided on
     tick = spark.createDataFrame([(top + 2 * delay + 2, None, "image", None, None, None)], rows.schema)
-    for k in range(4):
-        part = rows.where(F.floor(late * 4 / (top + delay + 1)) == k)
-        (part.union(tick) if k == 3 else part).coalesce(1).write.mode("append").parquet(f"{folder}/messages")
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, held_gate.ROCKS)
+    # few shards need few partitions of state
+    shards = 4
+    settings = {"spark.sql.streaming.stateStore.providerClass": held_gate.ROCKS, "spark.sql.shuffle.partitions": str(2 * shards)}
+    before = {k: spark.conf.get(k) for k in settings}
     try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/messages")
-        passed = held_gate.held_gate(stream, 2 * delay, 4)
-        passed.writeStream.format("parquet").option("path", f"{folder}/passed").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        # each part is written by as many tasks as read it, and is a batch of a query that goes on where the last one ended
+        for k in range(4):
+            part = rows.where(F.floor(late * 4 / (top + delay + 1)) == k)
+            (part.union(tick) if k == 3 else part).write.mode("append").parquet(f"{folder}/messages")
+            passed = held_gate.held_gate(spark.readStream.schema(rows.schema).parquet(f"{folder}/messages"), 2 * delay, shards)
+            passed.writeStream.format("parquet").option("path", f"{folder}/passed").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(store, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema("run_seq long, series long, seq long").parquet(f"{folder}/passed").select("series", "seq")
 
 
