@@ -13,6 +13,8 @@ from pixelweir.sources import encode, messages
 from pixelweir.streaming import held_gate, image_stream
 
 BLOCK = 96  # bytes: two full blocks and a short one for an 8 x 8 frame of four-byte pixels
+#: Files that a capture is written to at least, images of a file, and bytes of a row group: small, so that a few files are read by many tasks.
+FILES, FILE_IMAGES, ROW_GROUP = 16, 1 << 19, 4 << 20
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,37 +22,41 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_hits(hits(spark, sf_dir), SMALL, block_size=BLOCK).select((F.col("image_id") + 1).alias("seq"), "raw")
 
 
-def capture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ScanConfig]:
-    """A whole stream of messages (seq, raw), and its scan: the frames, every third without its series, between a start and an end that names none.
+def capture_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, ScanConfig]:
+    """A whole stream of messages (seq, raw), and its scan: the start; the frames, every third without its series; an end that names none, and a second start with another detector.
 
-    Before the start, after the end and in a series without a start there are frames of twice the counts; a second start has another detector;
-    and every 50th frame is sent once more, cut off.
+    Before the start, after the end and in a series without a start there are frames of twice the counts; and every 50th frame is sent once more, cut off.
     """
-    frames = hits(spark, sf_dir)
+    frames = hits(spark, sf_dir).where("image_id IS NOT NULL")
     config = image_queries.scan_for(frames).with_(detector=SMALL.detector)
-    end, third, stray = config.positions + 1, F.col("image_id") % 3 == 0, F.col("image_id") % 50 == 0
-    make = lambda rows, series: encode.encode_hits(rows, SMALL, block_size=BLOCK, series=series)
-    own = make(frames.where(~third), 1).union(make(frames.where(third), None))
-    double = frames.where(stray).withColumn("count", F.col("count") * 2)
-    early, late, other = (make(double, series) for series in (1, None, 7))
-    parts = [
-        own.select((F.col("image_id") + 1).alias("seq"), "raw"), early.select((-1 - F.col("image_id")).alias("seq"), "raw"), late.select((F.col("image_id") + end + 2).alias("seq"), "raw"),
-        other.select((F.col("image_id") + 1).alias("seq"), "raw"), own.where(stray).select((F.col("image_id") + 1).alias("seq"), F.expr("substring(raw, 1, length(raw) - 5)").alias("raw")),
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    second = spark.createDataFrame([(end + 1, bytearray(encode.start_message(UNBINNED)))], "seq long, raw binary")
-    return encode.with_bounds(whole, config, end).union(second), config
+    end, image_id = config.positions + 1, F.col("image_id")
+    own = F.when(image_id % 3 != 0, encode.SERIES)
+    copy = lambda seq, series, times, cut: F.struct(seq.alias("seq"), series.cast("long").alias("series"), F.lit(times).cast("long").alias("times"), F.lit(cut).alias("cut"))
+    once = copy(image_id + 1, own, 1, 0)
+    more = [copy(-1 - image_id, F.lit(encode.SERIES), 2, 0), copy(image_id + end + 2, F.lit(None), 2, 0), copy(image_id + 1, F.lit(7), 2, 0), copy(image_id + 1, own, 1, 5)]
+    # all copies of a frame are made where its hits are gathered
+    lists = encode.hit_lists(frames, SMALL, max(FILES, -(-config.positions // FILE_IMAGES)))
+    copies = lists.withColumn("copy", F.explode(F.when(image_id % 50 == 0, F.array(once, *more)).otherwise(F.array(once))))
+    told = copies.select("copy.seq", "copy.series", "image_id", "copy.cut", "p", F.transform("n", lambda n: n * F.col("copy.times")).alias("n"))
+    raw = encode.encode_lists(told, SMALL, block_size=BLOCK).select("seq", F.expr("substring(raw, 1, length(raw) - cut)").alias("raw"))
+    bounds = encode.with_bounds(spark.createDataFrame([], messages.SCHEMA), config, end)
+    second = spark.createDataFrame([(end + 1, bytearray(encode.start_message(UNBINNED)))], messages.SCHEMA)
+    return bounds.where("seq = 0"), raw, bounds.where("seq <> 0").union(second), config
+
+
+def capture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ScanConfig]:
+    """All messages (seq, raw) of the stream, and its scan."""
+    start, raw, last, config = capture_parts(spark, sf_dir)
+    return start.union(raw).union(last), config
 
 
 def stream_capture(spark: SparkSession, sf_dir: str) -> tuple[str, ScanConfig]:
     """The table that a stream of message files, read to its end in micro-batches, has left."""
-    messages_, config = capture(spark, sf_dir)
+    start, raw, last, config = capture_parts(spark, sf_dir)
     folder = image_stream.work_folder(spark, "image-stream")
     # the start comes first, as a stream that began earlier would have it
-    messages_.where("seq = 0").coalesce(1).write.parquet(f"{folder}/messages")
-    messages_.where("seq <> 0").repartition(16, "seq").write.mode("append").parquet(f"{folder}/messages")
+    for part in (start.coalesce(1), raw, last.coalesce(1)):
+        part.write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/messages")
     ws = image.weight_array(small_weights(spark, sf_dir))
     image_stream.run_sums(messages.message_stream(spark, f"{folder}/messages"), ws, config, f"{folder}/sums", f"{folder}/checkpoint")
     return f"{folder}/sums", config

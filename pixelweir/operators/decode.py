@@ -72,12 +72,55 @@ def _open(seq: int, raw: bytes | None) -> dict:
     return row
 
 
+#: Forms of image messages that are remembered, and messages that are tried for one.
+FORMS, TRIES = 8, 64
+
+
+class _Opener:
+    """_open() for many messages: one that differs from an earlier one only in its image_id and compressed bytes is not parsed again."""
+
+    def __init__(self):
+        self.known: list[messages.Likeness] = []
+        self.tries = TRIES
+
+    def __call__(self, seq: int, raw: bytes | None) -> tuple[dict, int | None, bytes | None]:
+        """A row as of _open(), and its image_id and compressed bytes; a row may be that of a like message, whose seq and those two are others."""
+        for k, form in enumerate(self.known if raw else ()):
+            found = form.read(raw)
+            if found is not None:
+                if k:  # the latest comes first
+                    self.known.insert(0, self.known.pop(k))
+                return form.row, *found
+        row = _open(seq, raw)
+        if self.tries and row["encoded"] is not None and row["error"] is None and raw.endswith(row["encoded"]):
+            self.tries -= 1
+            form = self._form(raw, row)
+            if form is not None:
+                self.known = [form, *self.known[: FORMS - 1]]
+        return row, row["image_id"], row["encoded"]
+
+    def _form(self, raw: bytes, row: dict) -> messages.Likeness | None:
+        """What is like this message; None unless messages made so, with other ids and bytes, are read as they should be."""
+        try:
+            form = messages.Likeness(raw, row["image_id"], row["encoded"])
+        except CborError:
+            return None
+        for image_id, encoded in ((row["image_id"], row["encoded"]), (5, b"abc"), (70_000, bytes(300)), ((1 << 63) - 1, b"")):
+            if _open(row["seq"], form.message(image_id, encoded)) != row | {"image_id": image_id, "encoded": encoded}:
+                return None
+        form.row = row
+        return form
+
+
 def envelopes(raw: DataFrame) -> DataFrame:
     """One row for each message (seq, raw): its type and fields, for images the frame still compressed, for broken ones the error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _Opener()
         for batch in batches:
-            rows = [_open(s, r) for s, r in zip(batch.column("seq").to_pylist(), batch.column("raw").to_pylist(), strict=True)]
+            seqs = batch.column("seq").to_pylist()
+            found = [opened(s, r) for s, r in zip(seqs, batch.column("raw").to_pylist(), strict=True)]
+            rows = [row | {"seq": s, "image_id": image_id, "encoded": encoded} for s, (row, image_id, encoded) in zip(seqs, found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(_NAMES, _KINDS, strict=True)], names=_NAMES)
 
     return raw.select(F.col("seq").cast("long"), "raw").mapInArrow(run, ENVELOPE)
@@ -115,8 +158,8 @@ def _exact(frame: np.ndarray) -> np.ndarray:
     return frame.astype(np.float64)
 
 
-#: Frames that are decoded together: about 1 MB of the full detector's, which a core's cache holds.
-TOGETHER = 8
+#: Frames that are decoded together: about 1 MB of the full detector's, which a core's cache holds; of smaller detectors as many as have that many pixels.
+TOGETHER, PIXELS = 8, 8 * 192 * 192
 
 FIELDS = ("seq", "image_id", "algorithm", "elem_size", "encoded", "dtype", "shape", "column_major")
 
@@ -144,7 +187,7 @@ def _summer(weights: list[float], config: ScanConfig, verify_all: bool):
     """A function from envelopes to their sums and errors. It adds the nanoseconds of its stages to a dict that it is given.
 
     Only blocks that hold rows with weight are decompressed, unless verify_all asks to read (and so check) every block. Frames of one layout
-    are unshuffled and summed together, TOGETHER at a time. A frame that cannot be decoded, or is not of the detector's shape, has an
+    are unshuffled and summed together, TOGETHER of the full detector at a time. A frame that cannot be decoded, or is not of the detector's shape, has an
     error instead of a sum.
     """
     h, w = config.detector
@@ -156,6 +199,7 @@ def _summer(weights: list[float], config: ScanConfig, verify_all: bool):
     weight = np.ascontiguousarray(table[part])
 
     k = exact.grain(weight)
+    many = max(TOGETHER, PIXELS // max(1, h * w))
 
     def total(frames: np.ndarray) -> np.ndarray:
         """The doubles nearest to the weighted sums of frames (frame, y, x).
@@ -184,10 +228,10 @@ def _summer(weights: list[float], config: ScanConfig, verify_all: bool):
     def together(given: list[messages.Envelope], spent: dict[str, int]) -> np.ndarray:
         """The sums of frames that are alike; raises if any of them is broken."""
         dtype, head = np.dtype(given[0].dtype), given[0]
-        found = [container.frames_of(x.encoded) for x in given]
-        if found[0].plain != h * w * dtype.itemsize:
+        found = container.frames_of_all([x.encoded for x in given])
+        if found.plain != h * w * dtype.itemsize:
             raise ValueError("bytes of a frame")
-        wanted = None if verify_all else container.blocks_of_rows(first, last, w * dtype.itemsize, found[0].block) if last >= first else set()
+        wanted = None if verify_all else container.blocks_of_rows(first, last, w * dtype.itemsize, found.block) if last >= first else set()
         plain = container.decompress_all([x.encoded for x in given], found, head.algorithm, head.elem_size or dtype.itemsize, wanted, spent)
         began = time.perf_counter_ns()
         sums = total(plain.view(dtype).reshape(len(given), h, w))
@@ -201,13 +245,17 @@ def _summer(weights: list[float], config: ScanConfig, verify_all: bool):
         for k, frame in enumerate(given):
             groups.setdefault(alike(frame), []).append(k)
         alone = groups.pop((), [])
-        for members in groups.values():
-            for at in range(0, len(members), TOGETHER):
-                ks = members[at : at + TOGETHER]
-                try:
-                    for k, s in zip(ks, together([given[k] for k in ks], spent), strict=True):
-                        sums[k] = float(s)
-                except BROKEN:
+        # a group that holds a broken frame is tried again in small ones, so that few frames are decoded alone
+        tried = [members[at : at + many] for members in groups.values() for at in range(0, len(members), many)]
+        while tried:
+            ks = tried.pop()
+            try:
+                for k, s in zip(ks, together([given[k] for k in ks], spent), strict=True):
+                    sums[k] = float(s)
+            except BROKEN:
+                if len(ks) > TOGETHER:
+                    tried += [ks[at : at + TOGETHER] for at in range(0, len(ks), TOGETHER)]
+                else:
                     alone += ks
         for k in alone:
             try:
@@ -251,15 +299,18 @@ def decoded_rows(raw: DataFrame, weights: list[float], config: ScanConfig, verif
     kinds = dict(zip(_NAMES, _KINDS, strict=True)) | {"s": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _Opener()
         for batch in (whole.slice(k, AT_ONCE) for whole in batches for k in range(0, whole.num_rows, AT_ONCE)):
             began, spent = time.perf_counter_ns(), {}
-            rows = [_open(s, r) | {"s": None} for s, r in zip(batch.column("seq").to_pylist(), batch.column("raw").to_pylist(), strict=True)]
+            rows, ids, encoded = zip(*map(opened, batch.column("seq").to_pylist(), batch.column("raw").to_pylist()), strict=True)
             spent["parse_ns"] = time.perf_counter_ns() - began
-            images = [r for r in rows if r["type"] == "image" and r["error"] is None]
-            given = [messages.Envelope(*(r[c] for c in FIELDS[1:6]), tuple(r["shape"]), r["column_major"]) for r in images]
-            for r, s, e in zip(images, *summed(given, spent), strict=True):
-                r["s"], r["error"] = s, e
-            columns = [pa.array([r[c] for r in rows], kinds[c]) for c in kept]
+            errors, sums = [r["error"] for r in rows], [None] * len(rows)
+            images = [k for k, r in enumerate(rows) if r["type"] == "image" and errors[k] is None]
+            given = [messages.Envelope(ids[k], r["algorithm"], r["elem_size"], encoded[k], r["dtype"], tuple(r["shape"]), r["column_major"]) for k, r in ((k, rows[k]) for k in images)]
+            for k, s, e in zip(images, *summed(given, spent), strict=True):
+                sums[k], errors[k] = s, e
+            own = {"image_id": ids, "s": sums, "error": errors}
+            columns = [batch.column(c) if c == "seq" else pa.array(own[c] if c in own else [r[c] for r in rows], kinds[c]) for c in kept]
             times = [pa.array([spent.get(c, 0)] + [0] * (len(rows) - 1), pa.int64()) for c in STAGES] if timed else []
             yield pa.RecordBatch.from_arrays(columns + times, names=[*kept, *(STAGES if timed else ())])
 

@@ -49,8 +49,10 @@ def run_bounds(belonging: DataFrame) -> DataFrame:
 
 def gated(messages: DataFrame, width: int = RANGE) -> DataFrame:
     """The image messages between their run's start and its end, with run_seq."""
-    belonging = attributed(messages, width)
-    found = split_join(belonging.where("type = 'image'"), run_bounds(belonging), "run_seq")
+    # images don't tell where a run begins or ends, so the bounds are found without them
+    bounds = run_bounds(attributed(messages.where("type IN ('start', 'end')"), width))
+    images = attributed(messages.where("type IN ('start', 'image')"), width).where("type = 'image'")
+    found = split_join(images, bounds, "run_seq", "left")
     return found.where("end_seq IS NULL OR seq < end_seq").drop("end_seq")
 
 

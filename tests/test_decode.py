@@ -224,3 +224,49 @@ def test_messages_made_together_are_those_made_alone(algorithm):
     frames = np.random.default_rng(3).poisson(0.5, (5, 16, 12)).astype("<u2")
     assert messages.frame_messages([3, 4, 5, 6, 7], frames, algorithm, 80, series_id=2) == [messages.frame_message(k + 3, f, algorithm, 80, series_id=2) for k, f in enumerate(frames)]
     assert messages.frame_messages([], frames[:0], algorithm, 80) == []
+
+
+def test_messages_like_an_earlier_one_are_read_as_if_parsed():
+    """Forms are remembered, whatever decoys a message holds; what is not like one is parsed."""
+    frame = np.arange(64).reshape(8, 8).astype("<u4")
+    decoy = {"note": "himage_id\x07", "image_id": 3, "type": "image", "data": {"a": Tag(40, [[8, 8], Tag(70, frame.tobytes())])}}
+    ids = [0, 23, 24, 255, 256, 70_000, 1 << 40, (1 << 63) - 1, 1 << 63, -1, -14]
+    raws = [messages.frame_message(k, frame, algorithm, 96, series_id=series) for k in ids for algorithm in (None, "lz4", "bslz4") for series in (1, 2, -7)]
+    raws += [cbor.dumps(decoy | {"image_id": k}) for k in ids] + [cbor.dumps({"data": decoy["data"], "type": "image", "image_id": k}) for k in ids]
+    raws += [messages.frame_message(9, frame, "bslz4", 96)[:-n] for n in (1, 50, 150)] + [messages.frame_message(9, frame, "bslz4", 96) + b"x", b"", b"\xff", None, cbor.dumps({"type": "end"})]
+    raws += [r[:-1] for r in raws[:20]]
+    order = np.random.default_rng(5).permutation(4 * len(raws)) % len(raws)
+    opened = decode._Opener()
+    for seq, k in enumerate(order):
+        row, image_id, encoded = opened(seq, raws[k])
+        assert row | {"seq": seq, "image_id": image_id, "encoded": encoded} == decode._open(seq, raws[k])
+    assert len(opened.known) == decode.FORMS
+
+
+def test_containers_walked_through_together_are_those_walked_alone():
+    rng = np.random.default_rng(6)
+    many = container.compress_all(rng.integers(0, 5, (20, 256), dtype=np.uint8), "bslz4", 4, 96)
+    found = container.frames_of_all(many)
+    for k, data in enumerate(many):
+        one = container.frames_of(data)
+        assert (one.plain, one.block, one.begins.tolist(), one.ends.tolist()) == (found.plain, found.block, found.begins[k].tolist(), found.ends[k].tolist())
+    for bad in (many[3][:-1], many[3] + b"x", many[3][:12], many[3][:12] + b"\0\0\0\0" + many[3][16:], many[3][:12] + b"\xff\xff\xff\xff" + many[3][16:], many[4][:8] + b"\0\0\0\0" + many[4][12:]):
+        with pytest.raises(container.ContainerError):
+            container.frames_of(bad)
+        with pytest.raises(container.ContainerError):
+            container.frames_of_all([*many[:5], bad, *many[5:]])
+
+
+def test_a_broken_frame_among_many_loses_itself_only(spark):
+    rng = np.random.default_rng(7)
+    config = ScanConfig(detector=(8, 8))
+    frames = rng.integers(0, 9, (300, 8, 8)).astype("<u4")
+    raws = messages.frame_messages(list(range(300)), frames, "bslz4", 96, series_id=1)
+    bad = {17, 150}
+    rows = []
+    for k, raw in enumerate(raws):
+        found = messages.envelope(messages.parse(raw))
+        rows.append((k, bytearray(raw[: len(raw) - len(found.encoded) + 16] + b"\xff" * (len(found.encoded) - 16)) if k in bad else bytearray(raw)))
+    got = {r["seq"]: (r["s"], r["error"]) for r in decode.decoded_rows(spark.createDataFrame(rows, "seq long, raw binary").coalesce(1), [1.0] * 64, config).collect()}
+    assert {k for k, (_, error) in got.items() if error} == bad
+    assert all(got[k][0] == float(frames[k].sum()) for k in range(300) if k not in bad)

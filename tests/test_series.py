@@ -144,3 +144,17 @@ def test_message_log(spark, tmp_path):
     assert decode.quarantine(decode.envelopes(messages.message_log(spark, str(tmp_path)).where("seq = 3"))).count() == 1
     (tmp_path / "a.log").write_bytes(b"".join(len(p).to_bytes(4, "big") + p for p in [b"m"] * 600))
     assert [r["seq"] for r in messages.message_log(spark, str(tmp_path)).orderBy("seq").collect()] == list(range(600))
+
+
+def test_capture_encodes_each_frame_once(spark, sf_dir, tmp_path):
+    """Of all copies of a frame the hits are gathered once, and the start needs none of them."""
+    from pixelweir.jobs import stream_queries
+
+    start, raw, last, config = stream_queries.capture_parts(spark, sf_dir)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (start, raw, last)]
+    assert [p.count("lineitem") + p.count("Relation [l_") for p in plans] == [0, 1, 0]
+    assert [p.count("MapInArrow") for p in plans] == [0, 1, 0]
+    assert start.count() == 1
+    assert last.count() == 2
+    frames = {r["image_id"] for r in stream_queries.hits(spark, sf_dir).select("image_id").distinct().collect()}
+    assert raw.count() == len(frames) + 4 * len([k for k in frames if k % 50 == 0])
